@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, tokens, urls
+from . import decontaminate, mixing, neardup, quality, suffix, tokens, urls
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.deduplicate(table(spark, sf_dir, "documents"), with_kept=False)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")), ["doc_id"])
@@ -35,8 +40,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.clusters(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_url_filter, op7_token_counts, op8_quality_rules, op9_source_mix)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op7_token_counts, op8_quality_rules, op9_source_mix, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
