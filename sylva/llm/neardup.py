@@ -240,6 +240,7 @@ def clusters(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that another document of their component stands for."""
-    kept = clusters(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    """docs without those that another document of their component stands for; a repeated row stays once."""
+    kept = clusters(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    one = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id is null"))

@@ -24,6 +24,8 @@ from . import common
 WINDOW = 8
 MIN_WORDS = 50
 MIN_REFERENCE = 5
+#: Rows of the reference table, of a few KB each, up to which it is broadcast; a larger one is joined by shuffle.
+MAX_BROADCAST_LANGUAGES = 1000
 #: A document is rejected if both distances are over the first two, or either is over its second limit.
 BOTH = (0.2, 0.26)
 EITHER = (0.3, 0.4)
@@ -126,7 +128,9 @@ def judge(docs: DataFrame, columns: list[str] | None = None, both: tuple[float,
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", *CLASSES}
     keep = [c for c in (columns or docs.columns) if c not in made and (columns or c != "text")]
     seen = common.written(features(docs, keep), "quality")
-    ref = references(seen)
+    ref = common.written(references(seen), "languages")
+    if ref.count() <= MAX_BROADCAST_LANGUAGES:
+        ref = F.broadcast(ref)
     x = seen.join(ref, seen["_lang"].eqNullSafe(ref["_l"]), "left")
     chars = F.greatest(F.col("_chars"), F.lit(1))
     x = x.withColumn("class_distance", _js([(F.col(c) / chars, F.coalesce(F.col(f"r_{c}"), F.lit(0.0))) for c in CLASSES]))
@@ -146,3 +150,9 @@ def judge(docs: DataFrame, columns: list[str] | None = None, both: tuple[float,
     far = ((c > both[0]) & (w > both[1])) | (c > either[0]) | (w > either[1])
     kept = ~F.col("base_failed") & (guarded | ~far)
     return x.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+
+
+def good(docs: DataFrame, **limits) -> DataFrame:
+    """docs without those that are rejected. Rows go through whole, whatever their columns are called."""
+    x = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"], docs["lang"])
+    return judge(x, ["_row"], **limits).filter("kept").select("_row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, suffix, tokens, urls
+from . import decontaminate, html, mixing, neardup, pii, quality, secrets, suffix, tokens, urls
 from .common import table
 
 
@@ -24,6 +24,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", "n_pii", *[f"n_{k}" for k in pii.KINDS])
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("findings")
+    secret = F.transform(F.filter(f, lambda x: x["secret"]), lambda x: x["match"])
+    done = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.size(f).cast("long").alias("n_candidates"), F.size(secret).cast("long").alias("n_secrets"), secret.alias("secrets"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -44,8 +60,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.clusters(table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_html_text, op5_pii_pseudonyms, op6_secret_scan, op7_token_counts, op8_quality_rules, op9_source_mix, op10_near_dedup)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op7_token_counts, op8_quality_rules, op9_source_mix, op10_near_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
