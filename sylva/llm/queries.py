@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html, mixing, neardup, pii, quality, secrets, suffix, tokens, urls
 from .common import table
+from .oracles import oracle_sql
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +61,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.clusters(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["oracle_sql", "queries"]
 OPERATORS = (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_html_text, op5_pii_pseudonyms, op6_secret_scan, op7_token_counts, op8_quality_rules, op9_source_mix, op10_near_dedup)
 
 
 def queries() -> dict:
     return {f.__name__: f for f in OPERATORS}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
