@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -124,6 +124,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def plain_word(df: DataFrame, text: str = "text"):
-    """Text with nulls as empty strings."""
-    return F.coalesce(F.col(text), F.lit(""))
+def held(docs: DataFrame, columns: list[str]) -> Column:
+    """A row's columns as one, named _row: they pass through an operator whatever they are called."""
+    return F.struct(F.lit(0).alias("_"), *[docs[c] for c in columns]).alias("_row")
+
+
+def released(columns: list[str]) -> list[Column]:
+    return [F.col("_row")[c].alias(c) for c in columns]

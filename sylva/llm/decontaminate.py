@@ -154,24 +154,31 @@ def digest(scanned: DataFrame, columns: list[str], min_items: int = MIN_ITEMS) -
     return scanned.select(*columns, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.size(ids) >= min_items).alias("contaminated"))
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    return docs.select("text", common.held(docs, [c for c in docs.columns if c != "text"]))
+
+
+def _released(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("text") if c == "text" else common.released([c])[0] for c in columns])
+
+
 def remove_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH, min_items: int = MIN_ITEMS) -> DataFrame:
     """docs without those in which windows of at least min_items items occur."""
-    return scan(docs, bench, width).filter(F.size("_items") < min_items).select(*docs.columns)
+    return _released(scan(_held(docs), bench, width).filter(F.size("_items") < min_items), docs.columns)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs, each text without its hit words; what stood between two hit words goes too."""
-    scanned = scan(docs, bench, width)
-    names = docs.columns
+    scanned = scan(_held(docs), bench, width).select("text", "_row", "_hits")
 
     def each(batches):
         for batch in common.slices(batches, "text"):
-            texts = batch.column(names.index("text"))
+            texts = batch.column(0)
             data, offs = common.text_bytes(texts)
             starts, ends, of = common.words_of(common.LOWER[data], offs, WORD)
             at = np.searchsorted(of, np.arange(len(offs)))
             cleaned = []
-            for i, bits in enumerate(batch.column(batch.schema.get_field_index("_hits")).to_pylist()):
+            for i, bits in enumerate(batch.column(2).to_pylist()):
                 if bits is None:
                     cleaned.append(texts[i].as_py())
                     continue
@@ -183,8 +190,6 @@ def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataF
                     last = ends[at[i] + b]
                 keep.append(data[last : offs[i + 1]])
                 cleaned.append(b"".join(k.tobytes() for k in keep).decode())
-            cols = [pa.array(cleaned, texts.type) if c == "text" else batch.column(k) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return scanned.select(*names, "_hits").mapInArrow(each, docs.schema)
+            yield pa.RecordBatch.from_arrays([pa.array(cleaned, texts.type), batch.column(1)], names=["text", "_row"])
 
+    return _released(scanned.mapInArrow(each, scanned.drop("_hits").schema), docs.columns)

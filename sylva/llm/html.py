@@ -267,15 +267,14 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, min_pages: int =
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     trees = common.written(unimportant_nodes(pages, least, min_pages), "style-trees").withColumnRenamed("host", "_tree_host")
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    x = pages.select(*[pages[c] for c in names], pages["html"].alias("_html"), host.alias("_host"))
+    x = pages.select(common.held(pages, names), pages["html"].alias("_html"), host.alias("_host"))
     x = x.join(trees, x["_host"] == trees["_tree_host"], "left").drop("_host", "_tree_host")
 
     def each(batches):
         for batch in common.slices(batches, "_html", 8 << 20):
-            at = batch.schema.names
-            low = batch.column(at.index("paths")).to_pylist()
-            texts = [Page(h).main_text(frozenset(p or ())) if h else "" for h, p in zip(batch.column(at.index("_html")).to_pylist(), low, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at.index(c)) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
+            texts = [Page(h).main_text(frozenset(p or ())) if h else "" for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_row", "text", "n_chars"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in names), "text string, n_chars long"])
-    return x.mapInArrow(each, schema)
+    x = x.select("_row", "_html", "paths")
+    done = x.mapInArrow(each, x.select("_row").schema.add("text", "string").add("n_chars", "long"))
+    return done.select(*common.released(names), "text", "n_chars")

@@ -71,7 +71,7 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[float, ...] = WEIGH
     made = ("size", "source_size", "target", "taken")
     keep = [c for c in (columns or docs.columns) if c not in made]
     key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
-    x = docs.select(*[docs[c] for c in keep], n_words(docs["text"]).alias("size"), key.alias("_key"), docs["source"].alias("_source"))
+    x = docs.select(common.held(docs, keep), docs["doc_id"].alias("_id"), n_words(docs["text"]).alias("size"), key.alias("_key"), docs["source"].alias("_source"))
     # 1 - exp(-key) spreads the exponential keys over (0, 1) for the cells
     x = x.withColumn("_cell", F.least(F.lit(cells - 1), F.floor((1 - F.exp(-F.col("_key"))) * cells)).cast("int"))
     x = x.withColumn("_cell", F.coalesce("_cell", F.lit(cells - 1)))
@@ -92,10 +92,10 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[float, ...] = WEIGH
     )
     x = x.join(plan, x["_source"].eqNullSafe(plan["_s"]))
     base = F.col("epochs") * F.col("size")
-    out = lambda df, taken: df.select(*keep, F.col("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target"), taken.cast("long").alias("taken"))
+    out = lambda df, taken: df.select(*common.released(keep), F.col("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target"), taken.cast("long").alias("taken"))
     at_cut = F.col("_cell") == F.col("_cut")
     plain = out(x.filter(~at_cut), base + F.when(F.col("_cell") <= F.col("_full"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("_source").orderBy("_key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_source").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = x.filter(at_cut).withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = out(edge, base + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_room") - F.col("_before"))))
     return plain.unionByName(edge)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .matches import found, joined, let
 
 KEY = "sylva-pseudonym-key"
@@ -194,10 +195,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     text = docs["text"]
     # a digit next to a digit or an @ stands in every match: most texts are passed over by that
     hits = F.when(text.rlike("@|[0-9][^A-Za-z]?[0-9]"), found(text, ANY)).otherwise(F.array().cast("array<struct<before:string,match:string,after:string>>"))
-    x = docs.select(*[docs[c] for c in keep], hits.alias("_hits"))
+    x = docs.select(text.alias("text"), common.held(docs, [c for c in keep if c != "text"]), hits.alias("_hits"))
     x = x.withColumn("_kinds", F.transform("_hits", lambda h: kind_of(h["match"])))
     new = F.zip_with("_hits", "_kinds", lambda h, k: pseudonym(h["match"], k, key))
     x = x.withColumn("text", F.when(F.size("_hits") > 0, joined(F.col("_hits"), new)).otherwise(F.col("text")))
     n = lambda k: F.coalesce(F.size(F.filter("_kinds", lambda x: x == k)), F.lit(0)).cast("long").alias(f"n_{k}")
     total = F.when(F.col("_kinds").isNull(), F.lit(0)).otherwise(F.size(F.array_compact("_kinds"))).cast("long").alias("n_pii")
-    return x.select(*keep, total, *[n(k) for k in KINDS])
+    return x.select(*[F.col("text") if c == "text" else common.released([c])[0] for c in keep], total, *[n(k) for k in KINDS])

@@ -88,7 +88,7 @@ def _n(text: Column, but: str) -> Column:
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """A row per document: the base counts, class counts and counts of common words."""
     t = F.col("_t")
-    x = docs.select(*[docs[c] for c in keep], F.coalesce(docs["text"], F.lit("")).alias("_t"), docs["lang"].alias("_lang"))
+    x = docs.select(common.held(docs, keep), F.coalesce(docs["text"], F.lit("")).alias("_t"), docs["lang"].alias("_lang"))
     x = x.withColumn("_w", words(t))
     x = x.withColumn("_h", window_hashes(F.col("_w")))
     ws, n = F.col("_w"), F.size("_w").cast("long")
@@ -96,7 +96,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     seen = F.filter(ws, lambda w: w.isin(ALL_COMMON))
     counts = _let(seen, lambda s: F.transform(F.array_distinct(s), lambda w: F.struct(w.alias("w"), F.size(F.filter(s, lambda y: y == w)).alias("n"))))
     x = x.select(
-        *keep, "_lang", n.alias("n_words"), F.length(F.translate(t, common.WHITE, "")).cast("long").alias("word_chars"), _n(t, "#*$%&|<>").cast("long").alias("n_symbols"),
+        "_row", "_lang", n.alias("n_words"), F.length(F.translate(t, common.WHITE, "")).cast("long").alias("word_chars"), _n(t, "#*$%&|<>").cast("long").alias("n_symbols"),
         F.when(F.instr(t, "\n") == 0, F.lit(0)).otherwise(_let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s)))).cast("long").alias("n_dup_lines"), repeated_words(F.col("_h")).alias("n_repeat_words"),
         F.length(t).cast("long").alias("_chars"), (F.octet_length(t) - F.length(t)).cast("long").alias("wide"), _n(t, "A-Z").cast("long").alias("upper"), _n(t, "0-9").cast("long").alias("digit"), _n(t, ".,;:?'\"()-").cast("long").alias("stop"), _n(t, "!@\\[\\]{}_=+~^`/\\\\").cast("long").alias("mark"), counts.alias("_common"),
     )
@@ -149,10 +149,10 @@ def judge(docs: DataFrame, columns: list[str] | None = None, both: tuple[float,
     c, w = F.col("class_distance"), F.col("word_distance")
     far = ((c > both[0]) & (w > both[1])) | (c > either[0]) | (w > either[1])
     kept = ~F.col("base_failed") & (guarded | ~far)
-    return x.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+    return x.select(*common.released(keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
 
 
 def good(docs: DataFrame, **limits) -> DataFrame:
     """docs without those that are rejected. Rows go through whole, whatever their columns are called."""
-    x = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"], docs["lang"])
-    return judge(x, ["_row"], **limits).filter("kept").select("_row.*")
+    x = docs.select(common.held(docs, docs.columns).alias("_all"), docs["text"], docs["lang"])
+    return judge(x, ["_all"], **limits).filter("kept").select(*[F.col("_all")[c].alias(c) for c in docs.columns])

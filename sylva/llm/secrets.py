@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 from .matches import found, joined, let
 
 #: Labelled findings for training, at most.
@@ -129,17 +130,18 @@ def scan(docs: DataFrame, model=None, labelled: DataFrame | None = None, least:
     none = F.array().cast("array<struct<before:string,match:string,after:string>>")
     text = F.coalesce(docs["text"], F.lit(""))
     hits = F.when(text.rlike(CANDIDATE), F.transform(found(text, CANDIDATE), _bare)).otherwise(none)
-    x = docs.select(*[docs[c] for c in keep], hits.alias("_hits"))
+    x = docs.select(common.held(docs, keep), hits.alias("_hits"))
     made = lambda h: F.struct(*[c.alias(k) for k, c in features(h).items()])
     x = x.withColumn("_features", F.transform("_hits", made))
     x = x.withColumn("_scores", F.transform("_features", score))
     out = lambda h, s: F.struct(h["before"].alias("before"), h["match"].alias("match"), h["after"].alias("after"), s.alias("score"), (s >= least).alias("secret"))
-    return x.withColumn("findings", F.zip_with("_hits", "_scores", out)).select(*keep, "findings")
+    return x.withColumn("findings", F.zip_with("_hits", "_scores", out)).select(*common.released(keep), "findings")
 
 
 def redact(docs: DataFrame, mark: str = "<secret>", **how) -> DataFrame:
     """docs with a mark in place of each secret."""
-    x = scan(docs, **how)
+    others = [c for c in docs.columns if c != "text"]
+    x = scan(docs.select("text", common.held(docs, others)), **how)
     new = F.transform("findings", lambda f: F.when(f["secret"], F.lit(mark)).otherwise(f["match"]))
     secret = F.exists("findings", lambda f: f["secret"])
-    return x.withColumn("text", F.when(secret, joined(F.col("findings"), new)).otherwise(F.col("text"))).select(*docs.columns)
+    return x.withColumn("text", F.when(secret, joined(F.col("findings"), new)).otherwise(F.col("text"))).select(*[F.col("text") if c == "text" else common.released([c])[0] for c in docs.columns])

@@ -1,0 +1,392 @@
+"""Every operator on nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
+
+import collections
+import hashlib
+import math
+import re
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from sylva.llm import decontaminate, html, mixing, neardup, pii, quality, secrets, suffix, tokens, urls
+from sylva.llm.queries import queries
+from tests.llm.data import documents, edge_rows
+
+FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def white_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# substring deduplication
+
+
+def removed(rows, length=100):
+    """Brute force: document id -> (bytes, removed, spans, digest)."""
+    seen, out = set(), {}
+    for doc, text in sorted({(i, t or "") for i, t, *_ in rows if i is not None}):
+        raw = text.encode()
+        mark = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            w = raw[p : p + length]
+            if w in seen:
+                mark[p : p + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(c for c, m in zip(raw, mark, strict=True) if not m)
+        spans = sum(m and (k == 0 or not mark[k - 1]) for k, m in enumerate(mark))
+        out[doc] = (len(raw), sum(mark), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def check_removed(spark, rows, pieces=None):
+    got = suffix.deduplicate(documents(spark, rows)).collect()
+    want = removed(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.n_removed == 0
+        else:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+            assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.spans) == r.n_spans
+
+
+def test_substrings(spark):
+    check_removed(spark, edge_rows())
+
+
+def test_substring_copies_inside_a_text(spark):
+    a = edge_rows()[0][1]
+    rows = [(5, a[:250] + a[:250], "en", "s"), (3, "0" * 1000, "en", "s"), (4, "01" * 400 + "0" * 150, "en", "s"), (1, a[50:210], "en", "s"), (2, "z" + a[50:209] + "z" + a[10:180], "en", "s")]
+    check_removed(spark, rows)
+
+
+def test_maximal_repeats():
+    import numpy as np
+
+    a, b = b"abcde" * 24, b"xyz" + b"abcde" * 24 + b"q"
+    text = np.frombuffer(a + b, np.uint8)
+    starts, lengths = np.array([0, len(a)]), np.array([len(a), len(b)])
+    at = np.concatenate([np.arange(len(a) - 99), len(a) + np.arange(len(b) - 99)])
+    found = {(size, tuple(sorted(p.tolist()))) for size, p in suffix.maximal_repeats(text, starts, lengths, at)}
+    assert (120, (0, 123)) in found
+    assert all(len({text[p : p + size].tobytes() for p in places}) == 1 for size, places in found)
+
+
+# decontamination
+
+
+def hits(text, items, width=8):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+    hit, found = set(), set()
+    for item, t in items:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
+        k = min(width, len(ws))
+        wins = {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if k else set()
+        for p in range(len(words) - k + 1) if k else ():
+            if tuple(words[p : p + k]) in wins:
+                hit.update(range(p, p + k))
+                found.add(str(item))
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_decontamination(spark, block):
+    rows = edge_rows()
+    items = [(1, rows[0][1][:200]), (2, rows[9][1][100:220]), (3, "One, two!"), (4, None), (5, ""), (6, "日本"), (7, rows[0][1][:200]), (7, "thy")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(decontaminate.scan(documents(spark), bench, block_bytes=block), ["doc_id", "text"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, h, ids = hits(r.text, items)
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, h, len(ids), len(ids) > 1)
+        assert r.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+    clean = decontaminate.remove_spans(documents(spark), bench)
+    assert clean.columns == documents(spark).columns
+    assert all(hits(r.text, [i for i in items if i[0] != 6])[1] == 0 for r in clean.collect() if r.doc_id in (7, 8))
+    assert decontaminate.remove_documents(documents(spark), bench.limit(0)).count() == len(rows)
+
+
+# urls
+
+
+def test_urls(spark):
+    cases = {
+        "http://A.Example.org/es/x?q": ("a.example.org", "/es/x", "example.org/es/", "block"), "https://example.org/en/12": ("example.org", "/en/12", "example.org/en/1", "block"), "https://b.org/": ("b.org", "/", "org/", "allow"),
+        "http://x.com/fr/casino": ("x.com", "/fr/casino", "com/fr/", "allow"), "http://x.com/de/": ("x.com", "/de/", "com/de/", "block"), "http://org": ("org", "", None, "allow"), "http://xorg/": ("xorg", "/", None, "allow"),
+        "http://the-casino.net/": ("the-casino.net", "/", None, "block"), "http://casinos.net/": ("casinos.net", "/", None, "allow"), "http://a.net/free/free": ("a.net", "/free/free", None, "allow"), "http://a.net/free-bet": ("a.net", "/free-bet", None, "block"),
+        None: ("", "", None, "allow"), "": ("", "", None, "allow"), "casino": ("", "", None, "block"), "http://h?a/b#c": ("h", "", None, "allow"),
+    }
+    df = spark.createDataFrame([(k, u, "z", "r") for k, u in enumerate(cases)], "page_id long, url string, host string, other string")
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
+    assert got == cases
+    assert urls.filter_urls(df).columns == df.columns and urls.judge_urls(df.limit(0)).count() == 0
+
+
+# html
+
+
+def test_html(spark):
+    page = """<!DOCTYPE html><html><head><title>no</title><script>var a = "<p>no</p>";</script></head><body class="x-sidebar"><header>no</header><nav><a href=#>no</a></nav>
+    <article><h1>A &amp; B</h1><p>one<br>two <b>three<p>four&nbsp;&lt;5&gt;<ul><li>six<li>seven</ul><div class="share">no</div><div class="comments"><p>no</div></article><aside>no</aside><form>no<input></form><footer>no"""
+    plain = "<div><p>First block of text</p><p>Second   block</p></div><div class='cookie-notice'>no</div><!-- no --><p hidden>no</p>"
+    rows = [(1, "http://h.net/a", page), (2, None, plain), (3, "http://h.net/b", None), (4, "http://h.net/c", ""), (5, "x", "a < b <c>d"), (5, "x", "a < b <c>d")]
+    df = spark.createDataFrame([(*r, "t", 9) for r in rows], "page_id long, url string, html string, text string, n_chars long")
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
+    want = {1: "A & B\none two three\nfour <5>\nsix\nseven", 2: "First block of text\nSecond block", 3: "", 4: "", 5: "a < b d"}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_site_style_tree(spark):
+    """What is the same on all pages of a host goes; what differs stays."""
+    rows = [(k, f"http://s.net/{k}", f"<body><div class='top'><p>Welcome to our site, dear reader</p></div><div class='story'><p>Story number {k} is long</p></div></body>") for k in range(30)]
+    rows += [(100, "http://t.net/1", rows[0][2])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story number {k} is long" for k in range(30))
+    assert got[100] == "Welcome to our site, dear reader\nStory number 0 is long"
+
+
+# personal data and secrets
+
+
+def test_pseudonyms(spark):
+    text = "mail jo.doe7@mail.example.com, card 4111 1111 1111 1111 or 4111111111111112, ip 10.0.0.255, tel +1 (293) 555-9179, 2021-02-28, 31.12.1999, 2021-02-30, 123-45-6789, GB82 WEST 1234 5698 7654 32"
+    df = documents(spark, [(1, text, "en", "s"), (2, "again jo.doe7@mail.example.com!", "en", "s"), (3, None, None, None), (4, "plain 1 2 3", "en", "s")])
+    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    assert set(df.columns) <= set(got[1].asDict()) and got[1].findings == "b"
+    new = got[1].text
+    assert got[1].n_pii == 8 and [getattr(got[1], f"n_{k}") for k in pii.KINDS] == [1, 1, 1, 1, 2, 1, 1]
+    for gone in ("jo.doe7@mail", "4111 1111", "10.0.0.255", "555-9179", "2021-02-28", "31.12.1999", "123-45-6789", "1234 5698"):
+        assert gone not in new
+    assert "4111111111111112" in new and "2021-02-30" in new
+    assert re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", text))[:30] == re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", new))[:30]
+    mail = re.search(r"\S+@\S+\.com", new)[0]
+    assert mail in got[2].text
+    digits = [int(c) for c in re.search(r"card ([\d ]{19})", new)[1] if c != " "]
+    assert sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    assert (got[3].text, got[3].n_pii, got[4].text, got[4].n_pii) == (None, 0, "plain 1 2 3", 0)
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_pair_permutation_is_one(spark):
+    p = pii.permuted_pair(F.col("id") % 7, F.floor(F.col("id") / 7).cast("long"), (7, 11), "t", "k")
+    got = spark.range(77).select(p.alias("p")).select("p.x", "p.y").distinct().count()
+    assert got == 77
+    p = pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "t", "k")
+    assert spark.range(1000).select(p.alias("p")).filter("p rlike '^[0-9]{3}$'").distinct().count() == 1000
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark, 1500))
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    rows = secrets.labelled_findings(spark, 2500).withColumn("h", F.struct("before", "match", "after"))
+    from sylva.llm.matches import let
+
+    score = secrets.compiled(forest)
+    rows = rows.withColumn("s", let(F.struct(*[c.alias(k) for k, c in secrets.features(F.col("h")).items()]), score))
+    n, right = rows.agg(F.count("*"), F.count_if((F.col("s") >= 0.5) == (F.col("label") == 1.0))).first()
+    assert n == 2500 and right / n > 0.98
+
+
+def test_secrets(spark, forest):
+    key = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"
+    df = documents(spark, [(1, f'x token = "{key}" y', "en", "s"), (2, None, None, None), (3, f"commit {key} is it", "en", "s"), (4, "", "en", "s"), (5, f'x token = "{key}" y', "en", "s")])
+    got = {r.doc_id: r for r in secrets.redact(df, model=forest).collect()}
+    assert got[1].text == got[5].text == 'x token = "<secret>" y'
+    assert (got[2].text, got[3].text, got[4].text) == (None, f"commit {key} is it", "") and got[1].findings == "b"
+    assert secrets.redact(df.limit(0), model=forest).count() == 0
+
+
+# token counts
+
+
+def test_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [*edge_rows(), (20, "a<|endoftext|>b it's 1234  \n\n x", "en", "s"), (21, "aaaaaaaaaa" * 50, "en", "s")]
+    got = tokens.token_counts(documents(spark, rows), path).collect()
+    t = Tokenizer.from_file(path)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False).ids)
+        assert r.over_limit == (r.n_tokens > 1024)
+
+
+# quality rules
+
+
+def base_counts(text):
+    t = text or ""
+    ws = white_words(t)
+    lines = [x for x in t.split("\n") if white_words(x)]
+    at = collections.defaultdict(list)
+    for i in range(len(ws) - 7):
+        at[tuple(ws[i : i + 8])].append(i)
+    rep = {j for ps in at.values() if len(ps) > 1 for p in ps for j in range(p, p + 8)}
+    return len(ws), sum(map(len, ws)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep)
+
+
+def test_quality(spark):
+    df = documents(spark)
+    for r in quality.judge(df).withColumn("text", F.lit(None)).collect():
+        assert r.kept is not None
+    got = quality.judge(df, ["doc_id", "text"]).collect()
+    assert len(got) == len(edge_rows())
+    for r in got:
+        want = base_counts(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r.base_failed and r.kept)
+    good = quality.good(df)
+    assert good.columns == df.columns and {r.doc_id for r in good.collect()} >= {1, 2, 3, 13}
+    assert quality.good(df.limit(0)).count() == 0
+
+
+def test_divergence(spark):
+    """Jensen-Shannon distances against their definition, and junk against prose."""
+    p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    want = math.sqrt(sum(a * math.log2(a / c) for a, c in zip(p, m, strict=True) if a) / 2 + sum(b * math.log2(b / c) for b, c in zip(q, m, strict=True) if b) / 2)
+    got = spark.range(1).select(quality._js([(F.lit(a), F.lit(b)) for a, b in zip(p, q, strict=True)])).first()[0]
+    assert abs(want - got) < 1e-12
+    from tests.llm.data import prose
+
+    rows = [(k, prose(k, 150), "en", "s") for k in range(20)] + [(100, " ".join(f"{w}$$$" for w in prose(100, 150).split()), "en", "s"), (101, prose(101, 150).upper().replace(" ", "!! "), "en", "s")]
+    kept = {r.doc_id for r in quality.good(documents(spark, rows)).collect()}
+    assert kept == set(range(20))
+
+
+# mixing
+
+
+def test_mixing(spark):
+    df = documents(spark)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(edge_rows())
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+        assert 0 <= r.taken <= 3 * r.size
+        assert r.size == len(white_words(r.text))
+    total = sum(r.size for r in got)
+    for rows in by.values():
+        target, size = rows[0].target, sum(r.size for r in rows)
+        assert rows[0].source_size == size and target <= 3 * size + 1e-6
+        assert abs(sum(r.taken for r in rows) - target) <= 1
+    assert abs(sum(rows[0].target for rows in by.values()) - total) < 1e-6
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_mixing_prefers_weight(spark):
+    """Of equal documents those with symbols are taken less often."""
+    rows = [(k, " ".join(["word"] * 20) if k % 2 else " ".join(["wo$d"] * 20), "en", "a") for k in range(400)] + [(1000, "x " * 30000, "en", "b")]
+    taken = {r.doc_id: r.taken for r in mixing.mix(documents(spark, rows), weights=(1.0, 9.0)).collect()}
+    plain, marked = sum(taken[k] for k in range(1, 400, 2)), sum(taken[k] for k in range(0, 400, 2))
+    assert plain > 0 and (plain > 1.2 * marked or plain == marked == 3 * 4000)
+
+
+# near-duplicates
+
+
+def components(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = white_words((t or "").translate(FOLD))
+        if i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates(spark):
+    from tests.llm.data import prose
+
+    import random
+
+    rows = edge_rows()
+    for k in range(40):
+        words, r = prose(7, 200).split(), random.Random(k)
+        for _ in range(r.randint(0, 9)):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        rows.append((200 + k, " ".join(words), "en", "s"))
+    got = neardup.clusters(documents(spark, rows)).collect()
+    want = components(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
+            assert r.kept == (r.doc_id == r.component_id)
+    one = neardup.keep_one(documents(spark, rows))
+    assert one.columns == documents(spark).columns
+    kept = [r.doc_id for r in one.collect()]
+    assert sorted(i for i in kept if i is not None) == sorted({c for _, c in want.values()})
+    assert neardup.clusters(documents(spark).limit(0)).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for shared in (400, 380, 360, 340):
+        other = np.concatenate([base[:shared], rng.integers(0, 1 << 63, 400 - shared, dtype=np.uint64)])
+        sets = np.concatenate([np.sort(base), np.sort(other)])
+        sig = neardup.signatures(sets, np.array([0, 400, 800]))
+        s = np.frombuffer(neardup.odd_sketches(sig).tobytes(), np.uint64).reshape(2, -1)
+        assert abs(neardup.sketch_similarity(s[0], s[1]) - shared / (800 - shared)) < 0.12
+
+
+def test_hot_star_components(spark):
+    from sylva.llm import graph
+
+    edges = [(0, k) for k in range(1, 50)] + [(k, k + 1) for k in range(100, 160)] + [(200, 201)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert len(got) == 50 + 61 + 2 and {got[k] for k in range(50)} == {0} and {got[k] for k in range(100, 161)} == {100}
+
+
+# the pipeline, and every query on its tables
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in quality.judge(docs, ["doc_id"]).filter("kept").collect()}
+    rows = [r for r in rows if r[0] in kept]
+    named = components(rows)
+    rows = [r for r in rows if named[r[0]][1] == r[0]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [r for r in rows if len(hits(r[1], items)[2]) < 2]
+    assert set(got) <= {r[0] for r in rows} and len(got) > 0.3 * len(rows)
+    assert not any(re.search(r'token = "[0-9a-f]{40}"', r.text) for r in got.values())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op4_html_text", "op5_pii_pseudonyms", "op6_secret_scan", "op7_token_counts", "op8_quality_rules"])
+def test_queries_cover_their_tables(spark, name):
+    sf = "/root/testdata/sf0.001"
+    t = "pages" if name.startswith("op4") else "documents"
+    assert queries()[name](spark, sf).count() == spark.read.parquet(f"{sf}/{t}.parquet").count()
