@@ -5,7 +5,8 @@
 2. Documents with equal sets are one class, named by its smallest doc_id; only one of them goes on.
 3. Classes that share a band's hash are tied to the smallest class there (a star, not all pairs), and the ties'
    connected components are the blocks in which links can lie.
-4. Within a block, classes of a shared band that are not connected yet are compared: XOR population counts of
+4. A block of more than BLOCK_BYTES is cut into parts; each pair of parts is a cell, so that any two classes
+   meet in one and no task holds more than two parts. Within a cell, classes of a shared band that are not connected yet are compared: XOR population counts of
    the odd sketches estimate the similarity, candidates are confirmed on the full sets. A bucket whose members
    are already connected is passed over, so a family of n near copies takes about n comparisons, not n * n.
 
@@ -34,6 +35,8 @@ ROWS, BANDS = 5, 48
 SKETCH_BITS = 1024
 #: Estimated similarity under which a candidate is not confirmed on full sets.
 SKETCH_LEAST = 0.58
+#: Bytes of sets, bands and sketches that a part of a block may have; a cell holds two parts.
+BLOCK_BYTES = 48 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[9:14] = _WORD[32] = False
@@ -191,7 +194,7 @@ def resolve(ids: np.ndarray, bands: np.ndarray, sketches: np.ndarray, sets: list
 
 
 def _resolved(blocks: DataFrame) -> DataFrame:
-    """class_id, component for rows (block, class_id, bands, sketch, text) sorted by block."""
+    """class_id, component for rows (cell, class_id, bands, sketch, text) sorted by cell."""
 
     def done(rows: list) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[0])
@@ -204,10 +207,10 @@ def _resolved(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for part in common.slices([batch], "text", 2 << 20):
                 sets, offs = shingle_sets(part.column(4))
-                block, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
+                cell, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
                 bands = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
                 sketches = part.column(3).to_pylist()
-                for i, b in enumerate(block):
+                for i, b in enumerate(cell):
                     if b != now and rows:
                         yield done(rows)
                         rows = []
@@ -219,20 +222,36 @@ def _resolved(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(each, "class_id long, component long")
 
 
-def clusters(docs: DataFrame) -> DataFrame:
+def cells(member: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, bool]:
+    """class_id, bands, sketch and cell for rows (block, class_id, n_shingles, bands, sketch), a row for each
+    cell that a class is in; and whether any block has more than one part."""
+    weight = F.sum(8 * F.col("n_shingles") + 8 * BANDS + SKETCH_BITS // 8)
+    parts = member.groupBy("block").agg(F.ceil(weight / block_bytes).cast("int").alias("_parts")).filter("_parts > 1").withColumnRenamed("block", "_block")
+    x = member.join(parts, member["block"] == parts["_block"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("class_id"), "_parts").cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
+    x = x.select("block", "class_id", "bands", "sketch", F.explode(others).alias("pair"))
+    return x.select(F.xxhash64("block", "pair.a", "pair.b").alias("cell"), "class_id", "bands", "sketch"), bool(parts.limit(1).count())
+
+
+def clusters(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the document names its component): one row for each row of docs."""
     seen = common.written(profiles(docs), "profiles")
     full = seen.filter("set_key is not null and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     classes = common.written(classes, "classes")
     in_band = classes.select("class_id", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("class_id").alias("lead"), F.max("class_id").alias("last")).filter("lead < last").select("band", "lead")
     ties = in_band.join(shared, "band").filter("class_id <> lead").select(F.col("class_id").alias("u"), F.col("lead").alias("v"))
     blocks = graph.components(ties)
-    member = classes.join(blocks, classes["class_id"] == blocks["node"]).select("class_id", "bands", "sketch", F.col("component").alias("block"))
+    member = classes.join(blocks, classes["class_id"] == blocks["node"]).select("class_id", "n_shingles", "bands", "sketch", F.col("component").alias("block"))
+    dealt, divided = cells(common.written(member, "blocks"), block_bytes)
     texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text")
-    rows = member.join(texts, "class_id").select("block", "class_id", "bands", "sketch", "text").repartition("block").sortWithinPartitions("block", "class_id")
-    linked = _resolved(rows).groupBy("class_id").agg(F.min("component").alias("component"))
+    rows = dealt.join(texts, "class_id").select("cell", "class_id", "bands", "sketch", "text").repartition("cell").sortWithinPartitions("cell", "class_id")
+    linked = _resolved(rows)
+    if divided:  # a class is in several cells: what they found is joined
+        linked = graph.components(linked.toDF("u", "v")).toDF("class_id", "component")
+    linked = linked.groupBy("class_id").agg(F.min("component").alias("component"))
     named = classes.select("set_key", "class_id").join(linked, "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

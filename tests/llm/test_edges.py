@@ -334,6 +334,8 @@ def test_near_duplicates(spark):
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
             assert r.kept == (r.doc_id == r.component_id)
+    parted = neardup.clusters(documents(spark, rows), block_bytes=4000).collect()
+    assert sorted(map(str, parted)) == sorted(map(str, got))
     one = neardup.keep_one(documents(spark, rows))
     assert one.columns == documents(spark).columns
     kept = [r.doc_id for r in one.collect()]
