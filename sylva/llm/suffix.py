@@ -3,21 +3,22 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier in the corpus (a smaller doc_id,
 or the same document and an earlier start).
 
-1. Every window of `length` bytes is dealt by its anchor, the smallest hash among the `gram`-byte strings in
-   it, which depends on the window's bytes alone: equal windows meet, whatever stands around them. Windows
-   that share an anchor overlap, so one context of at most 2 * length bytes is sent for each anchor, about
-   one in (length - gram) / 2 bytes. Within a task equal contexts are sent once; the later ones are repeats
-   already. Contexts travel as compressed blocks, one per task slice and bucket.
-2. In a bucket, equal contexts of an anchor are settled at once. For the different ones a suffix array with
+1. Texts are packed by document bucket, compressed; that one exchange serves all steps below.
+2. Every window of `length` bytes is dealt by its anchor, the smallest hash among the `gram`-byte strings in
+   it, which depends on the window's bytes alone: equal windows meet, whatever stands around them. First the
+   anchors' hashes meet, and a bit for each goes back: whether it occurs more than once.
+3. Windows that share an anchor overlap, so for each anchor occurrence that is not unique one context of less
+   than 2 * length bytes is sent. Within a bucket equal contexts are sent once; the later ones are repeats.
+4. Where contexts meet, equal ones of an anchor are settled at once. For the different ones a suffix array with
    LCPs is built (prefix doubling on ranks). A stack scan over it gives the intervals of a common prefix of at
    least `length`; those whose occurrences differ in the byte to their left are the maximal repeats, each
    with all its occurrences. All but the first of them are repeats.
-3. The repeats' spans go back to the documents' own buckets as compressed blocks.
+5. The repeats' spans go back to the documents' own buckets as compressed blocks.
 
-A frequent passage costs a bucket one context per task and variant. doc_id is a key: repeated rows are equal
-and are one document. Null text: no bytes. Null doc_id: nothing is removed, and it is no earlier occurrence.
-Texts under `length` bytes lose nothing. Empty table: empty result. Spans may cut a character: kept bytes are
-bytes, not text.
+A frequent passage costs one context per document bucket and variant of its surroundings. doc_id is a key:
+repeated rows are equal and are one document. Null text: no bytes. Null doc_id: nothing is removed, and it is
+no earlier occurrence. Texts under `length` bytes lose nothing. Empty table: empty result. Spans may cut a
+character: kept bytes are bytes, not text.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from . import common
 
 LENGTH = 100
 GRAM = 24
-#: Texts are cut into pieces of so many bytes (overlapping by LENGTH - 1) for the scan.
-PIECE = 3 << 20
+#: Texts are scanned in pieces of so many bytes, which overlap by length - 1.
+PIECE = 256 << 10
+#: Bytes of text that a task packs before it sends them on.
+PACK = 24 << 20
 #: Bytes of context for which one suffix array is built, about.
 ARRAY = 1 << 20
 _POS = np.uint64((1 << 26) - 1)
@@ -90,19 +93,47 @@ def contexts(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return grams[at], np.searchsorted(offs, begin, "right") - 1, begin, stop - begin + length, at - begin
 
 
+def _chunks(lengths: np.ndarray, most: int):
+    """Ranges (i, j) of spans of at most so many bytes together, one span at least."""
+    sizes, i = np.cumsum(lengths), 0
+    while i < len(lengths):
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of spans end to end, without an index of every byte."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([view[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]), np.uint8)
+
+
 def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Whether the spans at a and b hold equal bytes."""
-    if not len(a):
-        return np.zeros(0, bool)
-    equal = data[ragged(a, lengths)] == data[ragged(b, lengths)]
-    return np.logical_and.reduceat(equal, np.cumsum(lengths) - lengths)
+    out = np.zeros(len(a), bool)
+    for i, j in _chunks(lengths, PIECE):
+        n = lengths[i:j]
+        equal = data[ragged(a[i:j], n)] == data[ragged(b[i:j], n)]
+        out[i:j] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out
+
+
+def span_digests(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span; spans in the order of their starts, up to 256 bytes long."""
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + PIECE)))
+        lo, end = start[i], start[j - 1] + 256
+        total = prefix_sums(data[lo:end])
+        a, n = start[i:j] - lo, lengths[i:j]
+        out[i:j] = common.mixed((total[a + n] - total[a]) * _POWERS.both(len(total))[1][a] + n.astype(np.uint64))
+        i = j
+    return out
 
 
 def first_of_equal(data, anchor, place, start, lengths, doc, offset):
     """For each context the number of the first one (by doc, offset) with the same anchor, place and bytes."""
-    total = prefix_sums(data)
-    up_down = _POWERS.both(len(total))[1]
-    body = common.mixed((total[start + lengths] - total[start]) * up_down[start] + (lengths * 256 + place).astype(np.uint64)) ^ anchor
+    body = common.mixed(span_digests(data, start, lengths) + place.astype(np.uint64)) ^ anchor
     order = np.lexsort((offset, doc, body))
     b = body[order]
     new = np.append(True, b[1:] != b[:-1]) if len(b) else np.zeros(0, bool)
@@ -270,7 +301,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def packed(*arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -282,118 +313,227 @@ def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(doc, n)
+_SPANS, _CONTEXTS = -1, (np.uint64, np.uint8, np.uint8, np.int64, np.int64, np.uint8)
+
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j) of the runs of equal values."""
+    if not len(values):
+        return []
+    cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist()
+    return list(zip(cuts, [*cuts[1:], len(values)], strict=True))
 
-_SPANS, _CONTEXTS = -1, (np.uint64, np.uint8, np.uint8, np.int64, np.int64, np.uint8)
-_BLOCKS = "bucket long, kind int, block binary"
-
-
-def _span_blocks(spans: np.ndarray, n_docs: int):
-    """(doc bucket, block) of merged spans."""
-    spans = merged(spans)
-    b = _doc_bucket(spans[:, 0], n_docs)
-    order = np.argsort(b, kind="stable")
-    cuts = np.flatnonzero(np.append(True, b[order][1:] != b[order][:-1])) if len(b) else []
-    for i, j in zip(cuts, [*cuts[1:], len(b)], strict=True) if len(b) else ():
-        x = spans[order[i:j]]
-        yield int(b[order[i]]), packed(x[:, 0], x[:, 1].astype(np.int64), (x[:, 2] - x[:, 1]).astype(np.int64))
-
-
-def _pieces(batches, length: int):
-    """Runs of texts: bytes end to end, offsets, doc_ids and the offset of each text's first byte in its document."""
-    for batch in common.slices(batches, "text", PIECE):
-        data, offs = common.text_bytes(batch.column(1))
-        docs = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-        if len(offs) == 2 and len(data) > 2 * PIECE:
-            for lo in range(0, max(1, len(data) - length + 1), PIECE):
-                part = data[lo : lo + PIECE + length - 1]
-                yield part, np.array([0, len(part)]), docs, np.array([lo])
-        else:
-            yield data, offs, docs, np.zeros(len(docs), np.int64)
 
+def _table(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-def context_blocks(docs: DataFrame, n_buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Blocks of contexts by bucket, and (kind -1) of spans that are repeats within one slice already."""
+
+def packed_documents(docs: DataFrame, n: int) -> DataFrame:
+    """bucket, block: the documents (id, whether the id is null, length, bytes) of each bucket, compressed."""
+
+    def block(parts: list) -> bytes:
+        ids, null, lengths, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return packed(ids, null, lengths, data)
 
     def each(batches):
-        for data, offs, ids, base in _pieces(batches, length):
-            anchor, text, start, lengths, place = contexts(data, offs, length, gram)
-            doc, offset = ids[text], start - offs[text] + base[text]
-            first = first_of_equal(data, anchor, place, start, lengths, doc, offset)
+        held, size = defaultdict(list), 0
+
+        def flush():
+            return _table(["bucket", "block"], [pa.int64(), pa.binary()], [(b, block(parts)) for b, parts in held.items()])
+
+        for batch in common.slices(batches, "text", 8 << 20):
+            data, offs = common.text_bytes(batch.column(1))
+            null = np.asarray(batch.column(0).is_null().to_numpy(zero_copy_only=False))
+            ids = batch.column(0).fill_null(0).to_numpy()
+            bucket = np.mod(ids, n)
+            order = np.argsort(bucket, kind="stable")
+            lengths = np.diff(offs)
+            for i, j in _runs(bucket[order]):
+                k = order[i:j]
+                held[int(bucket[k[0]])].append((ids[k], null[k].astype(np.uint8), lengths[k], gathered(data, offs[k], lengths[k])))
+            size += len(data)
+            if size > PACK:
+                yield flush()
+                held.clear()
+                size = 0
+        if held:
+            yield flush()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "bucket long, block binary").repartition(n, "bucket")
+
+
+class Bucket:
+    """The documents of a bucket by id, end to end."""
+
+    def __init__(self, blocks: pa.Table):
+        parts = [unpacked(b, np.int64, np.uint8, np.int64, np.uint8) for b in blocks.column("block").to_pylist()]
+        ids, null, lengths, data = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        begin = np.cumsum(lengths) - lengths
+        order = np.lexsort((lengths, ids, null))
+        self.ids, self.null, self.lengths = ids[order], null[order].astype(bool), lengths[order]
+        self.data = gathered(data, begin[order], self.lengths)
+        self.offs = np.concatenate([[0], np.cumsum(self.lengths)])
+
+    def contexts(self, length: int, gram: int):
+        """Anchor, document number, start within data, length and anchor's place of all contexts."""
+        out, i, n = [], 0, int((~self.null).sum())
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.offs, self.offs[i] + PIECE, "right")) - 1)
+            j = min(j, n)
+            lo, hi = self.offs[i], self.offs[j]
+            if j == i + 1 and hi - lo > 2 * PIECE:
+                for at in range(lo, max(lo + 1, hi - length + 1), PIECE):
+                    end = min(hi, at + PIECE + length - 1)
+                    a, d, s, ln, p = contexts(self.data[at:end], np.array([0, end - at]), length, gram)
+                    out.append((a, d + i, s + at, ln, p))
+            else:
+                a, d, s, ln, p = contexts(self.data[lo:hi], self.offs[i : j + 1] - lo, length, gram)
+                out.append((a, d + i, s + lo, ln, p))
+            i = j
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]
+
+    def anchors(self, anchor: np.ndarray, n: int):
+        """(context bucket, its distinct anchors by hash, which of them occur more than once here)."""
+        distinct, counts = np.unique(anchor, return_counts=True)
+        hashes = common.mixed(distinct)
+        to = (hashes % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((hashes, to))
+        for i, j in _runs(to[order]):
+            k = order[i:j]
+            yield int(to[k[0]]), distinct[k], hashes[k] >> np.uint64(24), counts[k] > 1
+
+
+def _five(h: np.ndarray) -> bytes:
+    """Numbers under 2**40 in five bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """bucket (of documents), context_bucket, bits: for each of its distinct anchors whether it occurs elsewhere too."""
+
+    def own(blocks: pa.Table) -> pa.Table:
+        b = Bucket(blocks)
+        source = blocks.column("bucket")[0].as_py()
+        rows = [(to, source, _five(h), np.packbits(twice).tobytes()) for to, _, h, twice in b.anchors(b.contexts(length, gram)[0], n)]
+        return pa.Table.from_batches([_table(["context_bucket", "bucket", "hashes", "twice"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)])
+
+    def meet(batches):
+        held = defaultdict(list)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[row[0]].append(row[1:])
+        for to, rows in held.items():
+            hashes = [_from_five(r[1]) for r in rows]
+            twice = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(h)).astype(bool) for r, h in zip(rows, hashes, strict=True)]
+            every = np.concatenate(hashes)
+            order = np.argsort(every, kind="stable")
+            same = every[order][1:] == every[order][:-1]
+            again = np.zeros(len(every), bool)
+            again[order] = np.append(same, False) | np.append(False, same)
+            again |= np.concatenate(twice)
+            bits, at = [], 0
+            for h in hashes:
+                bits.append(np.packbits(again[at : at + len(h)]).tobytes())
+                at += len(h)
+            yield _table(["bucket", "context_bucket", "bits"], [pa.int64(), pa.int64(), pa.binary()], [(r[0], to, x) for r, x in zip(rows, bits, strict=True)])
+
+    sent = texts.groupBy("bucket").applyInArrow(own, "context_bucket long, bucket long, hashes binary, twice binary")
+    return sent.repartition(n, "context_bucket").mapInArrow(meet, "bucket long, context_bucket long, bits binary")
+
+
+def _span_block(spans: np.ndarray) -> bytes:
+    return packed(spans[:, 0], spans[:, 1], spans[:, 2] - spans[:, 1])
+
+
+def context_blocks(texts: DataFrame, anchors: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """Blocks of contexts by context bucket; with kind -1 those of spans that are repeats within one bucket of documents."""
+
+    def own(blocks: pa.Table, bits: pa.Table) -> pa.Table:
+        rows = []
+        b = Bucket(blocks)
+        anchor, who, start, lengths, place = b.contexts(length, gram)
+        flags = dict(zip(bits.column("context_bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
+        wanted = [d[np.unpackbits(np.frombuffer(flags[to], np.uint8), count=len(d)).astype(bool)] for to, d, _, _ in b.anchors(anchor, n)]
+        if wanted:
+            keep = np.flatnonzero(np.isin(anchor, np.concatenate(wanted)))
+            anchor, who, start, lengths, place = anchor[keep], who[keep], start[keep], lengths[keep], place[keep]
+            doc, offset = b.ids[who], start - b.offs[who]
+            first = first_of_equal(b.data, anchor, place, start, lengths, doc, offset)
             once = first == np.arange(len(first))
             later = ~once & ((doc != doc[first]) | (offset != offset[first]))
             if later.any():
-                for b, blob in _span_blocks(np.stack([doc[later], offset[later], offset[later] + lengths[later]], 1), n_buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_SPANS], pa.int32()), pa.array([blob])], names=["bucket", "kind", "block"])
+                spans = merged(np.stack([doc[later], offset[later], offset[later] + lengths[later]], 1))
+                rows.append((blocks.column("bucket")[0].as_py(), _SPANS, _span_block(spans)))
             keep = np.flatnonzero(once)
-            bucket = (common.mixed(anchor[keep]) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keep, bucket = keep[order], bucket[order]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
-            rows = []
-            for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True) if cuts else ():
+            to = (common.mixed(anchor[keep]) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            keep, to = keep[order], to[order]
+            for i, j in _runs(to):
                 k = keep[i:j]
-                rows.append((int(bucket[i]), packed(anchor[k], place[k].astype(np.uint8), lengths[k].astype(np.uint8), doc[k], offset[k], data[ragged(start[k], lengths[k])])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows])], names=["bucket", "kind", "block"])
+                rows.append((int(to[i]), 0, packed(anchor[k], place[k].astype(np.uint8), lengths[k].astype(np.uint8), doc[k], offset[k], gathered(b.data, start[k], lengths[k]))))
+        return pa.Table.from_batches([_table(["bucket", "kind", "block"], [pa.int64(), pa.int32(), pa.binary()], rows)])
 
-    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(each, _BLOCKS)
+    return texts.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(own, "bucket long, kind int, block binary").repartition(n, "bucket")
 
 
-def span_blocks(blocks: DataFrame, n_buckets: int, length: int = LENGTH) -> DataFrame:
-    """Blocks of repeated spans by document bucket, from all blocks of contexts."""
+def span_blocks(blocks: DataFrame, n: int, length: int) -> DataFrame:
+    """Blocks of repeated spans by bucket of documents, from all blocks of contexts."""
 
     def each(batches):
         held = defaultdict(list)
         for batch in batches:
             for bucket, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == _SPANS:
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block])], names=["bucket", "block"])
+                    yield _table(["bucket", "block"], [pa.int64(), pa.binary()], [(bucket, block)])
                 else:
                     held[bucket].append(block)
         while held:
             parts = list(zip(*(unpacked(b, *_CONTEXTS) for b in held.popitem()[1]), strict=True))
             anchor, place, lengths, doc, offset, data = (np.concatenate(p) for p in parts)
             lengths = lengths.astype(np.int64)
-            found = repeats(data, anchor, place.astype(np.int64), np.cumsum(lengths) - lengths, lengths, doc, offset, length)
-            for b, blob in _span_blocks(found, n_buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([blob])], names=["bucket", "block"])
+            spans = merged(repeats(data, anchor, place.astype(np.int64), np.cumsum(lengths) - lengths, lengths, doc, offset, length))
+            to = np.mod(spans[:, 0], n)
+            order = np.argsort(to, kind="stable")
+            for i, j in _runs(to[order]):
+                yield _table(["bucket", "block"], [pa.int64(), pa.binary()], [(int(to[order[i]]), _span_block(spans[order[i:j]]))])
 
     return blocks.mapInArrow(each, "bucket long, block binary")
 
 
-def removed_spans(docs: DataFrame, n_buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    blocks = context_blocks(docs, n_buckets, length, gram)
-    return span_blocks(blocks.repartition(common.hot_partitions(docs.sparkSession), "bucket"), n_buckets, length)
-
-
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string"
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = True) -> DataFrame:
     """A row per document: its removed spans, the kept bytes (null without with_kept) and their SHA-256."""
-    n_buckets = 4 * common.hot_partitions(docs.sparkSession)
-    spans = removed_spans(docs, n_buckets, length, gram)
+    if not 8 <= gram <= length or 2 * length - gram > 255:
+        raise ValueError("a context must fit in 255 bytes: 8 <= gram <= length, 2 * length - gram <= 255")
+    n = common.hot_partitions(docs.sparkSession)
+    texts = packed_documents(docs, n)
+    anchors = repeated_anchors(texts, n, length, gram)
+    spans = span_blocks(context_blocks(texts, anchors, n, length, gram), n, length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
-    def apply(texts: pa.Table, blocks: pa.Table) -> pa.Table:
-        own = [unpacked(b, np.int64, np.int64, np.int64) for b in blocks.column("block").to_pylist()]
+    def apply(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        b = Bucket(blocks)
+        own = [unpacked(x, np.int64, np.int64, np.int64) for x in found.column("block").to_pylist()]
         doc, begin, size = (np.concatenate([o[k] for o in own]) if own else np.zeros(0, np.int64) for k in range(3))
-        found = merged(np.stack([doc, begin, begin + size], 1))
+        cuts = merged(np.stack([doc, begin, begin + size], 1))
+        lo, hi = np.searchsorted(cuts[:, 0], b.ids), np.searchsorted(cuts[:, 0], b.ids, "right")
         rows = []
-        for doc_id, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            raw = text or b""
-            lo, hi = (np.searchsorted(found[:, 0], [doc_id, doc_id + 1]) if doc_id is not None else (0, 0))
-            cut, kept, at = found[lo:hi, 1:].tolist(), [], 0
-            for a, b in cut:
-                kept.append(raw[at:a])
-                at = b
+        for i, doc_id in enumerate(b.ids.tolist()):
+            raw, at, kept = b.data[b.offs[i] : b.offs[i + 1]].tobytes(), 0, []
+            cut = [] if b.null[i] else cuts[lo[i] : hi[i], 1:].tolist()
+            for x, y in cut:
+                kept.append(raw[at:x])
+                at = y
             kept = b"".join([*kept, raw[at:]])
-            rows.append((doc_id, len(raw), len(raw) - len(kept), len(cut), [{"begin": a, "end": b} for a, b in cut], kept if with_kept else None, hashlib.sha256(kept).hexdigest()))
+            rows.append((None if b.null[i] else doc_id, len(raw), len(raw) - len(kept), len(cut), [{"begin": x, "end": y} for x, y in cut], kept if with_kept else None, hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n_buckets)))
     return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(apply, RESULT)
-
