@@ -52,7 +52,8 @@ def positions(df: DataFrame, columns: list[Column], ascending: bool = True, name
     keys = [f"_k{i}" for i in range(len(columns))]
     keyed = df.select("*", *[c.alias(k) for c, k in zip(columns, keys, strict=True)])
     order = directed([F.col(k) for k in keys], ascending)
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not coalesced: both uses agree
+    dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
