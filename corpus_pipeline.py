@@ -21,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go."""
+    """Documents that hold a passage of a benchmark item go."""
     return decontaminate.remove_documents(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -162,9 +162,11 @@ def _released(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("text") if c == "text" else common.released([c])[0] for c in columns])
 
 
-def remove_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH, min_items: int = MIN_ITEMS) -> DataFrame:
-    """docs without those in which windows of at least min_items items occur."""
-    return _released(scan(_held(docs), bench, width).filter(F.size("_items") < min_items), docs.columns)
+def remove_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH, min_items: int = 1) -> DataFrame:
+    """docs without those in which windows of at least min_items items occur and at least width words are hit:
+    a short item alone, a word or two that any text may hold, does not condemn one."""
+    leaked = (F.size("_items") >= min_items) & (F.col("_n_hit") >= width)
+    return _released(scan(_held(docs), bench, width).filter(~leaked), docs.columns)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
