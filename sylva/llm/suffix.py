@@ -15,7 +15,10 @@ or the same document and an earlier start).
    with all its occurrences. All but the first of them are repeats.
 5. The repeats' spans go back to the documents' own buckets as compressed blocks.
 
-A frequent passage costs one context per document bucket and variant of its surroundings. doc_id is a key:
+An anchor in many document buckets is hot: a string shorter than a window that many documents share, with other
+text around it in each. Its contexts are cut where the smallest hashes near the window's two ends change, and are
+dealt by these as well. That too depends on the window's bytes alone, and no place gets all surroundings of a
+frequent string. A frequent passage of `length` bytes or more costs one context per document bucket. doc_id is a key:
 repeated rows are equal and are one document. Null text: no bytes. Null doc_id: nothing is removed, and it is
 no earlier occurrence. Texts under `length` bytes lose nothing. Empty table: empty result. Spans may cut a
 character: kept bytes are bytes, not text.
@@ -40,6 +43,9 @@ GRAM = 24
 PIECE = 256 << 10
 #: Bytes of text that a task packs before it sends them on.
 PACK = 24 << 20
+#: Document buckets from which on an anchor is hot, and how far from a window's ends its contexts are told apart.
+HOT_BUCKETS = 48
+ZONE = 24
 #: Bytes of context for which one suffix array is built, about.
 ARRAY = 1 << 20
 _POS = np.uint64((1 << 26) - 1)
@@ -316,11 +322,14 @@ def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
 _SPANS, _CONTEXTS = -1, (np.uint64, np.uint8, np.uint8, np.int64, np.int64, np.uint8)
 
 
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    """Places (i, j) of the runs of equal values."""
+def _runs(values: np.ndarray, also: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Places (i, j) of the runs of equal values (and of equal values in also)."""
     if not len(values):
         return []
-    cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist()
+    new = values[1:] != values[:-1]
+    if also is not None:
+        new |= also[1:] != also[:-1]
+    cuts = np.flatnonzero(np.append(True, new)).tolist()
     return list(zip(cuts, [*cuts[1:], len(values)], strict=True))
 
 
@@ -414,8 +423,31 @@ def _from_five(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int) -> DataFrame:
-    """bucket (of documents), context_bucket, bits: for each of its distinct anchors whether it occurs elsewhere too."""
+def split_contexts(data, anchor, start, lengths, length: int, gram: int):
+    """Contexts cut where the smallest hashes near the ends of their windows change; these make up the new anchors."""
+    zone, out = min(ZONE, length - gram + 1), []
+    for i, j in _chunks(lengths, PIECE):
+        flat, n = gathered(data, start[i:j], lengths[i:j]), lengths[i:j]
+        at = np.cumsum(n) - n
+        least = common.mixed(window_hashes(prefix_sums(flat), np.arange(len(flat) - gram + 1), gram) ^ np.uint64(0xA0761D6478BD642F))
+        size = 1
+        while 2 * size <= zone:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < zone:
+            least = np.minimum(least[: len(least) - (zone - size)], least[zone - size :])
+        windows = ragged(at, n - length + 1)
+        owner = np.repeat(np.arange(j - i), n - length + 1)
+        key = common.mixed(least[windows] + least[windows + length - gram + 1 - zone] * np.uint64(3)) ^ anchor[i:j][owner]
+        runs = np.array(_runs(key, owner), np.int64).reshape(-1, 2)
+        first, last = runs[:, 0], runs[:, 1] - 1
+        out.append((key[first], start[i:j][owner[first]] + windows[first] - at[owner[first]], windows[last] - windows[first] + length, owner[first] + i))
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
+
+
+def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int, hot_buckets: int = HOT_BUCKETS) -> DataFrame:
+    """bucket (of documents), context_bucket, bits, hot: for each of its distinct anchors whether it occurs elsewhere
+    too, and whether it does so in hot_buckets document buckets or more."""
 
     def own(blocks: pa.Table) -> pa.Table:
         b = Bucket(blocks)
@@ -431,20 +463,18 @@ def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int) -> DataFr
         for to, rows in held.items():
             hashes = [_from_five(r[1]) for r in rows]
             twice = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(h)).astype(bool) for r, h in zip(rows, hashes, strict=True)]
-            every = np.concatenate(hashes)
-            order = np.argsort(every, kind="stable")
-            same = every[order][1:] == every[order][:-1]
-            again = np.zeros(len(every), bool)
-            again[order] = np.append(same, False) | np.append(False, same)
-            again |= np.concatenate(twice)
+            _, number, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            count = count[number]
+            again, hot = (count > 1) | np.concatenate(twice), count >= hot_buckets
             bits, at = [], 0
-            for h in hashes:
-                bits.append(np.packbits(again[at : at + len(h)]).tobytes())
+            for r, h in zip(rows, hashes, strict=True):
+                part = slice(at, at + len(h))
+                bits.append((r[0], to, np.packbits(again[part]).tobytes(), np.packbits(hot[part]).tobytes()))
                 at += len(h)
-            yield _table(["bucket", "context_bucket", "bits"], [pa.int64(), pa.int64(), pa.binary()], [(r[0], to, x) for r, x in zip(rows, bits, strict=True)])
+            yield _table(["bucket", "context_bucket", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], bits)
 
     sent = texts.groupBy("bucket").applyInArrow(own, "context_bucket long, bucket long, hashes binary, twice binary")
-    return sent.repartition(n, "context_bucket").mapInArrow(meet, "bucket long, context_bucket long, bits binary")
+    return sent.repartition(n, "context_bucket").mapInArrow(meet, "bucket long, context_bucket long, bits binary, hot binary")
 
 
 def _span_block(spans: np.ndarray) -> bytes:
@@ -458,8 +488,10 @@ def context_blocks(texts: DataFrame, anchors: DataFrame, n: int, length: int, gr
         rows = []
         b = Bucket(blocks)
         anchor, who, start, lengths, place = b.contexts(length, gram)
-        flags = dict(zip(bits.column("context_bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
-        wanted = [d[np.unpackbits(np.frombuffer(flags[to], np.uint8), count=len(d)).astype(bool)] for to, d, _, _ in b.anchors(anchor, n)]
+        flags = dict(zip(bits.column("context_bucket").to_pylist(), zip(bits.column("bits").to_pylist(), bits.column("hot").to_pylist(), strict=True), strict=True))
+        set_ = lambda d, raw: d[np.unpackbits(np.frombuffer(raw, np.uint8), count=len(d)).astype(bool)]
+        own_anchors = [(to, d) for to, d, _, _ in b.anchors(anchor, n)]
+        wanted, hot = [set_(d, flags[to][0]) for to, d in own_anchors], [set_(d, flags[to][1]) for to, d in own_anchors]
         if wanted:
             keep = np.flatnonzero(np.isin(anchor, np.concatenate(wanted)))
             anchor, who, start, lengths, place = anchor[keep], who[keep], start[keep], lengths[keep], place[keep]
@@ -470,10 +502,19 @@ def context_blocks(texts: DataFrame, anchors: DataFrame, n: int, length: int, gr
             if later.any():
                 spans = merged(np.stack([doc[later], offset[later], offset[later] + lengths[later]], 1))
                 rows.append((blocks.column("bucket")[0].as_py(), _SPANS, _span_block(spans)))
-            keep = np.flatnonzero(once)
-            to = (common.mixed(anchor[keep]) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            keep, to = keep[order], to[order]
+            anchor, start, lengths, place, doc, offset = (x[once] for x in (anchor, start, lengths, place, doc, offset))
+            is_hot = np.isin(anchor, np.concatenate(hot))
+            if is_hot.any():
+                h = np.flatnonzero(is_hot)
+                key, at, size, whose = split_contexts(b.data, anchor[h], start[h], lengths[h], length, gram)
+                whose = h[whose]
+                cold = ~is_hot
+                join = lambda old, new: np.concatenate([old[cold], new])
+                anchor, offset, doc = join(anchor, key), join(offset, offset[whose] + at - start[whose]), join(doc, doc[whose])
+                start, lengths, place = join(start, at), join(lengths, size), join(place, np.zeros(len(key), np.int64))
+            to = (common.mixed(anchor) % np.uint64(n)).astype(np.int64)
+            keep = np.argsort(to, kind="stable")
+            to = to[keep]
             for i, j in _runs(to):
                 k = keep[i:j]
                 rows.append((int(to[i]), 0, packed(anchor[k], place[k].astype(np.uint8), lengths[k].astype(np.uint8), doc[k], offset[k], gathered(b.data, start[k], lengths[k]))))
@@ -509,13 +550,13 @@ def span_blocks(blocks: DataFrame, n: int, length: int) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string"
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = True, hot_buckets: int = HOT_BUCKETS) -> DataFrame:
     """A row per document: its removed spans, the kept bytes (null without with_kept) and their SHA-256."""
     if not 8 <= gram <= length or 2 * length - gram > 255:
         raise ValueError("a context must fit in 255 bytes: 8 <= gram <= length, 2 * length - gram <= 255")
     n = common.hot_partitions(docs.sparkSession)
     texts = packed_documents(docs, n)
-    anchors = repeated_anchors(texts, n, length, gram)
+    anchors = repeated_anchors(texts, n, length, gram, hot_buckets)
     spans = span_blocks(context_blocks(texts, anchors, n, length, gram), n, length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 

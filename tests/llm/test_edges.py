@@ -40,8 +40,8 @@ def removed(rows, length=100):
     return out
 
 
-def check_removed(spark, rows, pieces=None):
-    got = suffix.deduplicate(documents(spark, rows)).collect()
+def check_removed(spark, rows, **how):
+    got = suffix.deduplicate(documents(spark, rows), **how).collect()
     want = removed(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -60,6 +60,17 @@ def test_substring_copies_inside_a_text(spark):
     a = edge_rows()[0][1]
     rows = [(5, a[:250] + a[:250], "en", "s"), (3, "0" * 1000, "en", "s"), (4, "01" * 400 + "0" * 150, "en", "s"), (1, a[50:210], "en", "s"), (2, "z" + a[50:209] + "z" + a[10:180], "en", "s")]
     check_removed(spark, rows)
+    check_removed(spark, rows, hot_buckets=1)
+
+
+def test_substring_with_other_text_around_it(spark):
+    """A string shorter than a window in every text, passages that hold it in some: hot anchors."""
+    from tests.llm.data import prose
+
+    line, passage = prose(90, 10)[:60], prose(91, 60)
+    rows = [(k, f"{prose(k, 30)}\n{line}\n{prose(1000 + k % 9, 25)} " + (passage if k % 3 == 0 else ""), "en", "s") for k in range(60)]
+    check_removed(spark, rows, hot_buckets=2)
+    check_removed(spark, rows)
 
 
 def test_maximal_repeats():
