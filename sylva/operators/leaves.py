@@ -1,7 +1,8 @@
 """Leaf predicates as Catalyst expressions, by function name.
 
-FUNCTIONS is the extension point: a function from a leaf and a context to a boolean column. Every predicate is
-total: it gives true or false, never null, so that its complement is right.
+FUNCTIONS is the extension point: a function from a leaf and a context to a boolean column. A predicate may be
+null where a column is (no extension); the compiler makes it false before it negates it, and leaves it bare
+elsewhere, so that plain comparisons are pushed down to the scan.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def leaf_predicate(leaf: Leaf, ctx: Context) -> Column:
             out = (out | p) if leaf.any_item else (out & p)
         return out
     if fn is None:  # an unknown name is text
-        return F.coalesce(text_match(replace(leaf, fn="", value=f"{leaf.fn}:{leaf.value}"), ctx), F.lit(False))
-    return F.coalesce(fn(leaf, ctx), F.lit(False))
+        return text_match(replace(leaf, fn="", value=f"{leaf.fn}:{leaf.value}"), ctx)
+    return fn(leaf, ctx)
 
 
 def within(c: Column, b: Bounds | None) -> Column:

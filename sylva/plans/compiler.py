@@ -41,7 +41,7 @@ def compile_tree(node, ctx: Context) -> Compiled:
         if isinstance(n, MatchAll):
             return F.lit(True)
         if isinstance(n, Not):
-            return ~column(n.part)
+            return ~F.coalesce(column(n.part), F.lit(False))
         if isinstance(n, And | Or):
             parts = [column(p) for p in sorted(n.parts, key=_cost)]
             total = parts[0]

@@ -140,6 +140,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return check_schema(spark.read.parquet(path))
 
 
+def materialise(entries: DataFrame, path: str) -> None:
+    """Writes enriched entries in order of their parent's path: a directory's children lie together, and a search by
+    parent, size, date or extension reads only the row groups whose ranges meet it."""
+    entries.repartitionByRange("parent_path", "id").sortWithinPartitions("parent_path", "id").write.mode("overwrite").parquet(path)
+
+
 def roots(base: DataFrame) -> DataFrame:
     """The locations that a catalog covers, in id order."""
     return live(base).filter("parent is null").select("id", "name").orderBy("id")

@@ -161,3 +161,15 @@ def test_stream(spark, tmp_path):
     events(spark, [("2024-01-01", "overflow", None, None)]).coalesce(1).write.mode("append").parquet(src)
     run()
     assert len(got) == 1 and len(full) == 1
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """Over a stored catalog the comparisons are pushed to Parquet and only the needed columns are read."""
+    at = str(tmp_path / "e")
+    catalog.materialise(catalog.enriched(tree(spark, FLAT)), at)
+    e = spark.read.parquet(at)
+    df = matches(e, "parent:/t/flat ext:conf size:>1k conf").select("id")
+    pushed = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert all(x in pushed for x in ("EqualTo(parent_path,/t/flat)", "EqualTo(ext,conf)", "GreaterThanOrEqual(size,1025)", "IsNotNull(parent)"))
+    assert "mtime" not in pushed and df.count() == 1
+    assert matches(e, "!ext:conf").count() == 10 and matches(e, "!<ext:conf | size:0>").count() == 7
