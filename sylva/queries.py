@@ -64,7 +64,7 @@ SEARCHES = {
     "size_const": ("size:small", "size > 10240 and size <= 102400"),
     "range_on_column": ("size:<=0 file:", "size <= 0 and not is_dir"),
     "dm_cmp": ("dm:>1997-06-01", "mtime > 865123200"),
-    "dm_range": ("dm:1995..1996", "mtime between 788918400 and 851990399"),
+    "dm_range": ("dm:1995..1996", "mtime between 788918400 and 852076799"),
     "dc_cmp": ("dc:<1993", "ctime < 725846400"),
     "date_literals": ("dm:1995-03 | dm:>30d | dm:19960102 | dm:1994/02", "mtime between 794016000 and 796694399 or mtime > 1704067200 - 30 * 86400 or mtime = 820540800 or mtime between 760060800 and 760060800 + 31 * 86400 - 1"),
     "attrib": ("attrib:h", "is_hidden"),
@@ -451,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
     found["ev_prefix"] = f"{E} {_EVENTS} select dir, count(*) as marks from touched where dir = '/data/ASIA' or dir like '/data/ASIA/%' or dir = '/do' or dir like '/do/%' group by dir"
     found["ev_dedup"] = f"{E} {_EVENTS} select distinct e.id as dir_id from touched t join e on e.path = t.dir and e.is_dir"
     found["ev_loss"] = f"{E} {_EVENTS} select count(*) as losses from ev where kind = 'delete'"
-    found["ev_coalesce"] = f"""{E} {_EVENTS}, g as (select ts, dir, sum(fresh) over (order by ts rows unbounded preceding) as burst from
+    found["ev_coalesce"] = f"""{E} {_EVENTS}, g as (select ts, dir, sum(fresh) over (order by ts range unbounded preceding) as burst from
       (select ts, dir, case when ts - lag(ts) over (order by ts) < interval 10 minutes then 0 else 1 end as fresh from touched))
       select epoch_us(min(ts)) as begin_us, count(*) as marks, count(distinct dir) as dirs from g group by burst"""
     return found
