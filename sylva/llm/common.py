@@ -54,15 +54,15 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batches, column: str, most: int = 4 << 20):
-    """Cuts record batches into runs of rows of at most that many bytes of text, one row at least."""
+def slices(batches, column: str, most: int = 4 << 20, rows: int = 1 << 30):
+    """Cuts record batches into runs of at most so many rows and bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         offs = text_bytes(batch.column(batch.schema.get_field_index(column)))[1]
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
