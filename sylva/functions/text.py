@@ -63,6 +63,17 @@ def one_separator(value: str) -> str:
     return re.sub(r"[/\\]+", "/", value)
 
 
+def resolve_path(cwd: str, path: str) -> str:
+    """path seen from cwd, with one kind of separator and without . and .. components."""
+    parts: list[str] = []
+    for part in one_separator(path if path[:1] in ("/", "\\") else f"{cwd}/{path}").split("/"):
+        if part == "..":
+            del parts[-1:]
+        elif part not in ("", "."):
+            parts.append(part)
+    return "/" + "/".join(parts)
+
+
 def has_wildcard(value: str) -> bool:
     return any(c in value for c in "*?#[]")
 

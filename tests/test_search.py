@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sylva.functions.text import resolve_path
 from sylva.operators.leaves import Context
 from sylva.operators.search import Filter, SearchSession, command_line, search
 from sylva.plans import parser
@@ -119,3 +120,7 @@ def test_words_and_unicode(spark):
     n = lambda q: matches(e, q).count()
     assert [n(q) for q in ("ww:sylva", "prefix:sylva", "suffix:sylva", "suffix:x", "ww:x")] == [2, 1, 1, 1, 2]
     assert [n(q) for q in ("ü", "Ü", "日本", "diacritics:uni", "ignorews:ab", "a&sp;b")] == [0, 1, 1, 1, 1, 1]
+
+
+def test_resolve_path():
+    assert [resolve_path("/a/b", p) for p in ("c", "../c", "/x//y/", ".", "..\\..\\..", "c\\d/./e", "")] == ["/a/b/c", "/a/c", "/x/y", "/a/b", "/", "/a/b/c/d/e", "/a/b"]
