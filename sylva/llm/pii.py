@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network in DataFrame functions alone.
 
 E-mail and IP addresses, phone, card, social security and bank account (IBAN) numbers and dates are found by
-pattern and validated (Luhn, mod 97, calendar, number ranges). A valid value is permuted within its format:
+pattern and validated (Luhn, mod 97, calendar, number ranges). An IBAN ends where its country's length says; phone
+numbers may come without separators (+442071234567); dates are year first with - or /, or day first with ., / or
+-, padded or not, or month first where the day is over 12 (03/25/2021; 03/04/2021 is read day first). A valid value is permuted within its format:
 halves of the value are shifted in turn by digests of the other half and the key, each character within its
 own class, or numbers within their own range. A permutation of a format maps equal values to equal pseudonyms
 in all documents and different ones to different ones. Check digits are computed anew.
@@ -20,13 +22,27 @@ from .matches import found, joined, let
 
 KEY = "sylva-pseudonym-key"
 ROUNDS = 8
+#: The registry's IBAN lengths and their countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BF BJ BY CI CM CY DO GT HN HU LB ML NI PL SN SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern(n: int, countries: str) -> str:
+    """IBANs of n characters, together or in groups of four."""
+    groups, rest = divmod(n - 4, 4)
+    tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}(?![A-Za-z0-9])"
+
+
 #: The formats, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]\(?[0-9]{1,8}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9]|[.-][0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(_iban_pattern(n, cs) for n, cs in IBAN_LENGTHS.items())}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[2-9][0-9]{7,14}(?![0-9])|\+[2-9](?:\)?[ .-]?\(?[0-9]){7,14}\)?|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9]|[.-][0-9])",
     "ssn": r"(?<![A-Za-z0-9.-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:18|19|20|21)[0-9]{2}|(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|1[0-2])/(?:18|19|20|21)[0-9]{2})(?![A-Za-z0-9]|[./-][0-9])",
+    "date": r"(?<![A-Za-z0-9./-])(?:(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:18|19|20|21)[0-9]{2}|(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|1[0-2])/(?:18|19|20|21)[0-9]{2}|[0-3]?[0-9](?:\.[0-3]?[0-9]\.|/[0-3]?[0-9]/|-[0-3]?[0-9]-)(?:18|19|20|21)[0-9]{2}|(?:18|19|20|21)[0-9]{2}(?:/[0-3]?[0-9]/|-[0-3]?[0-9]-)[0-3]?[0-9])(?![A-Za-z0-9]|[./-][0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9]|[.-][0-9])",
 }
@@ -148,17 +164,88 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column) -> Column:
-    """The date that m spells, null if there is no such day."""
+    """The date that m, of the three padded formats, spells, null if there is no such day."""
     iso = F.when(F.substr(m, F.lit(5), F.lit(1)) == "-", m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
     return F.try_to_date(iso, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")))
 
 
+def _padded(m: Column) -> Column:
+    return m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$") & _date(m).isNotNull()
+
+
+def _heads() -> list[tuple[list[str], str, tuple[int, int]]]:
+    """For each other way to write a day and month (order, padding): the writings, that of a leap day ("" for none),
+    and two factors of the number of dates in 400 years. Month first counts only where day first can't be meant."""
+    days = [(m, d) for m, n in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(1, n + 1)]
+    found = []
+    for order, wa, wb in [(o, a, b) for o in ("md", "dm", "us") for a in (2, 1) for b in (2, 1)]:
+        def written(m, d, order=order, wa=wa, wb=wb):
+            a, b = (d, m) if order == "dm" else (m, d)
+            if (wa == 1 and a > 9) or (wb == 1 and b > 9) or (order == "us" and d < 13):
+                return ""
+            return f"{order[0]}{a:0{wa}}/{b:0{wb}}"
+
+        heads, leap = [h for h in (written(m, d) for m, d in days) if h], written(2, 29)
+        if heads:
+            n = 400 * len(heads) + (len(LEAPS) if leap else 0)
+            low = next(k for k in range(int(n**0.5), 0, -1) if n % k == 0)
+            found.append((heads, leap, (low, n // low)))
+    return found
+
+
+LEAPS = [y for y in range(1800, 2200) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+HEADS = _heads()
+
+
+def _listed(values: list) -> Column:
+    """The values as strings in one small expression, which is folded to a constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",")
+
+
+def _parts(m: Column) -> Column:
+    """year, its place, sep and head of a date, the head as _heads() writes it: first 'm' or 'u' (month first) or 'd'."""
+    first = m.rlike("^[0-9]{4}")
+    year, rest = F.when(first, F.left(m, F.lit(4))).otherwise(F.right(m, F.lit(4))), F.when(first, F.substr(m, F.lit(6))).otherwise(F.left(m, F.length(m) - 5))
+    head = F.regexp_replace(rest, "[.-]", "/")
+    us = F.split(head, "/")[1].cast("int") > 12
+    return F.struct(year.cast("int").alias("year"), first.alias("first"), F.when(first, F.substr(m, F.lit(5), F.lit(1))).otherwise(F.substr(m, F.length(m) - 4, F.lit(1))).alias("sep"), F.concat(F.when(first, F.lit("m")).when(us, F.lit("u")).otherwise(F.lit("d")), head).alias("head"))
+
+
+def _calendar(p: Column) -> Column:
+    """The writing's heads, leap day and factors; null if p's head stands in none or there is no such day."""
+    out = None
+    for heads, leap, (x, y) in HEADS:
+        one = F.struct(_listed(heads).alias("heads"), F.lit(leap).alias("leap"), F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y"))
+        met = F.array_contains(_listed(heads), p["head"]) | ((p["head"] == leap) & F.array_contains(_listed(LEAPS), p["year"].cast("string")))
+        out = F.when(met, one) if out is None else out.when(met, one)
+    return out
+
+
+def _written_date(m: Column, key: str) -> Column:
+    """Another date written in m's way, by a permutation of all that can be written so."""
+
+    def moved(s: Column) -> Column:
+        p, c = s["p"], s["c"]
+        k = F.size(c["heads"])
+        n = F.when(p["head"] == c["leap"], 400 * k + F.array_position(_listed(LEAPS), p["year"].cast("string")) - 1).otherwise((p["year"] - 1800) * k + F.array_position(c["heads"], p["head"]) - 1).cast("long")
+        return let(permuted_pair((n / c["y"]).cast("long"), n % c["y"], (c["x"], c["y"]), "date", key), lambda q: let(q["x"] * c["y"] + q["y"], lambda n: spelled(p, c, k, n)))
+
+    def spelled(p: Column, c: Column, k: Column, n: Column) -> Column:
+        leap = n >= 400 * k
+        year = F.when(leap, F.get(_listed(LEAPS), (n - 400 * k).cast("int")).cast("int")).otherwise((n / k).cast("int") + 1800).cast("string")
+        head = F.replace(F.substr(F.when(leap, c["leap"]).otherwise(F.get(c["heads"], (n % k).cast("int"))), F.lit(2)), F.lit("/"), p["sep"])
+        return F.when(p["first"], F.concat(year, p["sep"], head)).otherwise(F.concat(head, p["sep"], year))
+
+    return let(let(_parts(m), lambda p: F.struct(p.alias("p"), _calendar(p).alias("c"))), moved)
+
+
 def _moved_date(m: Column, key: str) -> Column:
     n = F.datediff(_date(m), F.lit(FIRST_DAY).cast("date"))
     pair = let(n, lambda d: permuted_pair((d / DAYS[1]).cast("int"), d % DAYS[1], DAYS, "date", key))
     day = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int")))
     sign = F.substr(m, F.lit(3), F.lit(1))
-    return let(day, lambda d: F.when(F.substr(m, F.lit(5), F.lit(1)) == "-", F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(d, "dd"), sign, F.date_format(d, "MM"), sign, F.date_format(d, "yyyy"))))
+    padded = let(day, lambda d: F.when(F.substr(m, F.lit(5), F.lit(1)) == "-", F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(d, "dd"), sign, F.date_format(d, "MM"), sign, F.date_format(d, "yyyy"))))
+    return F.when(_padded(m), padded).otherwise(_written_date(m, key))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -172,7 +259,7 @@ def kind_of(m: Column) -> Column:
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     digits = _digits(m)
     kind = F.when(F.contains(m, F.lit("@")), F.lit("email")).when(m.rlike("^[A-Z]"), F.when(_iban_valid(m), F.lit("iban")))
-    kind = kind.when(whole("date"), F.when(_date(m).isNotNull(), F.lit("date"))).when(whole("ip"), F.lit("ip")).when(whole("ssn"), F.lit("ssn"))
+    kind = kind.when(whole("date"), F.when(_padded(m) | let(_parts(m), _calendar).isNotNull(), F.lit("date"))).when(whole("ip"), F.lit("ip")).when(whole("ssn"), F.lit("ssn"))
     kind = kind.when(whole("phone"), F.when(F.length(digits).between(8, 15), F.lit("phone")))
     return kind.otherwise(F.when((luhn_sum(digits) % 10 == 0) & (F.length(F.regexp_replace(digits, "0", "")) > 0), F.lit("card")))
 

@@ -184,6 +184,21 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_pseudonyms_of_other_writings(spark):
+    texts = [
+        ("ES9121000418450200051332 EUR 500", "iban", "ES9121000418450200051332"), ("AT611904300234573201 BIC", "iban", "AT611904300234573201"), ("ES91 2100 0418 4502 0005 1332 30 days", "iban", "2100 0418 4502 0005 1332"), ("+442071234567", "phone", "2071234567"), ("call +49 3012345678 now", "phone", "3012345678"),
+        ("on 03/25/2021.", "date", "03/25/2021"), ("3/25/2021", "date", "3/25/2021"), ("2/29/2020", "date", "2/29/2020"), ("3.5.2021", "date", "3.5.2021"), ("2021-3-5", "date", "2021-3-5"), ("2021/03/05", "date", "2021/03/05"), ("31-12-1999", "date", "31-12-1999"), ("29/2/2021", None, None), ("13/13/2021", None, None), ("2/30/2020", None, None),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(documents(spark, [(k, t[0], "en", "s") for k, t in enumerate(texts)])).collect()}
+    for k, (text, kind, gone) in enumerate(texts):
+        assert got[k].n_pii == (kind is not None) and (kind is None or got[k][f"n_{kind}"] == 1), text
+        assert got[k].text == text if kind is None else gone not in got[k].text and len(got[k].text) == len(text), (text, got[k].text)
+    assert got[0].text.endswith(" EUR 500") and got[2].text.endswith(" 30 days")
+    # month first: other dates have other pseudonyms, of the same kind
+    d = spark.range(3000).select(F.expr("date_add(date'2019-12-31', int(id * 3))").alias("d")).filter("day(d) > 12").select(F.date_format("d", "M/dd/yyyy").alias("d"), pii.pseudonym(F.date_format("d", "M/dd/yyyy"), F.lit("date")).alias("p")).filter("length(d) = 9").collect()
+    assert len({r.p for r in d}) == len(d) > 1000 and all(re.fullmatch(r"[1-9]/(1[3-9]|2[0-9]|3[01])/[0-9]{4}", r.p) for r in d)
+
+
 def test_pair_permutation_is_one(spark):
     p = pii.permuted_pair(F.col("id") % 7, F.floor(F.col("id") / 7).cast("long"), (7, 11), "t", "k")
     got = spark.range(77).select(p.alias("p")).select("p.x", "p.y").distinct().count()
