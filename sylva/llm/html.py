@@ -10,6 +10,8 @@ GAMMA ** children. Branches of low importance are removed from each page, as are
 Statistics are counted by (host, node, digest) with partial sums, so a host of any size is never gathered;
 only nodes seen on MIN_PAGES pages and found unimportant go back to the pages, by a join on the host.
 
+Copies of a page on a host (the same html) count once in the statistics; each gets its row.
+
 Null and empty html: empty text. Null urls share the empty host. Repeated pages get equal results. Empty
 table: empty result. Very long pages are parsed whole.
 """
@@ -23,7 +25,7 @@ from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -199,6 +201,16 @@ def any_prefix(path: str, among: frozenset[str]) -> bool:
     return False
 
 
+def host_of(url: str | Column = "url") -> Column:
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """url and html, one row for all copies of a page on a host: copies say nothing about what is boilerplate."""
+    copies = pages.filter(F.length("html") > 0).groupBy(host_of().alias("_host"), F.sha2("html", 256).alias("_digest"))
+    return copies.agg(F.first(F.struct("url", "html")).alias("_page")).select("_page.*")
+
+
 def node_counts(pages: DataFrame) -> DataFrame:
     """host, path, kind ('content', 'style' or 'page'), digest, n: counts by task slice."""
 
@@ -258,7 +270,7 @@ def unimportant_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, min_pag
         top = sorted(p for p in low if not any_prefix(p.rpartition("/")[0], frozenset(low)))
         return pd.DataFrame({"host": [nodes.host.iloc[0]], "paths": [top]}) if top else pd.DataFrame({"host": pd.Series([], dtype=str), "paths": pd.Series([], dtype=object)})
 
-    nodes = node_entropies(node_counts(pages)).filter(F.col("pages") >= min_pages)
+    nodes = node_entropies(node_counts(distinct_pages(pages))).filter(F.col("pages") >= min_pages)
     return nodes.groupBy("host").applyInPandas(each, "host string, paths array<string>")
 
 
@@ -266,8 +278,7 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, min_pages: int =
     """pages with text and n_chars in place of html; columns of these names are replaced."""
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     trees = common.written(unimportant_nodes(pages, least, min_pages), "style-trees").withColumnRenamed("host", "_tree_host")
-    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    x = pages.select(common.held(pages, names), pages["html"].alias("_html"), host.alias("_host"))
+    x = pages.select(common.held(pages, names), pages["html"].alias("_html"), host_of().alias("_host"))
     x = x.join(trees, x["_host"] == trees["_tree_host"], "left").drop("_host", "_tree_host")
 
     def each(batches):

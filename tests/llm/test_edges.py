@@ -162,6 +162,16 @@ def test_site_style_tree(spark):
     assert got[100] == "Welcome to our site, dear reader\nStory number 0 is long"
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    page = "<body><div class='top'><p>Welcome to our site, dear reader</p></div><div class='story'><p>Story {} is long</p></div></body>"
+    rows = [(k, f"http://c.net/{k}", page.format("one")) for k in range(400)] + [(k, f"http://c.net/{k}", page.format(k)) for k in range(400, 430)]
+    rows += [(k, f"http://d.net/{k}", page.format("one")) for k in range(500, 520)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == f"Story {'one' if k < 400 else k} is long" for k in range(430))
+    assert all(got[k].endswith("Story one is long") for k in range(500, 520))
+
+
 # personal data and secrets
 
 
