@@ -3,10 +3,15 @@
 E-mail and IP addresses, phone, card, social security and bank account (IBAN) numbers and dates are found by
 pattern and validated (Luhn, mod 97, calendar, number ranges). An IBAN ends where its country's length says; phone
 numbers may come without separators (+442071234567); dates are year first with - or /, or day first with ., / or
--, padded or not, or month first where the day is over 12 (03/25/2021; 03/04/2021 is read day first). A valid value is permuted within its format:
-halves of the value are shifted in turn by digests of the other half and the key, each character within its
-own class, or numbers within their own range. A permutation of a format maps equal values to equal pseudonyms
-in all documents and different ones to different ones. Check digits are computed anew.
+-, padded or not, or month first where the day is over 12 (03/25/2021; 03/04/2021 is read day first).
+
+The bare value is permuted, not its spelling: separators, case, padding and the order of day and month are taken off
+first and put back afterwards, so that all spellings of a value get spellings of one pseudonym (4111 1111 1111 1111
+and 4111111111111111, 2021-03-04 and 4.3.2021, (293) 555-9179 and +1-293-555-9179). The permutation is a Feistel
+network: halves of the value are shifted in turn by digests of the other half and the key, each character within its
+own class, or numbers within their own range. Equal values get equal pseudonyms in all documents and different
+values different ones. Check digits are computed anew; phone numbers keep to their plan; whether a day is after
+the 12th stays to be seen, as a month first can be told by that alone.
 
 Null text stays null, with no findings. What does not validate stays as it is. Repeated rows are changed
 alike. Empty table: empty result. Other columns stay; columns named like the results are replaced.
@@ -20,7 +25,6 @@ from pyspark.sql import functions as F
 from . import common
 from .matches import found, joined, let
 
-KEY = "sylva-pseudonym-key"
 ROUNDS = 8
 #: The registry's IBAN lengths and their countries.
 IBAN_LENGTHS = {
@@ -47,12 +51,17 @@ PATTERNS = {
     "card": r"(?<![A-Za-z0-9.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9]|[.-][0-9])",
 }
 ANY = "|".join(PATTERNS.values())
-#: A date's day number in the 400 years from 1800-01-01, as a pair of remainders.
-FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Country calling codes.
+COUNTRY_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
+#: The 400 years from 1800 on: their days up to the 12th of a month and the later ones, each with two factors of their number.
+FIRST_YEAR, FIRST_DAY, MONTHS = 1800, "1800-01-01", 4800
+EARLY, LATE = (240, 240), (9, 9833)
+LATE_DAYS = LATE[0] * LATE[1]
 
 
-def _digest(key: str, kind: str, r: Column, other: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), other), 256)
+def _digest(key: str, kind: str | Column, r: Column, other: Column) -> Column:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, r.cast("string"), other), 256)
 
 
 def _shifted(half: Column, digest: Column) -> Column:
@@ -80,7 +89,7 @@ def permuted(value: Column, kind: str, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
 
 
-def permuted_pair(x: Column, y: Column, sizes: tuple[int, int], kind: str, key: str) -> Column:
+def permuted_pair(x: Column, y: Column, sizes: tuple[int | Column, int], kind: str | Column, key: str) -> Column:
     """A Feistel permutation of the pairs (x, y), 0 <= x < sizes[0], 0 <= y < sizes[1]."""
     number = lambda r, other: F.conv(F.substr(_digest(key, kind, r, other.cast("string")), F.lit(1), F.lit(12)), 16, 10).cast("long")
 
@@ -116,20 +125,31 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.lit(0), step)
 
 
+def placed(m: Column, value: Column, but: str = "[^A-Za-z0-9]") -> Column:
+    """m with the characters of value one by one in place of those that are not `but`: its separators stay."""
+    at = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), but, ""))
+    one = lambda v: lambda c, i: F.when(c.rlike(but), c).otherwise(F.substr(v, at(i), F.lit(1)))
+    return let(value, lambda v: F.array_join(F.transform(F.split(m, ""), one(v)), ""))
+
+
 def _card(m: Column, key: str) -> Column:
     def check(body: Column) -> Column:
-        return F.concat(body, ((10 - luhn_sum(F.concat(_digits(body), F.lit("0"))) % 10) % 10).cast("string"))
+        return F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
 
-    middle = F.substr(m, F.lit(2), F.length(m) - 2)  # between the first digit and the check digit
-    return let(F.concat(F.substr(m, F.lit(1), F.lit(1)), permuted(middle, "card", key)), check)
+    d = _digits(m)
+    middle = F.substr(d, F.lit(2), F.length(d) - 2)  # between the first digit and the check digit
+    return placed(m, let(F.concat(F.substr(d, F.lit(1), F.lit(1)), permuted(middle, "card", key)), check))
 
 
 def _iban(m: Column, key: str) -> Column:
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    country = F.left(m, F.lit(2))
+
     def check(bban: Column) -> Column:
-        rest = F.concat(F.regexp_replace(bban, " ", ""), F.substr(m, F.lit(1), F.lit(2)), F.lit("00"))
-        return F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lpad((98 - mod97(rest)).cast("string"), 2, "0"), bban)
+        rest = F.concat(bban, country, F.lit("00"))
+        return F.concat(country, F.lpad((98 - mod97(rest)).cast("string"), 2, "0"), bban)
 
-    return let(permuted(F.substr(m, F.lit(5)), "iban", key), check)
+    return placed(m, let(permuted(F.substr(bare, F.lit(5)), "iban", key), check))
 
 
 def _iban_valid(m: Column) -> Column:
@@ -138,8 +158,35 @@ def _iban_valid(m: Column) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^\+(?:1|[2-9][0-9]{0,2})", 0)
-    return F.concat(head, permuted(F.substr(m, F.length(head) + 1), "phone", key))
+    """Numbers of plan 1, with or without +1, move within [2-9]xx [2-9]xx xxxx (or within the numbers with a 0 or 1
+    in the same one of these two places); others keep their country code and the digit after it."""
+    t = F.replace(m, F.lit("(0)"), F.lit("(o)"))  # a trunk digit is no part of the number
+    code = F.when(t.rlike(r"^\+[02-9]"), F.regexp_extract(_digits(t), f"^(?:{COUNTRY_CODE})", 0)).otherwise(F.when(t.startswith("+"), F.lit("1")).otherwise(F.lit("")))
+
+    def planned(n: Column) -> Column:
+        whole = lambda i, k: F.substr(n, F.lit(i), F.lit(k)).cast("long")
+        low = lambda i: whole(i, 1) < 2
+        size = lambda i: F.when(low(i), F.lit(2)).otherwise(F.lit(8))
+        place = lambda i: whole(i, 1) - F.when(low(i), F.lit(0)).otherwise(F.lit(2))
+        x = (place(1) * size(4) + place(4)) * 100 + whole(2, 2)
+        kind = F.concat(F.lit("phone"), size(1).cast("string"), size(4).cast("string"))
+        pair = permuted_pair(x, whole(5, 6), (size(1) * size(4) * 100, 1_000_000), kind, key)
+
+        def spelled(p: Column) -> Column:
+            lead = (p["x"] / 100).cast("int")
+            digit = lambda v, i: (v + F.when(low(i), F.lit(0)).otherwise(F.lit(2))).cast("string")
+            return F.concat(digit((lead / size(4)).cast("int"), 1), F.lpad((p["x"] % 100).cast("string"), 2, "0"), digit(lead % size(4), 4), F.lpad(p["y"].cast("string"), 6, "0"))
+
+        return let(pair, spelled)
+
+    def moved(s: Column) -> Column:
+        kept = F.length(s["code"]) + 1
+        other = F.concat(F.left(s["d"], kept), permuted(F.substr(s["d"], kept + 1), "phone", key))
+        own = F.concat(s["code"], let(F.right(s["d"], F.lit(10)), planned))
+        return F.when(s["code"].isin("", "1") & (F.length(s["d"]) == F.length(s["code"]) + 10), own).otherwise(other)
+
+    value = let(F.struct(code.alias("code"), _digits(t).alias("d")), moved)
+    return F.replace(placed(t, value, "[^0-9]"), F.lit("(o)"), F.lit("(0)"))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -163,95 +210,84 @@ def _ssn(m: Column, key: str) -> Column:
     return let(permuted_pair(index * 99 + group, serial, (898 * 99, 9999), "ssn", key), spelled)
 
 
-def _date(m: Column) -> Column:
-    """The date that m, of the three padded formats, spells, null if there is no such day."""
-    iso = F.when(F.substr(m, F.lit(5), F.lit(1)) == "-", m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
-    return F.try_to_date(iso, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")))
-
-
-def _padded(m: Column) -> Column:
-    return m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$") & _date(m).isNotNull()
+def _date_parts(m: Column) -> Column:
+    """year, month, day, whether the month stands before the day, whether the year comes first, sep, and whether
+    day and month have two digits. Without the year first, the day is first unless the second number is over 12."""
+    first = m.rlike("^[0-9]{4}")
+    year = F.when(first, F.left(m, F.lit(4))).otherwise(F.right(m, F.lit(4))).cast("int")
+    rest = F.split(F.when(first, F.substr(m, F.lit(6))).otherwise(F.left(m, F.length(m) - 5)), "[./-]")
+    sep = F.when(first, F.substr(m, F.lit(5), F.lit(1))).otherwise(F.substr(m, F.length(m) - 4, F.lit(1)))
 
+    def read(r: Column) -> Column:
+        a, b = F.get(r, F.lit(0)), F.get(r, F.lit(1))
+        ahead = first | (b.cast("int") > 12)
+        month, day = F.when(ahead, a).otherwise(b).cast("int"), F.when(ahead, b).otherwise(a).cast("int")
+        wide = (F.length(a) == 2) & (F.length(b) == 2)
+        parts = {"year": year, "month": month, "day": day, "ahead": ahead, "first": first, "sep": sep, "wide": wide}
+        return F.struct(*[c.alias(k) for k, c in parts.items()])
 
-def _heads() -> list[tuple[list[str], str, tuple[int, int]]]:
-    """For each other way to write a day and month (order, padding): the writings, that of a leap day ("" for none),
-    and two factors of the number of dates in 400 years. Month first counts only where day first can't be meant."""
-    days = [(m, d) for m, n in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(1, n + 1)]
-    found = []
-    for order, wa, wb in [(o, a, b) for o in ("md", "dm", "us") for a in (2, 1) for b in (2, 1)]:
-        def written(m, d, order=order, wa=wa, wb=wb):
-            a, b = (d, m) if order == "dm" else (m, d)
-            if (wa == 1 and a > 9) or (wb == 1 and b > 9) or (order == "us" and d < 13):
-                return ""
-            return f"{order[0]}{a:0{wa}}/{b:0{wb}}"
+    return let(rest, read)
 
-        heads, leap = [h for h in (written(m, d) for m, d in days) if h], written(2, 29)
-        if heads:
-            n = 400 * len(heads) + (len(LEAPS) if leap else 0)
-            low = next(k for k in range(int(n**0.5), 0, -1) if n % k == 0)
-            found.append((heads, leap, (low, n // low)))
-    return found
 
+def _is_day(p: Column) -> Column:
+    """Whether there is such a day."""
+    spelled = F.concat_ws("-", p["year"].cast("string"), _two(p["month"]), _two(p["day"]))
+    return F.try_to_date(spelled, "yyyy-MM-dd").isNotNull()
 
-LEAPS = [y for y in range(1800, 2200) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
-HEADS = _heads()
 
+def _two(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
 
-def _listed(values: list) -> Column:
-    """The values as strings in one small expression, which is folded to a constant."""
-    return F.split(F.lit(",".join(map(str, values))), ",")
 
+def _late_before(months: Column) -> Column:
+    """Number of days after the 12th of a month in the first so many months from FIRST_DAY."""
+    start = F.lit(FIRST_DAY).cast("date")
+    return F.datediff(F.add_months(start, months), start) - 12 * months
 
-def _parts(m: Column) -> Column:
-    """year, its place, sep and head of a date, the head as _heads() writes it: first 'm' or 'u' (month first) or 'd'."""
-    first = m.rlike("^[0-9]{4}")
-    year, rest = F.when(first, F.left(m, F.lit(4))).otherwise(F.right(m, F.lit(4))), F.when(first, F.substr(m, F.lit(6))).otherwise(F.left(m, F.length(m) - 5))
-    head = F.regexp_replace(rest, "[.-]", "/")
-    us = F.split(head, "/")[1].cast("int") > 12
-    return F.struct(year.cast("int").alias("year"), first.alias("first"), F.when(first, F.substr(m, F.lit(5), F.lit(1))).otherwise(F.substr(m, F.length(m) - 4, F.lit(1))).alias("sep"), F.concat(F.when(first, F.lit("m")).when(us, F.lit("u")).otherwise(F.lit("d")), head).alias("head"))
 
+def _moved(p: Column, key: str) -> Column:
+    """year, month and day of the pseudonym of a day. Days up to the 12th and later ones are permuted apart, so that
+    a month that stands before its day can still be told from a day before its month."""
+    months = (p["year"] - FIRST_YEAR) * 12 + p["month"] - 1
 
-def _calendar(p: Column) -> Column:
-    """The writing's heads, leap day and factors; null if p's head stands in none or there is no such day."""
-    out = None
-    for heads, leap, (x, y) in HEADS:
-        one = F.struct(_listed(heads).alias("heads"), F.lit(leap).alias("leap"), F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y"))
-        met = F.array_contains(_listed(heads), p["head"]) | ((p["head"] == leap) & F.array_contains(_listed(LEAPS), p["year"].cast("string")))
-        out = F.when(met, one) if out is None else out.when(met, one)
-    return out
+    def early(n: Column) -> Column:
+        k = (n / 12).cast("int")
+        return F.struct(k.alias("k"), (n % 12 + 1).cast("int").alias("day"))
 
+    def late(n: Column) -> Column:
+        guess = F.floor(n * MONTHS / LATE_DAYS).cast("int")
+        k = F.when(_late_before(guess + 1) <= n, guess + 1).when(_late_before(guess) <= n, guess).otherwise(guess - 1)
+        return let(k, lambda k: F.struct(k.alias("k"), (n - _late_before(k) + 13).cast("int").alias("day")))
 
-def _written_date(m: Column, key: str) -> Column:
-    """Another date written in m's way, by a permutation of all that can be written so."""
+    def permuted_number(n: Column, sizes: tuple[int, int], kind: str) -> Column:
+        pair = permuted_pair((n / sizes[1]).cast("long"), n % sizes[1], sizes, kind, key)
+        return let(pair, lambda q: q["x"] * sizes[1] + q["y"])
 
-    def moved(s: Column) -> Column:
-        p, c = s["p"], s["c"]
-        k = F.size(c["heads"])
-        n = F.when(p["head"] == c["leap"], 400 * k + F.array_position(_listed(LEAPS), p["year"].cast("string")) - 1).otherwise((p["year"] - 1800) * k + F.array_position(c["heads"], p["head"]) - 1).cast("long")
-        return let(permuted_pair((n / c["y"]).cast("long"), n % c["y"], (c["x"], c["y"]), "date", key), lambda q: let(q["x"] * c["y"] + q["y"], lambda n: spelled(p, c, k, n)))
+    moved_early = let(permuted_number(months * 12 + p["day"] - 1, EARLY, "date"), early)
+    moved_late = let(permuted_number(_late_before(months) + p["day"] - 13, LATE, "late date"), late)
+    return F.when(p["day"] <= 12, moved_early).otherwise(moved_late)
 
-    def spelled(p: Column, c: Column, k: Column, n: Column) -> Column:
-        leap = n >= 400 * k
-        year = F.when(leap, F.get(_listed(LEAPS), (n - 400 * k).cast("int")).cast("int")).otherwise((n / k).cast("int") + 1800).cast("string")
-        head = F.replace(F.substr(F.when(leap, c["leap"]).otherwise(F.get(c["heads"], (n % k).cast("int"))), F.lit(2)), F.lit("/"), p["sep"])
-        return F.when(p["first"], F.concat(year, p["sep"], head)).otherwise(F.concat(head, p["sep"], year))
 
-    return let(let(_parts(m), lambda p: F.struct(p.alias("p"), _calendar(p).alias("c"))), moved)
+def _moved_date(m: Column, key: str) -> Column:
+    """The day's pseudonym, written as m is: every spelling of a day gets a spelling of the same other day."""
 
+    def spelled(p: Column, q: Column) -> Column:
+        number = lambda n: F.when(p["wide"], _two(n)).otherwise(n.cast("string"))
+        year, month, day = (F.floor(q["k"] / 12) + FIRST_YEAR).cast("string"), number(q["k"] % 12 + 1), number(q["day"])
+        rest = F.when(p["ahead"], F.concat_ws("|", month, day)).otherwise(F.concat_ws("|", day, month))
+        out = F.when(p["first"], F.concat_ws("|", year, rest)).otherwise(F.concat_ws("|", rest, year))
+        return F.replace(out, F.lit("|"), p["sep"])
 
-def _moved_date(m: Column, key: str) -> Column:
-    n = F.datediff(_date(m), F.lit(FIRST_DAY).cast("date"))
-    pair = let(n, lambda d: permuted_pair((d / DAYS[1]).cast("int"), d % DAYS[1], DAYS, "date", key))
-    day = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int")))
-    sign = F.substr(m, F.lit(3), F.lit(1))
-    padded = let(day, lambda d: F.when(F.substr(m, F.lit(5), F.lit(1)) == "-", F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(d, "dd"), sign, F.date_format(d, "MM"), sign, F.date_format(d, "yyyy"))))
-    return F.when(_padded(m), padded).otherwise(_written_date(m, key))
+    return let(_date_parts(m), lambda p: let(_moved(p, key), lambda q: spelled(p, q)))
 
 
 def _email(m: Column, key: str) -> Column:
-    """All but the top-level domain."""
+    """All but the top-level domain, in lower case; what was upper case is so again."""
     end = F.regexp_extract(m, r"\.[A-Za-z]+$", 0)
-    return F.concat(permuted(F.substr(m, F.lit(1), F.length(m) - F.length(end)), "email", key), end)
+    head = F.substr(m, F.lit(1), F.length(m) - F.length(end))
+    other = F.split(permuted(F.lower(head), "email", key), "")
+    cased = F.zip_with(F.split(head, ""), other, lambda a, b: F.when(a.rlike("^[A-Z]$"), F.upper(b)).otherwise(b))
+    return F.concat(F.array_join(cased, ""), end)
 
 
 def kind_of(m: Column) -> Column:
@@ -259,12 +295,12 @@ def kind_of(m: Column) -> Column:
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     digits = _digits(m)
     kind = F.when(F.contains(m, F.lit("@")), F.lit("email")).when(m.rlike("^[A-Z]"), F.when(_iban_valid(m), F.lit("iban")))
-    kind = kind.when(whole("date"), F.when(_padded(m) | let(_parts(m), _calendar).isNotNull(), F.lit("date"))).when(whole("ip"), F.lit("ip")).when(whole("ssn"), F.lit("ssn"))
+    kind = kind.when(whole("date"), F.when(let(_date_parts(m), _is_day), F.lit("date"))).when(whole("ip"), F.lit("ip")).when(whole("ssn"), F.lit("ssn"))
     kind = kind.when(whole("phone"), F.when(F.length(digits).between(8, 15), F.lit("phone")))
     return kind.otherwise(F.when((luhn_sum(digits) % 10 == 0) & (F.length(F.regexp_replace(digits, "0", "")) > 0), F.lit("card")))
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     made = {"email": _email, "iban": _iban, "phone": _phone, "ssn": _ssn, "date": _moved_date, "ip": _ip, "card": _card}
     out = F.when(kind.isNull(), m)
     for k, f in made.items():
@@ -275,8 +311,13 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
 KINDS = tuple(PATTERNS)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with pseudonyms in their texts, and n_pii and a count for each kind (n_email and so on)."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with pseudonyms in their texts, and n_pii and a count for each kind (n_email and so on).
+
+    key: a secret; whoever has it can undo the pseudonyms.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     made = {"n_pii", *(f"n_{k}" for k in KINDS)}
     keep = [c for c in docs.columns if c not in made]
     text = docs["text"]

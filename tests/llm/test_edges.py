@@ -178,7 +178,7 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
 def test_pseudonyms(spark):
     text = "mail jo.doe7@mail.example.com, card 4111 1111 1111 1111 or 4111111111111112, ip 10.0.0.255, tel +1 (293) 555-9179, 2021-02-28, 31.12.1999, 2021-02-30, 123-45-6789, GB82 WEST 1234 5698 7654 32"
     df = documents(spark, [(1, text, "en", "s"), (2, "again jo.doe7@mail.example.com!", "en", "s"), (3, None, None, None), (4, "plain 1 2 3", "en", "s")])
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     assert set(df.columns) <= set(got[1].asDict()) and got[1].findings == "b"
     new = got[1].text
     assert got[1].n_pii == 8 and [getattr(got[1], f"n_{k}") for k in pii.KINDS] == [1, 1, 1, 1, 2, 1, 1]
@@ -191,7 +191,7 @@ def test_pseudonyms(spark):
     digits = [int(c) for c in re.search(r"card ([\d ]{19})", new)[1] if c != " "]
     assert sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
     assert (got[3].text, got[3].n_pii, got[4].text, got[4].n_pii) == (None, 0, "plain 1 2 3", 0)
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
 def test_pseudonyms_of_other_writings(spark):
@@ -199,14 +199,15 @@ def test_pseudonyms_of_other_writings(spark):
         ("ES9121000418450200051332 EUR 500", "iban", "ES9121000418450200051332"), ("AT611904300234573201 BIC", "iban", "AT611904300234573201"), ("ES91 2100 0418 4502 0005 1332 30 days", "iban", "2100 0418 4502 0005 1332"), ("+442071234567", "phone", "2071234567"), ("call +49 3012345678 now", "phone", "3012345678"),
         ("on 03/25/2021.", "date", "03/25/2021"), ("3/25/2021", "date", "3/25/2021"), ("2/29/2020", "date", "2/29/2020"), ("3.5.2021", "date", "3.5.2021"), ("2021-3-5", "date", "2021-3-5"), ("2021/03/05", "date", "2021/03/05"), ("31-12-1999", "date", "31-12-1999"), ("29/2/2021", None, None), ("13/13/2021", None, None), ("2/30/2020", None, None),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymise(documents(spark, [(k, t[0], "en", "s") for k, t in enumerate(texts)])).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(documents(spark, [(k, t[0], "en", "s") for k, t in enumerate(texts)]), "k").collect()}
     for k, (text, kind, gone) in enumerate(texts):
         assert got[k].n_pii == (kind is not None) and (kind is None or got[k][f"n_{kind}"] == 1), text
-        assert got[k].text == text if kind is None else gone not in got[k].text and len(got[k].text) == len(text), (text, got[k].text)
+        assert got[k].text == text if kind is None else gone not in got[k].text, (text, got[k].text)
     assert got[0].text.endswith(" EUR 500") and got[2].text.endswith(" 30 days")
     # month first: other dates have other pseudonyms, of the same kind
-    d = spark.range(3000).select(F.expr("date_add(date'2019-12-31', int(id * 3))").alias("d")).filter("day(d) > 12").select(F.date_format("d", "M/dd/yyyy").alias("d"), pii.pseudonym(F.date_format("d", "M/dd/yyyy"), F.lit("date")).alias("p")).filter("length(d) = 9").collect()
-    assert len({r.p for r in d}) == len(d) > 1000 and all(re.fullmatch(r"[1-9]/(1[3-9]|2[0-9]|3[01])/[0-9]{4}", r.p) for r in d)
+    d = spark.range(3000).select(F.expr("date_format(date_add(date'2019-12-31', int(id * 3)), 'M/dd/yyyy')").alias("w")).filter("w rlike '/(1[3-9]|[23].)/'")
+    d = d.select("w", pii.pseudonym(F.col("w"), F.lit("date"), "k").alias("p")).collect()
+    assert len({r.p for r in d}) == len(d) > 1000 and all(re.fullmatch(r"[0-9]{1,2}/(1[3-9]|2[0-9]|3[01])/[0-9]{4}", r.p) for r in d)
 
 
 def test_pair_permutation_is_one(spark):
