@@ -124,10 +124,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def quoted(name: str) -> str:
+    """A column's name so that dots, blanks and backticks in it are taken as they are."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(columns: list[str], made) -> list[str]:
+    """The columns whose names are none of those made, in whatever case."""
+    low = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in low]
+
+
 def held(docs: DataFrame, columns: list[str]) -> Column:
     """A row's columns as one, named _row: they pass through an operator whatever they are called."""
-    return F.struct(F.lit(0).alias("_"), *[docs[c] for c in columns]).alias("_row")
+    return F.struct(F.lit(0).alias("_"), *[docs[quoted(c)].alias(c) for c in columns]).alias("_row")
 
 
-def released(columns: list[str]) -> list[Column]:
-    return [F.col("_row")[c].alias(c) for c in columns]
+def released(columns: list[str], row: str = "_row") -> list[Column]:
+    return [F.col(row)[c].alias(c) for c in columns]

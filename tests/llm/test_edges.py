@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.llm import decontaminate, html, mixing, neardup, pii, quality, secrets, suffix, tokens, urls
+from sylva.llm import decontaminate, mixing, neardup, pii, quality, secrets, suffix, tokens, urls
 from sylva.llm.queries import queries
 from tests.llm.data import documents, edge_rows
 
@@ -138,40 +138,6 @@ def test_urls(spark):
     assert urls.filter_urls(df).columns == df.columns and urls.judge_urls(df.limit(0)).count() == 0
 
 
-# html
-
-
-def test_html(spark):
-    page = """<!DOCTYPE html><html><head><title>no</title><script>var a = "<p>no</p>";</script></head><body class="x-sidebar"><header>no</header><nav><a href=#>no</a></nav>
-    <article><h1>A &amp; B</h1><p>one<br>two <b>three<p>four&nbsp;&lt;5&gt;<ul><li>six<li>seven</ul><div class="share">no</div><div class="comments"><p>no</div></article><aside>no</aside><form>no<input></form><footer>no"""
-    plain = "<div><p>First block of text</p><p>Second   block</p></div><div class='cookie-notice'>no</div><!-- no --><p hidden>no</p>"
-    rows = [(1, "http://h.net/a", page), (2, None, plain), (3, "http://h.net/b", None), (4, "http://h.net/c", ""), (5, "x", "a < b <c>d"), (5, "x", "a < b <c>d")]
-    df = spark.createDataFrame([(*r, "t", 9) for r in rows], "page_id long, url string, html string, text string, n_chars long")
-    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
-    want = {1: "A & B\none two three\nfour <5>\nsix\nseven", 2: "First block of text\nSecond block", 3: "", 4: "", 5: "a < b d"}
-    assert got == {k: (v, len(v)) for k, v in want.items()}
-    assert html.extract(df.limit(0)).count() == 0
-
-
-def test_site_style_tree(spark):
-    """What is the same on all pages of a host goes; what differs stays."""
-    rows = [(k, f"http://s.net/{k}", f"<body><div class='top'><p>Welcome to our site, dear reader</p></div><div class='story'><p>Story number {k} is long</p></div></body>") for k in range(30)]
-    rows += [(100, "http://t.net/1", rows[0][2])]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == f"Story number {k} is long" for k in range(30))
-    assert got[100] == "Welcome to our site, dear reader\nStory number 0 is long"
-
-
-def test_copies_of_a_page_are_no_boilerplate(spark):
-    page = "<body><div class='top'><p>Welcome to our site, dear reader</p></div><div class='story'><p>Story {} is long</p></div></body>"
-    rows = [(k, f"http://c.net/{k}", page.format("one")) for k in range(400)] + [(k, f"http://c.net/{k}", page.format(k)) for k in range(400, 430)]
-    rows += [(k, f"http://d.net/{k}", page.format("one")) for k in range(500, 520)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(got) == len(rows)
-    assert all(got[k] == f"Story {'one' if k < 400 else k} is long" for k in range(430))
-    assert all(got[k].endswith("Story one is long") for k in range(500, 520))
-
-
 # personal data and secrets
 
 
