@@ -15,8 +15,8 @@ or the same document and an earlier start).
    with all its occurrences. All but the first of them are repeats.
 5. The repeats' spans go back to the documents' own buckets as compressed blocks.
 
-An anchor in many document buckets is hot: a string shorter than a window that many documents share, with other
-text around it in each. Its contexts are cut where the smallest hashes near the window's two ends change, and are
+An anchor of HOT occurrences or more is hot: mostly a string shorter than a window that many documents share, with
+other text around it in each. Its contexts are cut where the smallest hashes near the window's two ends change, and are
 dealt by these as well. That too depends on the window's bytes alone, and no place gets all surroundings of a
 frequent string. A frequent passage of `length` bytes or more costs one context per document bucket. doc_id is a key:
 repeated rows are equal and are one document. Null text: no bytes. Null doc_id: nothing is removed, and it is
@@ -43,8 +43,10 @@ GRAM = 24
 PIECE = 256 << 10
 #: Bytes of text that a task packs before it sends them on.
 PACK = 24 << 20
-#: Document buckets from which on an anchor is hot, and how far from a window's ends its contexts are told apart.
-HOT_BUCKETS = 48
+#: Bytes of text for which there is a bucket, about: a task holds one bucket at a time.
+BUCKET_BYTES = 48 << 20
+#: Occurrences from which on an anchor is hot, and how far from a window's ends its contexts are told apart.
+HOT = 256
 ZONE = 24
 #: Bytes of context for which one suffix array is built, about.
 ARRAY = 1 << 20
@@ -337,6 +339,11 @@ def _table(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
+def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each document, whatever steps their ids go in."""
+    return (common.mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
 def packed_documents(docs: DataFrame, n: int) -> DataFrame:
     """bucket, block: the documents (id, whether the id is null, length, bytes) of each bucket, compressed."""
 
@@ -354,7 +361,8 @@ def packed_documents(docs: DataFrame, n: int) -> DataFrame:
             data, offs = common.text_bytes(batch.column(1))
             null = np.asarray(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             ids = batch.column(0).fill_null(0).to_numpy()
-            bucket = np.mod(ids, n)
+            bucket = bucket_of(ids, n)
+            bucket[null] = np.arange(null.sum()) % n  # nothing is removed from these: any bucket will do
             order = np.argsort(bucket, kind="stable")
             lengths = np.diff(offs)
             for i, j in _runs(bucket[order]):
@@ -402,14 +410,14 @@ class Bucket:
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]
 
     def anchors(self, anchor: np.ndarray, n: int):
-        """(context bucket, its distinct anchors by hash, which of them occur more than once here)."""
+        """(context bucket, its distinct anchors by hash, how often they occur here)."""
         distinct, counts = np.unique(anchor, return_counts=True)
         hashes = common.mixed(distinct)
         to = (hashes % np.uint64(n)).astype(np.int64)
         order = np.lexsort((hashes, to))
         for i, j in _runs(to[order]):
             k = order[i:j]
-            yield int(to[k[0]]), distinct[k], hashes[k] >> np.uint64(24), counts[k] > 1
+            yield int(to[k[0]]), distinct[k], hashes[k] >> np.uint64(24), counts[k]
 
 
 def _five(h: np.ndarray) -> bytes:
@@ -445,15 +453,20 @@ def split_contexts(data, anchor, start, lengths, length: int, gram: int):
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
 
 
-def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int, hot_buckets: int = HOT_BUCKETS) -> DataFrame:
-    """bucket (of documents), context_bucket, bits, hot: for each of its distinct anchors whether it occurs elsewhere
-    too, and whether it does so in hot_buckets document buckets or more."""
+def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int, hot: int = HOT) -> DataFrame:
+    """bucket (of documents), context_bucket, bits, hot: for each of its distinct anchors whether it occurs more than
+    once, and whether it does so `hot` times or more."""
 
     def own(blocks: pa.Table) -> pa.Table:
         b = Bucket(blocks)
         source = blocks.column("bucket")[0].as_py()
-        rows = [(to, source, _five(h), np.packbits(twice).tobytes()) for to, _, h, twice in b.anchors(b.contexts(length, gram)[0], n)]
-        return pa.Table.from_batches([_table(["context_bucket", "bucket", "hashes", "twice"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)])
+        rows = [(to, source, _five(h), np.packbits(c > 1).tobytes(), np.minimum(c[c > 1], 65535).astype("<u2").tobytes()) for to, _, h, c in b.anchors(b.contexts(length, gram)[0], n)]
+        return pa.Table.from_batches([_table(["context_bucket", "bucket", "hashes", "twice", "counts"], [pa.int64(), pa.int64(), *[pa.binary()] * 3], rows)])
+
+    def counted(twice: bytes, counts: bytes, n: int) -> np.ndarray:
+        out = np.ones(n)
+        out[np.unpackbits(np.frombuffer(twice, np.uint8), count=n).astype(bool)] = np.frombuffer(counts, "<u2")
+        return out
 
     def meet(batches):
         held = defaultdict(list)
@@ -462,18 +475,18 @@ def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int, hot_bucke
                 held[row[0]].append(row[1:])
         for to, rows in held.items():
             hashes = [_from_five(r[1]) for r in rows]
-            twice = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(h)).astype(bool) for r, h in zip(rows, hashes, strict=True)]
-            _, number, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-            count = count[number]
-            again, hot = (count > 1) | np.concatenate(twice), count >= hot_buckets
+            counts = [counted(*r[2:], len(h)) for r, h in zip(rows, hashes, strict=True)]
+            _, number = np.unique(np.concatenate(hashes), return_inverse=True)
+            count = np.bincount(number, weights=np.concatenate(counts))[number]
+            again, is_hot = count > 1, count >= hot
             bits, at = [], 0
             for r, h in zip(rows, hashes, strict=True):
                 part = slice(at, at + len(h))
-                bits.append((r[0], to, np.packbits(again[part]).tobytes(), np.packbits(hot[part]).tobytes()))
+                bits.append((r[0], to, np.packbits(again[part]).tobytes(), np.packbits(is_hot[part]).tobytes()))
                 at += len(h)
             yield _table(["bucket", "context_bucket", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], bits)
 
-    sent = texts.groupBy("bucket").applyInArrow(own, "context_bucket long, bucket long, hashes binary, twice binary")
+    sent = texts.groupBy("bucket").applyInArrow(own, "context_bucket long, bucket long, hashes binary, twice binary, counts binary")
     return sent.repartition(n, "context_bucket").mapInArrow(meet, "bucket long, context_bucket long, bits binary, hot binary")
 
 
@@ -539,7 +552,7 @@ def span_blocks(blocks: DataFrame, n: int, length: int) -> DataFrame:
             anchor, place, lengths, doc, offset, data = (np.concatenate(p) for p in parts)
             lengths = lengths.astype(np.int64)
             spans = merged(repeats(data, anchor, place.astype(np.int64), np.cumsum(lengths) - lengths, lengths, doc, offset, length))
-            to = np.mod(spans[:, 0], n)
+            to = bucket_of(spans[:, 0], n)
             order = np.argsort(to, kind="stable")
             for i, j in _runs(to[order]):
                 yield _table(["bucket", "block"], [pa.int64(), pa.binary()], [(int(to[order[i]]), _span_block(spans[order[i:j]]))])
@@ -550,13 +563,17 @@ def span_blocks(blocks: DataFrame, n: int, length: int) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string"
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = True, hot_buckets: int = HOT_BUCKETS) -> DataFrame:
-    """A row per document: its removed spans, the kept bytes (null without with_kept) and their SHA-256."""
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = True, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """A row per document: doc_id, its removed spans, the kept bytes (null without with_kept) and their SHA-256.
+
+    Other columns of docs are not carried along: join on doc_id.
+    """
     if not 8 <= gram <= length or 2 * length - gram > 255:
         raise ValueError("a context must fit in 255 bytes: 8 <= gram <= length, 2 * length - gram <= 255")
-    n = common.hot_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(common.hot_partitions(docs.sparkSession), -(-size // bucket_bytes))
     texts = packed_documents(docs, n)
-    anchors = repeated_anchors(texts, n, length, gram, hot_buckets)
+    anchors = repeated_anchors(texts, n, length, gram, hot)
     spans = span_blocks(context_blocks(texts, anchors, n, length, gram), n, length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 

@@ -60,7 +60,8 @@ def test_substring_copies_inside_a_text(spark):
     a = edge_rows()[0][1]
     rows = [(5, a[:250] + a[:250], "en", "s"), (3, "0" * 1000, "en", "s"), (4, "01" * 400 + "0" * 150, "en", "s"), (1, a[50:210], "en", "s"), (2, "z" + a[50:209] + "z" + a[10:180], "en", "s")]
     check_removed(spark, rows)
-    check_removed(spark, rows, hot_buckets=1)
+    check_removed(spark, rows, hot=1)
+    check_removed(spark, rows, hot=3, bucket_bytes=200)
 
 
 def test_substring_with_other_text_around_it(spark):
@@ -69,7 +70,8 @@ def test_substring_with_other_text_around_it(spark):
 
     line, passage = prose(90, 10)[:60], prose(91, 60)
     rows = [(k, f"{prose(k, 30)}\n{line}\n{prose(1000 + k % 9, 25)} " + (passage if k % 3 == 0 else ""), "en", "s") for k in range(60)]
-    check_removed(spark, rows, hot_buckets=2)
+    check_removed(spark, rows, hot=8)
+    check_removed(spark, rows, hot=30, bucket_bytes=1000)
     check_removed(spark, rows)
 
 
