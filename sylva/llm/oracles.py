@@ -45,10 +45,12 @@ select page_id, host, path, case {names} end as rule, case {verdicts} when {stri
 def source_mix(seed: str = "mix-1") -> str:
     ws = ", ".join(f"cast({w} as double)" for w in mixing.WEIGHTS)
     return f"""
-with d as (select doc_id, source, cast(len({_WHITE_WORDS.format("coalesce(text, '')")}) as bigint) as size, coalesce(text, '') as t from documents),
-k as (select doc_id, source, size, length(regexp_replace(t, '[^#*$%&|<>!]+', '', 'g')) as marks, length(t) as chars,
+with d as (select doc_id, source, {_WHITE_WORDS.format("coalesce(text, '')")} as w, coalesce(text, '') as t from documents),
+k as (select doc_id, source, cast(len(w) as bigint) as size, len(list_distinct(w)) as n, length(regexp_replace(t, '[^#*$%&|<>!]+', '', 'g')) as marks, length(t) as chars,
   (cast(cast('0x' || substr(md5(cast(doc_id as varchar) || ':{seed}'), 1, 12) as bigint) as double) + 0.5) / cast({1 << 48} as double) as u from d),
-q as (select doc_id, source, size, -ln(u) / (1.0::double - least(0.75::double, 7.5::double * marks / greatest(chars, 1))) as key from k),
+m as (select *, case when size < 20 then 1.0::double else ln(n + 1.0::double) / ln(size + 1.0::double) end as variety from k),
+q as (select doc_id, source, size, -ln(u) / (greatest({mixing.WEAKEST}::double, least(1.0::double, 1.0::double - 7.5::double * marks / greatest(chars, 1)))
+  * greatest({mixing.WEAKEST}::double, least(1.0::double, (variety - 0.4::double) / 0.3::double))) as key from m),
 s as (select source, cast(sum(size) as bigint) as source_size from q group by source),
 w as (select source, source_size, [{ws}][(row_number() over (order by source is null, source) - 1) % {len(mixing.WEIGHTS)} + 1] as w from s),
 c as (select source, source_size, w, {float(mixing.EPOCHS)}::double * source_size as cap, {float(mixing.EPOCHS)}::double * source_size / w as r from w),

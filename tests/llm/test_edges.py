@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm import decontaminate, mixing, neardup, pii, quality, secrets, suffix, tokens, urls
 from sylva.llm.queries import queries
-from tests.llm.data import documents, edge_rows
+from tests.llm.data import documents, edge_rows, prose
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -309,11 +309,40 @@ def test_mixing(spark):
 
 
 def test_mixing_prefers_weight(spark):
-    """Of equal documents those with symbols are taken less often."""
-    rows = [(k, " ".join(["word"] * 20) if k % 2 else " ".join(["wo$d"] * 20), "en", "a") for k in range(400)] + [(1000, "x " * 30000, "en", "b")]
-    taken = {r.doc_id: r.taken for r in mixing.mix(documents(spark, rows), weights=(1.0, 9.0)).collect()}
-    plain, marked = sum(taken[k] for k in range(1, 400, 2)), sum(taken[k] for k in range(0, 400, 2))
-    assert plain > 0 and (plain > 1.2 * marked or plain == marked == 3 * 4000)
+    """Of equal documents those with symbols, repetition or a low weight given are taken less often."""
+    plain = [f"w{k}" for k in range(20)]
+    for other in ("$$ ".join(plain) + "$$", " ".join(["word"] * 20)):
+        rows = [(k, " ".join(plain) if k % 2 else other, "en", "a") for k in range(400)] + [(1000, "x " * 30000, "en", "b")]
+        taken = {r.doc_id: r.taken for r in mixing.mix(documents(spark, rows), weights=(1.0, 9.0)).collect()}
+        good, bad = sum(taken[k] for k in range(1, 400, 2)), sum(taken[k] for k in range(0, 400, 2))
+        assert good > 1.2 * bad
+    rows = [(k, " ".join(plain), "en", "a") for k in range(400)] + [(1000, "x " * 30000, "en", "b")]
+    weight = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit(0)).otherwise(F.lit(1.0))
+    taken = {r.doc_id: r.taken for r in mixing.mix(documents(spark, rows), weights=(1.0, 19.0), quality=weight).collect()}
+    assert sum(taken[k] for k in range(2, 400, 3)) > 2 * sum(taken[k] for k in range(0, 400, 3)) > 0
+
+
+def test_mixing_against_sorting(spark):
+    """Cells and cuts against one sort of each source by key."""
+    rows = [(k if k % 50 else None, prose(k, 5 + k % 60), "en", None if k % 9 == 0 else f"s{k % 4}") for k in range(600)] + [(7, prose(7, 12), "en", "s3")] * 3
+    weight = mixing.quality_weight(F.col("text"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))
+    keys = documents(spark, rows).select("source", "doc_id", "text", mixing.n_words(F.col("text")).alias("n"), (-F.log(mixing.uniform(own, "mix-1")) / weight).alias("key")).collect()
+    got = mixing.mix(documents(spark, rows), cells=8).collect()
+    assert len(got) == len(rows)
+    target = {r.source: (r.target, r.source_size) for r in got}
+    want = collections.Counter()
+    for source, (goal, size) in target.items():
+        mine = sorted((r for r in keys if r.source == source), key=lambda r: (r.key, r.doc_id or -1, r.n))
+        epochs = int((goal + 1e-6) // size)
+        left = math.floor(goal + 1e-6) - epochs * size
+        for r in mine:
+            want[source, r.doc_id, r.text] += epochs * r.n + max(0, min(r.n, left))
+            left -= r.n
+    have = collections.Counter()
+    for r in got:
+        have[r.source, r.doc_id, r.text] += r.taken
+    assert have == want
 
 
 # near-duplicates
