@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITE = " \t\n\x0b\x0c\r"
 TOP = "9223372036854775807"
@@ -140,5 +141,24 @@ def held(docs: DataFrame, columns: list[str]) -> Column:
     return F.struct(F.lit(0).alias("_"), *[docs[quoted(c)].alias(c) for c in columns]).alias("_row")
 
 
+def beside(docs: DataFrame, column: str, made=()) -> tuple[DataFrame, list[str]]:
+    """_row, with all columns but those made and `column`, beside `column`; and the names of all but those made."""
+    names = others(docs.columns, made)
+    return docs.select(held(docs, [c for c in names if c != column]), docs[column].alias(column)), names
+
+
+def rejoined(names: list[str], column: str) -> list[Column]:
+    """The columns that beside() set apart, in their order."""
+    return [F.col(column) if c == column else released([c])[0] for c in names]
+
+
+def extended(schema: T.StructType, **made) -> T.StructType:
+    """schema with further columns: their names and types."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in made.items():
+        out = out.add(name, kind)
+    return out
+
+
 def released(columns: list[str], row: str = "_row") -> list[Column]:
     return [F.col(row)[c].alias(c) for c in columns]

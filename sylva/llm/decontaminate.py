@@ -1,12 +1,14 @@
 """Benchmark decontamination with a broadcast set of test n-grams.
 
 A window is `width` consecutive words of an item, or the whole of a shorter item. All windows' hashes go to
-the executors in a table whose size is bounded by the block of items it is built from; texts are scanned as
-byte arrays, hash hits are verified on the words themselves. A benchmark larger than a block is scanned block
-after block, the hits so far carried in two columns, so that no broadcast grows with it.
-
-Null, empty and wordless texts: no words, no hits. Null items have no words. Repeated items count apart,
-by item_id. Repeated documents get equal rows. Empty tables: all rows clean, or no rows.
+the executors in a table of arrays whose size is bounded by the block of items it is built from (TABLE_BYTES, counted
+from the items' words and bytes); texts are scanned as byte arrays, hash hits are verified on the words themselves.
+A benchmark larger than a block is scanned block after block, the hits so far carried in two columns, so that no
+broadcast grows with it.
+
+Null, empty and wordless texts: no words, no hits. Null items have no words. Items of a null item_id: their windows
+are hit, no id is listed or counted for them. Repeated items count apart, by item_id. Repeated documents get equal
+rows. Empty tables: all rows clean, or no rows. Other columns stay; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 WIDTH = 8
 MIN_ITEMS = 2
-#: Bytes of item text whose windows are broadcast together.
-BLOCK_BYTES = 32 << 20
+#: Bytes of a broadcast table of windows, and what each word of an item takes in it at most.
+TABLE_BYTES, WORD_BYTES = 96 << 20, 48
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -50,87 +53,111 @@ def _window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of items: by width, sorted hashes and a bitmap before them; words to item numbers."""
+    """The windows of a block of items: by width, their sorted hashes with the word each begins at, and a bitmap before them."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         self.ids = [i for i, _ in items]
-        self.items: dict[bytes, list[int]] = defaultdict(list)
-        by_width = defaultdict(set)
-        for k, (_, text) in enumerate(items):
-            data, starts, ends, _, hashes, _ = _split(pa.array([text], pa.string()))
-            n = len(starts)
-            size = min(n, width)
-            if not size:
+        data, self.starts, self.ends, self.of, hashes, n = _split(pa.array([t for _, t in items], pa.string()))
+        self.low = data.tobytes()
+        counts = np.bincount(self.of, minlength=n) if n else np.zeros(0, np.int64)
+        first = np.cumsum(counts) - counts
+        self.tables, self.known = {}, {}
+        for size in range(1, width + 1):
+            inside = (counts >= width) if size == width else (counts == size)
+            ws = _window_hashes(hashes, size)
+            at = np.flatnonzero(inside[self.of[: len(ws)]] & (self.of[: len(ws)] == self.of[size - 1 :])) if len(ws) else np.zeros(0, np.int64)
+            at = at[at + size <= (first + counts)[self.of[at]]]
+            if not len(at):
                 continue
-            low = data.tobytes()
-            for i, h in enumerate(_window_hashes(hashes, size)):
-                key = b" ".join(low[starts[j] : ends[j]] for j in range(i, i + size))
-                by_width[size].add(int(h))
-                if not self.items[key] or self.items[key][-1] != k:
-                    self.items[key].append(k)
-        self.items = dict(self.items)
-        self.tables = {}
-        for size, hs in by_width.items():
-            hashes = np.array(sorted(hs), np.uint64)
+            order = np.argsort(ws[at], kind="stable")
+            table = ws[at][order]
             bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.tables[size] = (hashes, bitmap)
-
-    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]], np.ndarray, tuple]:
-        """Words of each text, hit flag of each word, item numbers by text, word offsets of the texts, word spans."""
+            bitmap[(table >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+            self.tables[size] = (table, at[order], bitmap)
+
+    def items(self, width: int, place: int) -> dict[bytes, set[int]]:
+        """The items of each window whose hash is that at a place of the table, by the window's words."""
+        got = self.known.get((width, place))
+        if got is None:
+            table, at, _ = self.tables[width]
+            got = defaultdict(set)
+            for i in at[place : int(np.searchsorted(table, table[place], "right"))].tolist():
+                got[_joined(self.low, self.starts, self.ends, i, width)].add(int(self.of[i]))
+            self.known[width, place] = got
+        return got
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]], np.ndarray]:
+        """Words of each text, hit flag of each word, item numbers by text, word offsets of the texts."""
         data, starts, ends, of, hashes, n = _split(texts)
         hit = np.zeros(len(starts), bool)
         found: dict[int, set[int]] = defaultdict(set)
         low = None
-        for width, (table, bitmap) in self.tables.items():
+        for width, (table, _, bitmap) in self.tables.items():
             ws = _window_hashes(hashes, width)
             maybe = np.flatnonzero(bitmap[(ws >> np.uint64(64 - _BITS)).astype(np.int64)])
             maybe = maybe[of[maybe] == of[maybe + width - 1]] if len(maybe) else maybe
-            maybe = maybe[np.isin(ws[maybe], table)] if len(maybe) else maybe
-            if len(maybe) and low is None:
+            place = np.minimum(np.searchsorted(table, ws[maybe]), len(table) - 1)
+            alike = table[place] == ws[maybe]
+            if alike.any() and low is None:
                 low = data.tobytes()
-            for i in maybe.tolist():
-                got = self.items.get(b" ".join(low[starts[j] : ends[j]] for j in range(i, i + width)))
+            for i, k in zip(maybe[alike].tolist(), place[alike].tolist(), strict=True):
+                got = self.items(width, k).get(_joined(low, starts, ends, i, width))
                 if got:
                     hit[i : i + width] = True
-                    found[int(of[i])].update(got)
+                    found[int(of[i])] |= got
         counts = np.bincount(of, minlength=n) if len(of) else np.zeros(n, np.int64)
-        return counts, hit, found, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), (starts, ends)
+        return counts, hit, found, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _joined(low: bytes, starts: np.ndarray, ends: np.ndarray, i: int, width: int) -> bytes:
+    return b" ".join(low[a:b] for a, b in zip(starts[i : i + width].tolist(), ends[i : i + width].tolist(), strict=True))
 
 
-def _blocks(bench: DataFrame, block_bytes: int):
-    """Items by id, in lists of at most so many bytes of text."""
+def _blocks(bench: DataFrame, table_bytes: int):
+    """Items in lists whose tables take at most so many bytes (one item at least)."""
     block, size = [], 0
-    for item, text in bench.select(F.col("item_id").cast("string"), "text").filter("item_id is not null").toLocalIterator():
-        if block and size + len(text or "") * 4 > block_bytes:
+    text = F.coalesce("text", F.lit(""))
+    need = F.octet_length(text) + WORD_BYTES * (F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) + 1)
+    for item, text, own in bench.select(F.col("item_id").cast("string"), "text", need).toLocalIterator():
+        if block and size + own > table_bytes:
             yield block
             block, size = [], 0
         block.append((item, text))
-        size += len(text or "") * 4
+        size += own
     yield block
 
 
-def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _n_words, _n_hit, _hits (a bit for each word, most significant first) and _items (sorted ids)."""
-    own = [c for c in docs.columns if c not in ("_n_words", "_n_hit", "_hits", "_items")]
-    out = docs.select(*own)
-    for k, block in enumerate(_blocks(bench, block_bytes)):
+MADE = {"_n_words": "long", "_n_hit": "long", "_hits": "binary", "_items": T.ArrayType(T.StringType())}
+
+
+def _scanned(docs: DataFrame, bench: DataFrame, width: int, table_bytes: int) -> DataFrame:
+    """docs, of columns _row and text, with those of MADE."""
+    for k, block in enumerate(_blocks(bench, table_bytes)):
         if k > 1:
-            out = common.written(out, "decontaminate")
-        out = _scan_block(out, own, Windows(block, width))
-    return out
+            docs = common.written(docs, "decontaminate")
+        docs = _scan_block(docs, Windows(block, width))
+    return docs
 
 
-def _scan_block(docs: DataFrame, own: list[str], windows: Windows) -> DataFrame:
+def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """docs with _n_words, _n_hit, _hits (a bit for each word, most significant first) and _items (sorted ids)."""
+    x, names = common.beside(docs, "text", MADE)
+    return _scanned(x, bench, width, table_bytes).select(*common.rejoined(names, "text"), *MADE)
+
+
+def _scan_block(docs: DataFrame, windows: Windows) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def each(batches):
         w = shared.value
         for batch in common.slices(batches, "text"):
-            counts, hit, found, at, _ = w.find(batch.column(batch.schema.get_field_index("text")))
-            names = batch.schema.names
-            old_hits = batch.column(names.index("_hits")).to_pylist() if "_hits" in names else [None] * len(counts)
-            old_items = batch.column(names.index("_items")).to_pylist() if "_items" in names else [[]] * len(counts)
+            counts, hit, found, at = w.find(batch.column(1))
+            again = "_hits" in batch.schema.names
+            old_hits = batch.column(4).to_pylist() if again else [None] * len(counts)
+            old_items = batch.column(5).to_pylist() if again else [None] * len(counts)
             hits, items = [], []
             for i in range(len(counts)):
                 bits = None
@@ -139,13 +166,12 @@ def _scan_block(docs: DataFrame, own: list[str], windows: Windows) -> DataFrame:
                     if old_hits[i] is not None:
                         bits = bits | np.frombuffer(old_hits[i], np.uint8)
                 hits.append(bits.tobytes() if bits is not None else old_hits[i])
-                items.append(sorted({*(old_items[i] or []), *(w.ids[j] for j in found.get(i, ()))}))
+                items.append(sorted({*(old_items[i] or []), *(w.ids[j] for j in found.get(i, ()) if w.ids[j] is not None)}))
             n_hit = [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) if b else 0 for b in hits]
-            cols = [batch.column(names.index(c)) for c in own] + [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*own, "_n_words", "_n_hit", "_hits", "_items"])
+            made = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_row", "text", *MADE])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own), "_n_words long, _n_hit long, _hits binary, _items array<string>"])
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(each, common.extended(docs.select("_row", "text").schema, **MADE))
 
 
 def digest(scanned: DataFrame, columns: list[str], min_items: int = MIN_ITEMS) -> DataFrame:
@@ -154,24 +180,20 @@ def digest(scanned: DataFrame, columns: list[str], min_items: int = MIN_ITEMS) -
     return scanned.select(*columns, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.size(ids) >= min_items).alias("contaminated"))
 
 
-def _held(docs: DataFrame) -> DataFrame:
-    return docs.select("text", common.held(docs, [c for c in docs.columns if c != "text"]))
-
-
-def _released(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col("text") if c == "text" else common.released([c])[0] for c in columns])
-
-
 def remove_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH, min_items: int = 1) -> DataFrame:
     """docs without those in which windows of at least min_items items occur and at least width words are hit:
     a short item alone, a word or two that any text may hold, does not condemn one."""
-    leaked = (F.size("_items") >= min_items) & (F.col("_n_hit") >= width)
-    return _released(scan(_held(docs), bench, width).filter(~leaked), docs.columns)
+    leaked = F.col("_n_hit") >= width
+    if min_items > 1:
+        leaked = leaked & (F.size("_items") >= min_items)
+    x, names = common.beside(docs, "text")
+    return _scanned(x, bench, width, TABLE_BYTES).filter(~leaked).select(*common.rejoined(names, "text"))
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs, each text without its hit words; what stood between two hit words goes too."""
-    scanned = scan(_held(docs), bench, width).select("text", "_row", "_hits")
+    x, names = common.beside(docs, "text")
+    scanned = _scanned(x, bench, width, TABLE_BYTES).select("text", "_row", "_hits")
 
     def each(batches):
         for batch in common.slices(batches, "text"):
@@ -194,4 +216,4 @@ def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataF
                 cleaned.append(b"".join(k.tobytes() for k in keep).decode())
             yield pa.RecordBatch.from_arrays([pa.array(cleaned, texts.type), batch.column(1)], names=["text", "_row"])
 
-    return _released(scanned.mapInArrow(each, scanned.drop("_hits").schema), docs.columns)
+    return scanned.mapInArrow(each, scanned.drop("_hits").schema).select(*common.rejoined(names, "text"))

@@ -319,7 +319,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     if not key:
         raise ValueError("pseudonyms need a key")
     made = {"n_pii", *(f"n_{k}" for k in KINDS)}
-    keep = [c for c in docs.columns if c not in made]
+    keep = common.others(docs.columns, made)
     text = docs["text"]
     # a digit next to a digit or an @ stands in every match: most texts are passed over by that
     hits = F.when(text.rlike("@|[0-9][^A-Za-z]?[0-9]"), found(text, ANY)).otherwise(F.array().cast("array<struct<before:string,match:string,after:string>>"))

@@ -126,7 +126,7 @@ def references(seen: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, columns: list[str] | None = None, both: tuple[float, float] = BOTH, either: tuple[float, float] = EITHER, min_words: int = MIN_WORDS) -> DataFrame:
     """columns of docs (all but text by default) with the counts, both distances, base_failed and kept."""
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", *CLASSES}
-    keep = [c for c in (columns or docs.columns) if c not in made and (columns or c != "text")]
+    keep = common.others(columns or docs.columns, made if columns else {*made, "text"})
     seen = common.written(features(docs, keep), "quality")
     ref = common.written(references(seen), "languages")
     if ref.count() <= MAX_BROADCAST_LANGUAGES:
@@ -154,5 +154,5 @@ def judge(docs: DataFrame, columns: list[str] | None = None, both: tuple[float,
 
 def good(docs: DataFrame, **limits) -> DataFrame:
     """docs without those that are rejected. Rows go through whole, whatever their columns are called."""
-    x = docs.select(common.held(docs, docs.columns).alias("_all"), docs["text"], docs["lang"])
-    return judge(x, ["_all"], **limits).filter("kept").select(*[F.col("_all")[c].alias(c) for c in docs.columns])
+    x = docs.select(common.held(docs, docs.columns).alias("_all"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+    return judge(x, ["_all"], **limits).filter("kept").select(*common.released(docs.columns, "_all"))

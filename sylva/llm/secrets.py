@@ -157,7 +157,7 @@ def scan(docs: DataFrame, model=None, labelled: DataFrame | None = None, least:
     """docs with findings, an array of (before, match, after, score, secret)."""
     spark = docs.sparkSession
     score = compiled(model or train(labelled if labelled is not None else labelled_findings(spark)))
-    keep = [c for c in docs.columns if c != "findings"]
+    keep = common.others(docs.columns, ("findings",))
     none = F.array().cast("array<struct<before:string,match:string,after:string>>")
     text = F.coalesce(docs["text"], F.lit(""))
     hits = F.when(text.rlike(CANDIDATE), F.transform(found(text, CANDIDATE), _bare)).otherwise(none)

@@ -2,8 +2,9 @@
 
 Texts are cut into pre-tokens. The distinct ones that the worker has not met yet are laid end to end as one
 array of symbols; in each round every sequence merges all occurrences of its own lowest-ranked pair, and a
-sequence without a mergeable pair leaves with the number of symbols that survive. Only a bounded table of
-counts is kept between batches.
+sequence without a mergeable pair leaves with the number of symbols that survive. A long unbroken sequence has so
+many ranks that a round for each would pass over it too often: over LONG symbols its pairs are merged in the same
+order, by rank and place, from a heap. Only a bounded table of counts is kept between batches.
 
 Null and empty texts: 0 tokens. Strings of the vocabulary's added tokens inside texts count as one token.
 Repeated rows get equal counts. Empty table: empty result. Other columns stay.
@@ -11,6 +12,7 @@ Repeated rows get equal counts. Empty table: empty result. Other columns stay.
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -23,6 +25,8 @@ from . import common
 
 #: Distinct pre-tokens whose counts a worker remembers.
 REMEMBERED = 300_000
+#: Symbols from which on a sequence is merged by a heap, and bytes of a pre-token that is not remembered.
+LONG, FORGOTTEN = 2048, 256
 NONE = np.int64(1) << 40
 # fixed value: the pre-token pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,6 +61,7 @@ class Merges:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.pattern = regex.compile(PATTERN)
+        self.table = None
 
     def ranks(self, symbols: np.ndarray, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of the pair that begins at each symbol (NONE if there is no merge), and its place in keys."""
@@ -65,10 +70,44 @@ class Merges:
         ok = (self.keys[at] == pair) & alike
         return np.append(np.where(ok, self.rank[at], NONE), NONE), np.append(at, 0)
 
+    def count_long(self, piece: bytes) -> int:
+        """Tokens of one long piece: the pair of the lowest rank, the leftmost of several, is merged again and again."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        get, n = self.table.get, len(piece)
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
+        rank = self.ranks(ids, np.ones(n - 1, bool))[0][:-1]
+        heap = (rank << 32 | np.arange(n - 1))[rank != NONE].tolist()
+        heapq.heapify(heap)
+        symbols, after, before, left = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), n
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            if symbols[i] < 0 or j >= n:
+                continue
+            merge = get(symbols[i] << 32 | symbols[j])
+            if merge is None or merge[0] != top >> 32:
+                continue  # one of the two is another symbol by now
+            symbols[i], symbols[j] = merge[1], -1
+            left -= 1
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if merge := get(symbols[i] << 32 | symbols[j]):
+                    heapq.heappush(heap, merge[0] << 32 | i)
+            if (h := before[i]) >= 0 and (merge := get(symbols[h] << 32 | symbols[i])):
+                heapq.heappush(heap, merge[0] << 32 | h)
+        return left
+
     def count(self, pieces: list[bytes]) -> np.ndarray:
         """Tokens of each piece."""
         lengths = np.array([len(p) for p in pieces], np.int64)
         counts = lengths.copy()
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            counts[k] = self.count_long(pieces[k])
+            lengths[k] = 0
+        pieces = [p if n else b"" for p, n in zip(pieces, lengths.tolist(), strict=True)]
         symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         seq = np.repeat(np.arange(len(pieces)), lengths)
         while len(symbols):
@@ -118,7 +157,11 @@ class Counter:
             fresh = list(new)
             self.known.update(zip(fresh, self.merges.count([p.encode() for p in fresh]).tolist(), strict=True))
         get = self.known.__getitem__
-        return [sum(map(get, ps)) + extra for ps, extra in pieces]
+        found = [sum(map(get, ps)) + extra for ps, extra in pieces]
+        for p in new:
+            if len(p) > FORGOTTEN:
+                del self.known[p]
+        return found
 
 
 _counters: dict[str, Counter] = {}
@@ -133,13 +176,13 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """docs with n_tokens and over_limit; columns of these names are replaced."""
-    names = [c for c in docs.columns if c not in ("n_tokens", "over_limit")]
+    x, names = common.beside(docs, "text", ("n_tokens", "over_limit"))
 
     def each(batches):
         count = counter(path).count
         for batch in common.slices(batches, "text"):
-            n = count(batch.column(names.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*names, "n_tokens"])
+            n = count(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["_row", "text", "n_tokens"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "n_tokens long"])
-    return docs.select(*[docs[c] for c in names]).mapInArrow(each, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    done = x.mapInArrow(each, common.extended(x.schema, n_tokens="long"))
+    return done.select(*common.rejoined(names, "text"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

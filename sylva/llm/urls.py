@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SOFT_LIMIT = 2
 #: The vocabulary.
 STRICT = ("cheap-pills", "spam-farm", "casino", "porn", "viagra", "cialis", "xxx", "escort", "warez")
@@ -105,19 +107,20 @@ MADE = ("host", "path", "rule", "verdict", "term_weight")
 
 def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """pages with host, path, rule, verdict and term_weight; columns of these names are replaced."""
-    names = [c for c in pages.columns if c not in MADE]
+    x, names = common.beside(pages, "url", MADE)
 
     def each(batches):
         judge = Judge(rules, strict, soft, soft_limit)
         for batch in batches:
-            rows = [judge(u) for u in batch.column(names.index("url")).to_pylist()]
+            rows = [judge(u) for u in batch.column(1).to_pylist()]
             made = [pa.array([r[k] for r in rows], pa.float64() if k == 4 else pa.string()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *MADE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["_row", "url", *MADE])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in names), "host string, path string, rule string, verdict string, term_weight double"])
-    return pages.select(*[pages[c] for c in names]).mapInArrow(each, schema)
+    kinds = dict.fromkeys(MADE, "string") | {"term_weight": "double"}
+    return x.mapInArrow(each, common.extended(x.schema, **kinds)).select(*common.rejoined(names, "url"), *MADE)
 
 
 def filter_urls(pages: DataFrame, **how) -> DataFrame:
     """The pages that are allowed."""
-    return judge_urls(pages, **how).filter(F.col("verdict") == "allow").select(*pages.columns)
+    x = pages.select(common.held(pages, pages.columns).alias("_all"), pages["url"].alias("url"))
+    return judge_urls(x, **how).filter(F.col("verdict") == "allow").select(*common.released(pages.columns, "_all"))
