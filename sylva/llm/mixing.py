@@ -26,7 +26,7 @@ from . import common
 from .quality import words
 
 #: Cells of the key's range per source; the cut's cell holds about one part in so many of a source.
-CELLS = 1 << 14
+CELLS = 1 << 12
 #: Rows of the plan, one a source, of under 200 bytes each, up to which it is broadcast.
 BROADCAST_SOURCES = 100_000
 WEAKEST = 0.05
