@@ -339,12 +339,38 @@ def _table(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """The hash by which repartition() deals longs (Murmur3, 32 bits, seed 42)."""
+    turned = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    words, h = x.astype(np.int64).view(np.uint32).reshape(-1, 2), np.full(len(x), 42, np.uint32)
+    for k in range(2):
+        h = h ^ (turned(words[:, k] * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+        h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h = h ^ np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def bucket_keys(n: int) -> np.ndarray:
+    """A key for each of n buckets, such that repartition(n) deals each to a partition of its own: numbers dealt by
+    their hashes would leave some partitions empty and give others three or four buckets."""
+    keys, at, step = np.full(n, -1, np.int64), 0, 4 * n + 64
+    while (keys < 0).any():
+        x = np.arange(at, at + step)
+        place, first = np.unique(np.mod(spark_hash(x), n), return_index=True)
+        new = keys[place] < 0
+        keys[place[new]] = x[first[new]]
+        at += step
+    return keys
+
+
+def bucket_of(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The bucket of each document, whatever steps their ids go in."""
-    return (common.mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return keys[(common.mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(len(keys))).astype(np.int64)]
 
 
-def packed_documents(docs: DataFrame, n: int) -> DataFrame:
+def packed_documents(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     """bucket, block: the documents (id, whether the id is null, length, bytes) of each bucket, compressed."""
 
     def block(parts: list) -> bytes:
@@ -361,8 +387,8 @@ def packed_documents(docs: DataFrame, n: int) -> DataFrame:
             data, offs = common.text_bytes(batch.column(1))
             null = np.asarray(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             ids = batch.column(0).fill_null(0).to_numpy()
-            bucket = bucket_of(ids, n)
-            bucket[null] = np.arange(null.sum()) % n  # nothing is removed from these: any bucket will do
+            bucket = bucket_of(ids, keys)
+            bucket[null] = keys[np.arange(null.sum()) % len(keys)]  # nothing is removed from these: any bucket will do
             order = np.argsort(bucket, kind="stable")
             lengths = np.diff(offs)
             for i, j in _runs(bucket[order]):
@@ -376,7 +402,7 @@ def packed_documents(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "bucket long, block binary").repartition(n, "bucket")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "bucket long, block binary").repartition(len(keys), "bucket")
 
 
 class Bucket:
@@ -409,11 +435,11 @@ class Bucket:
             i = j
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]
 
-    def anchors(self, anchor: np.ndarray, n: int):
+    def anchors(self, anchor: np.ndarray, keys: np.ndarray):
         """(context bucket, its distinct anchors by hash, how often they occur here)."""
         distinct, counts = np.unique(anchor, return_counts=True)
         hashes = common.mixed(distinct)
-        to = (hashes % np.uint64(n)).astype(np.int64)
+        to = keys[(hashes % np.uint64(len(keys))).astype(np.int64)]
         order = np.lexsort((hashes, to))
         for i, j in _runs(to[order]):
             k = order[i:j]
@@ -453,14 +479,14 @@ def split_contexts(data, anchor, start, lengths, length: int, gram: int):
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
 
 
-def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int, hot: int = HOT) -> DataFrame:
+def repeated_anchors(texts: DataFrame, keys: np.ndarray, length: int, gram: int, hot: int = HOT) -> DataFrame:
     """bucket (of documents), context_bucket, bits, hot: for each of its distinct anchors whether it occurs more than
     once, and whether it does so `hot` times or more."""
 
     def own(blocks: pa.Table) -> pa.Table:
         b = Bucket(blocks)
         source = blocks.column("bucket")[0].as_py()
-        rows = [(to, source, _five(h), np.packbits(c > 1).tobytes(), np.minimum(c[c > 1], 65535).astype("<u2").tobytes()) for to, _, h, c in b.anchors(b.contexts(length, gram)[0], n)]
+        rows = [(to, source, _five(h), np.packbits(c > 1).tobytes(), np.minimum(c[c > 1], 65535).astype("<u2").tobytes()) for to, _, h, c in b.anchors(b.contexts(length, gram)[0], keys)]
         return pa.Table.from_batches([_table(["context_bucket", "bucket", "hashes", "twice", "counts"], [pa.int64(), pa.int64(), *[pa.binary()] * 3], rows)])
 
     def counted(twice: bytes, counts: bytes, n: int) -> np.ndarray:
@@ -487,14 +513,14 @@ def repeated_anchors(texts: DataFrame, n: int, length: int, gram: int, hot: int
             yield _table(["bucket", "context_bucket", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], bits)
 
     sent = texts.groupBy("bucket").applyInArrow(own, "context_bucket long, bucket long, hashes binary, twice binary, counts binary")
-    return sent.repartition(n, "context_bucket").mapInArrow(meet, "bucket long, context_bucket long, bits binary, hot binary")
+    return sent.repartition(len(keys), "context_bucket").mapInArrow(meet, "bucket long, context_bucket long, bits binary, hot binary")
 
 
 def _span_block(spans: np.ndarray) -> bytes:
     return packed(spans[:, 0], spans[:, 1], spans[:, 2] - spans[:, 1])
 
 
-def context_blocks(texts: DataFrame, anchors: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+def context_blocks(texts: DataFrame, anchors: DataFrame, keys: np.ndarray, length: int, gram: int) -> DataFrame:
     """Blocks of contexts by context bucket; with kind -1 those of spans that are repeats within one bucket of documents."""
 
     def own(blocks: pa.Table, bits: pa.Table) -> pa.Table:
@@ -503,7 +529,7 @@ def context_blocks(texts: DataFrame, anchors: DataFrame, n: int, length: int, gr
         anchor, who, start, lengths, place = b.contexts(length, gram)
         flags = dict(zip(bits.column("context_bucket").to_pylist(), zip(bits.column("bits").to_pylist(), bits.column("hot").to_pylist(), strict=True), strict=True))
         set_ = lambda d, raw: d[np.unpackbits(np.frombuffer(raw, np.uint8), count=len(d)).astype(bool)]
-        own_anchors = [(to, d) for to, d, _, _ in b.anchors(anchor, n)]
+        own_anchors = [(to, d) for to, d, _, _ in b.anchors(anchor, keys)]
         wanted, hot = [set_(d, flags[to][0]) for to, d in own_anchors], [set_(d, flags[to][1]) for to, d in own_anchors]
         if wanted:
             keep = np.flatnonzero(np.isin(anchor, np.concatenate(wanted)))
@@ -525,7 +551,7 @@ def context_blocks(texts: DataFrame, anchors: DataFrame, n: int, length: int, gr
                 join = lambda old, new: np.concatenate([old[cold], new])
                 anchor, offset, doc = join(anchor, key), join(offset, offset[whose] + at - start[whose]), join(doc, doc[whose])
                 start, lengths, place = join(start, at), join(lengths, size), join(place, np.zeros(len(key), np.int64))
-            to = (common.mixed(anchor) % np.uint64(n)).astype(np.int64)
+            to = keys[(common.mixed(anchor) % np.uint64(len(keys))).astype(np.int64)]
             keep = np.argsort(to, kind="stable")
             to = to[keep]
             for i, j in _runs(to):
@@ -533,10 +559,10 @@ def context_blocks(texts: DataFrame, anchors: DataFrame, n: int, length: int, gr
                 rows.append((int(to[i]), 0, packed(anchor[k], place[k].astype(np.uint8), lengths[k].astype(np.uint8), doc[k], offset[k], gathered(b.data, start[k], lengths[k]))))
         return pa.Table.from_batches([_table(["bucket", "kind", "block"], [pa.int64(), pa.int32(), pa.binary()], rows)])
 
-    return texts.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(own, "bucket long, kind int, block binary").repartition(n, "bucket")
+    return texts.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(own, "bucket long, kind int, block binary").repartition(len(keys), "bucket")
 
 
-def span_blocks(blocks: DataFrame, n: int, length: int) -> DataFrame:
+def span_blocks(blocks: DataFrame, keys: np.ndarray, length: int) -> DataFrame:
     """Blocks of repeated spans by bucket of documents, from all blocks of contexts."""
 
     def each(batches):
@@ -552,7 +578,7 @@ def span_blocks(blocks: DataFrame, n: int, length: int) -> DataFrame:
             anchor, place, lengths, doc, offset, data = (np.concatenate(p) for p in parts)
             lengths = lengths.astype(np.int64)
             spans = merged(repeats(data, anchor, place.astype(np.int64), np.cumsum(lengths) - lengths, lengths, doc, offset, length))
-            to = bucket_of(spans[:, 0], n)
+            to = bucket_of(spans[:, 0], keys)
             order = np.argsort(to, kind="stable")
             for i, j in _runs(to[order]):
                 yield _table(["bucket", "block"], [pa.int64(), pa.binary()], [(int(to[order[i]]), _span_block(spans[order[i:j]]))])
@@ -571,10 +597,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_ke
     if not 8 <= gram <= length or 2 * length - gram > 255:
         raise ValueError("a context must fit in 255 bytes: 8 <= gram <= length, 2 * length - gram <= 255")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(common.hot_partitions(docs.sparkSession), -(-size // bucket_bytes))
-    texts = packed_documents(docs, n)
-    anchors = repeated_anchors(texts, n, length, gram, hot)
-    spans = span_blocks(context_blocks(texts, anchors, n, length, gram), n, length)
+    keys = bucket_keys(max(common.hot_partitions(docs.sparkSession), -(-size // bucket_bytes)))
+    texts = packed_documents(docs, keys)
+    anchors = repeated_anchors(texts, keys, length, gram, hot)
+    spans = span_blocks(context_blocks(texts, anchors, keys, length, gram), keys, length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def apply(blocks: pa.Table, found: pa.Table) -> pa.Table:
