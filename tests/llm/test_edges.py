@@ -423,7 +423,7 @@ def test_near_duplicates(spark):
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
             assert r.kept == (r.doc_id == r.component_id)
-    parted = neardup.clusters(documents(spark, rows), block_bytes=4000).collect()
+    parted = neardup.clusters(documents(spark, rows), block_bytes=4000, bucket_classes=3).collect()
     assert sorted(map(str, parted)) == sorted(map(str, got))
     one = neardup.keep_one(documents(spark, rows))
     assert one.columns == documents(spark).columns
@@ -432,6 +432,28 @@ def test_near_duplicates(spark):
     assert neardup.clusters(documents(spark).limit(0)).count() == 0
 
 
+def test_recall_at_the_threshold(spark):
+    """400 pairs of similarity 60 / 80, which are linked, and 400 of 59 / 79, which are not."""
+    rows = []
+    for k in range(800):
+        words = [f"a{k}w{i}" for i in range(74 if k < 400 else 73)]
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, " ".join([*words[:-10], *(f"b{k}w{i}" for i in range(10))]), "en", "s")]
+    got = {r.doc_id: r.component_id for r in neardup.clusters(documents(spark, rows)).collect()}
+    assert [k for k in range(800) if got[2 * k + 1] != (2 * k if k < 400 else 2 * k + 1)] == []
+
+
+def test_a_hot_bucket_without_a_common_lead(spark):
+    """Families that share bands with one another: what is unlike a bucket's lead is still linked within its family."""
+    import numpy as np
+
+    ids = np.arange(40)
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 63, 16, dtype=np.uint64) for _ in range(4)]
+    sketches = np.stack([base[k % 4] for k in range(40)])
+    found = neardup._alike(ids, np.full(40, 100), sketches, np.array([k % 4 != 0 for k in range(40)]))
+    assert len(found) == 3 * 9 and all(a % 4 == b % 4 for a, b in found)
+
+
 def test_sketches_estimate_similarity():
     import numpy as np
 
