@@ -1,15 +1,19 @@
 """Quality rules: repetition and length rules, then the divergence of a document from its language.
 
 The main path is DataFrame functions only. One pass over the texts computes for each document its counts,
-a histogram of character classes and a histogram of common words; these small rows are written once. The
-reference of a language comes from its documents that pass the base rules: the median share of each
-class (junk hardly moves it) and the share of each common word among all their words. A document
-of enough words is rejected if its Jensen-Shannon distances to its language's reference are both high or one
-is very high.
-
-Null and empty texts: all counts 0, base_failed, not kept. Null languages are a language of their own. A
-document of fewer than MIN_WORDS words, or of a language with fewer than MIN_REFERENCE documents, is judged
-by the base rules alone. Repeated rows are judged alike. Empty table: empty result.
+a histogram of character classes and a histogram of common words (in lower case, without punctuation at their
+ends); these small rows are written once. A document of enough words is rejected if its Jensen-Shannon distances
+to its language's reference are both high or one is very high.
+
+References are a table of a row per language: lang, docs, version, class shares and the share of each common word
+among all words. `reference_table` makes it from documents that pass the base rules: the median share of each class
+(junk hardly moves it) and the words' shares over all of them. Kept and given to `judge`, it makes a verdict independent of
+the documents beside it; without it the references are made from the documents judged. The fewer documents a
+reference comes from, the wider its limits: by 1 + SLACK / docs, for every language alike.
+
+Null and empty texts: all counts 0, base_failed, not kept. Null languages are a language of their own. A document
+of fewer than MIN_WORDS words, or of a language without a reference, is judged by the base rules alone. Repeated
+rows are judged alike. Empty table: empty result. Other columns stay; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from . import common
 
 WINDOW = 8
 MIN_WORDS = 50
-MIN_REFERENCE = 5
+#: How much wider the limits are for a reference of one document.
+SLACK = 2.0
+VERSION = 1
 #: Rows of the reference table, of a few KB each, up to which it is broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST_LANGUAGES = 1000
 #: A document is rejected if both distances are over the first two, or either is over its second limit.
@@ -37,6 +43,8 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus",
 }
 ALL_COMMON = sorted({w for ws in COMMON.values() for w in ws.split()})
+#: Punctuation at a word's ends.
+ENDS = r"[.,;:!?\"()\[\]]+(?=[ \t-\r]|$)|(?<![^ \t-\r])[\"(\[]+"
 CLASSES = ("upper", "digit", "stop", "mark", "white", "wide", "other")
 
 
@@ -93,7 +101,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     x = x.withColumn("_h", window_hashes(F.col("_w")))
     ws, n = F.col("_w"), F.size("_w").cast("long")
     lines = F.filter(F.split(t, "\n"), lambda s: F.btrim(s, F.lit(common.WHITE)) != "")
-    seen = F.filter(ws, lambda w: w.isin(ALL_COMMON))
+    seen = F.filter(words(F.regexp_replace(F.lower(t), ENDS, " ")), lambda w: w.isin(ALL_COMMON))
     counts = _let(seen, lambda s: F.transform(F.array_distinct(s), lambda w: F.struct(w.alias("w"), F.size(F.filter(s, lambda y: y == w)).alias("n"))))
     x = x.select(
         "_row", "_lang", n.alias("n_words"), F.length(F.translate(t, common.WHITE, "")).cast("long").alias("word_chars"), _n(t, "#*$%&|<>").cast("long").alias("n_symbols"),
@@ -112,23 +120,34 @@ def _js(pairs: list[tuple[Column, Column]]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total / 2))
 
 
+def reference_table(docs: DataFrame, version: int = VERSION) -> DataFrame:
+    """The references of documents that pass the base rules, to be kept and given to judge()."""
+    return references(common.written(features(docs, []), "quality")).withColumn("version", F.lit(version))
+
+
 def references(seen: DataFrame) -> DataFrame:
-    """A row per language: median share of each class, and share of each common word among all words."""
+    """A row per language: lang, docs, median share of each class, and share of each common word among all words."""
     good = seen.filter(~F.col("base_failed"))
-    classes = good.groupBy("_lang").agg(F.count("*").alias("r_docs"), *[F.percentile_approx(F.col(c) / F.greatest("_chars", F.lit(1)), F.lit(0.5), F.lit(10_000)).alias(f"r_{c}") for c in CLASSES])
+    classes = good.groupBy("_lang").agg(F.count("*").alias("docs"), *[F.percentile_approx(F.col(c) / F.greatest("_chars", F.lit(1)), F.lit(0.5), F.lit(10_000)).alias(c) for c in CLASSES])
     n = good.groupBy("_lang").agg(F.sum("n_words").alias("all"))
     each = good.select("_lang", F.explode("_common").alias("c")).groupBy("_lang", F.col("c.w").alias("w")).agg(F.sum("c.n").alias("n"))
-    each = each.join(n.withColumnRenamed("_lang", "_l2"), F.col("_lang").eqNullSafe(F.col("_l2"))).groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("w", (F.col("n") / F.col("all")).alias("q")))).alias("r_words"))
+    each = each.join(n.withColumnRenamed("_lang", "_l2"), F.col("_lang").eqNullSafe(F.col("_l2"))).groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("w", (F.col("n") / F.col("all")).alias("q")))).alias("words"))
     each = each.withColumnRenamed("_lang", "_l3")
-    return classes.join(each, classes["_lang"].eqNullSafe(each["_l3"]), "left").drop("_l3").withColumnRenamed("_lang", "_l")
+    return classes.join(each, classes["_lang"].eqNullSafe(each["_l3"]), "left").drop("_l3").withColumnRenamed("_lang", "lang")
+
 
+def judge(
+    docs: DataFrame, columns: list[str] | None = None, both: tuple[float, float] = BOTH, either: tuple[float, float] = EITHER, min_words: int = MIN_WORDS, reference: DataFrame | None = None
+) -> DataFrame:
+    """columns of docs (all but text by default) with the counts, both distances, base_failed and kept.
 
-def judge(docs: DataFrame, columns: list[str] | None = None, both: tuple[float, float] = BOTH, either: tuple[float, float] = EITHER, min_words: int = MIN_WORDS) -> DataFrame:
-    """columns of docs (all but text by default) with the counts, both distances, base_failed and kept."""
+    reference: a table of reference_table(); without it the references come from docs.
+    """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", *CLASSES}
     keep = common.others(columns or docs.columns, made if columns else {*made, "text"})
     seen = common.written(features(docs, keep), "quality")
-    ref = common.written(references(seen), "languages")
+    ref = common.written(references(seen), "languages") if reference is None else reference
+    ref = ref.select(*[F.col(c).alias("_l" if c == "lang" else f"r_{c}") for c in ("lang", "docs", "words", *CLASSES)])
     if ref.count() <= MAX_BROADCAST_LANGUAGES:
         ref = F.broadcast(ref)
     x = seen.join(ref, seen["_lang"].eqNullSafe(ref["_l"]), "left")
@@ -145,9 +164,9 @@ def judge(docs: DataFrame, columns: list[str] | None = None, both: tuple[float,
     po, qo = F.greatest(F.lit(0.0), 1 - F.col("_p")), F.greatest(F.lit(0.0), 1 - F.col("_qall"))
     js = (inside + (F.col("_qall") - F.col("_q")) + part(po, (po + qo) / 2) + part(qo, (po + qo) / 2)) / 2
     x = x.withColumn("word_distance", F.sqrt(F.greatest(F.lit(0.0), js)))
-    guarded = (F.col("n_words") < min_words) | (F.coalesce("r_docs", F.lit(0)) < MIN_REFERENCE)
-    c, w = F.col("class_distance"), F.col("word_distance")
-    far = ((c > both[0]) & (w > both[1])) | (c > either[0]) | (w > either[1])
+    guarded = (F.col("n_words") < min_words) | F.col("r_docs").isNull()
+    c, w, wider = F.col("class_distance"), F.col("word_distance"), 1 + F.lit(SLACK) / F.col("r_docs")
+    far = ((c > both[0] * wider) & (w > both[1] * wider)) | (c > either[0] * wider) | (w > either[1] * wider)
     kept = ~F.col("base_failed") & (guarded | ~far)
     return x.select(*common.released(keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
 

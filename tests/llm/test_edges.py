@@ -322,6 +322,65 @@ def test_divergence(spark):
     assert kept == set(range(20))
 
 
+def histograms(text):
+    """Class shares and counts of common words of a text, in plain Python."""
+    t, n = text or "", max(1, len(text or ""))
+    of = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "stop": ".,;:?'\"()-", "mark": "!@[]{}_=+~^`/\\#*$%&|<>", "white": " \t\n\x0b\x0c\r"}
+    counts = {k: sum(t.count(c) for c in cs) for k, cs in of.items()}
+    counts["wide"] = len(t.encode()) - len(t)
+    counts["other"] = max(0, len(t) - sum(counts.values()))
+    bare = [w.lower().strip('"([').rstrip('.,;:!?"()[]') for w in white_words(t)]
+    return {k: v / n for k, v in counts.items()}, collections.Counter(w for w in bare if w in quality.ALL_COMMON)
+
+
+def js(p, q):
+    half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+    return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Both distances and kept, with references from the documents themselves and from a kept table."""
+    rows = [(k, prose(k, 40 + 9 * k), "en", "s") for k in range(20)] + [(30 + k, prose(60 + k, 80).replace("the", "der").title() + " (ja)", "de", "s") for k in range(3)]
+    rows += [(100, " ".join(f"{w}$$$" for w in prose(100, 150).split()), "en", "s"), (101, prose(101, 150).upper().replace(" ", "!! "), "en", "s"), (102, "The, " * 15 + prose(5, 70), "en", "s"), (103, prose(9, 100), None, "s"), (104, "7 " * 90, "fr", "s"), *edge_rows()]
+
+    def references(rows):
+        out = {}
+        for lang in {r[2] for r in rows}:
+            good = [r[1] for r in rows if r[2] == lang and (b := base_counts(r[1])) and not (b[0] < 20 or 100 * b[4] > 30 * b[0])]
+            if good:
+                shares, counts = zip(*map(histograms, good), strict=True)
+                median = {k: sorted(s[k] for s in shares)[math.ceil(len(good) / 2) - 1] for k in quality.CLASSES}
+                total, every = sum((c for c in counts), collections.Counter()), sum(base_counts(t)[0] for t in good)
+                out[lang] = len(good), median, {w: n / every for w, n in total.items()}
+        return out
+
+    def expected(text, lang, refs):
+        b = base_counts(text)
+        failed = b[0] < 20 or 100 * b[4] > 30 * b[0]
+        if lang not in refs:
+            return None, None, not failed
+        n, median, shares = refs[lang]
+        own, counts = histograms(text)
+        c = js([own[k] for k in quality.CLASSES], [median[k] for k in quality.CLASSES])
+        p = [counts[w] / b[0] if b[0] else 0 for w in quality.ALL_COMMON]
+        q = [shares.get(w, 0) for w in quality.ALL_COMMON]
+        w = js([*p, max(0, 1 - sum(p))], [*q, max(0, 1 - sum(q))])
+        k = 1 + quality.SLACK / n
+        far = (c > quality.BOTH[0] * k and w > quality.BOTH[1] * k) or c > quality.EITHER[0] * k or w > quality.EITHER[1] * k
+        return c, w, not failed and (b[0] < quality.MIN_WORDS or not far)
+
+    table = quality.reference_table(documents(spark, rows[:23]))
+    for reference, refs in ((None, references(rows)), (table, references(rows[:23]))):
+        got = quality.judge(documents(spark, rows), ["doc_id", "text", "lang"], reference=reference).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            c, w, kept = expected(r.text, r.lang, refs)
+            assert r.kept == kept, r.doc_id
+            if c is not None and r.text:
+                assert r.class_distance == pytest.approx(c, abs=1e-6) and r.word_distance == pytest.approx(w, abs=1e-6), r.doc_id
+        assert {r.doc_id: r.kept for r in got}[100] is False
+
+
 # mixing
 
 
