@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..sources.catalog import MAX_LEVELS
 from . import ordering
 
 ATTRIBUTES = ("size", "mtime", "ctime")
@@ -14,8 +16,8 @@ def reconcile(base: DataFrame, listing: DataFrame, dirty: DataFrame, deep: bool
     """The changes that fresh listings of dirty directories call for.
 
     listing: dir_id, name, is_dir, size, mtime, ctime, stamp; dirty: dir_id. Entries are known by name: one
-    that turns from file to directory or back is removed and added. A names pass looks at names and at the
-    directories' stamps; a deep one compares all attributes too. Result: action (add, remove, touch), id
+    that turns from file to directory or back is removed and added. A names pass looks at names and at
+    directories alone; a deep one compares the attributes of files too. Result: action (add, remove, touch), id
     (null for add), parent, name and the listed attributes. Applying a listing twice changes nothing.
     """
     dirs = dirty.select(F.col("dir_id").alias("_dir")).distinct()
@@ -23,34 +25,55 @@ def reconcile(base: DataFrame, listing: DataFrame, dirty: DataFrame, deep: bool
     k = known.select(F.col("id"), F.col("parent").alias("kp"), F.col("name").alias("kn"), F.col("is_dir").alias("kd"), *[F.col(c).alias(f"k_{c}") for c in (*ATTRIBUTES, "stamp")])
     seen = listing.join(dirs, listing["dir_id"] == F.col("_dir"), "left_semi")
     x = k.join(seen, (k["kp"] == seen["dir_id"]) & (k["kn"] == seen["name"]), "full_outer")
-    moved = F.col("is_dir") & (F.col("k_stamp") != F.col("stamp"))
-    if deep:
-        for c in ATTRIBUTES:
-            moved = moved | (F.col(f"k_{c}") != F.col(c))
+    other = F.lit(False)
+    for c in ATTRIBUTES:
+        other = other | (F.col(f"k_{c}") != F.col(c))
+    moved = other | (F.col("is_dir") & (F.col("k_stamp") != F.col("stamp")))
+    if not deep:
+        moved = F.col("is_dir") & moved
     actions = F.when(F.col("id").isNull(), F.array(F.lit("add"))).when(F.col("dir_id").isNull(), F.array(F.lit("remove"))).when(F.col("kd") != F.col("is_dir"), F.array(F.lit("remove"), F.lit("add"))).when(moved, F.array(F.lit("touch"))).otherwise(F.array().cast("array<string>"))
     x = x.select(F.explode(actions).alias("action"), "id", F.coalesce("kp", "dir_id").alias("parent"), F.coalesce("kn", "name").alias("name"), "is_dir", *ATTRIBUTES, "stamp")
     return x.withColumn("id", F.when(F.col("action") != "add", F.col("id")))
 
 
-def subtree(base: DataFrame, ids: DataFrame, levels: int = 512) -> DataFrame:
-    """id: the given entries (column id) and all that lies below them."""
-    text = f"""with recursive t(id) max recursion level {levels} as (
-      select id from {{ids}} union all select b.id from {{base}} b join t on b.parent = t.id) select distinct id from t"""
-    return base.sparkSession.sql(text, base=base.filter(~F.col("deleted")).select("id", "parent"), ids=ids.select("id"))
+def subtree(base: DataFrame, ids: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
+    """id: the given entries (column id) and all that lies below them.
+
+    Only directories are followed: each learns in log2(levels) joins whether one over it is given. Rows in a circle of
+    parents are followed up to `levels` too.
+    """
+    live = base.filter(~F.col("deleted"))
+    given = ids.select(F.col("id").alias("_given")).distinct()
+    dirs = live.filter("is_dir").join(given, F.col("id") == F.col("_given"), "left")
+    dirs = dirs.select(F.col("id").alias("d"), F.when(F.col("_given").isNull(), F.col("parent")).alias("up"), F.col("_given").isNotNull().alias("hit"))
+    reach = 1
+    while reach <= levels:
+        dirs = storage.pinned(dirs)
+        if not dirs.filter("up is not null").limit(1).count():
+            break
+        above = dirs.select(F.col("d").alias("ad"), F.col("up").alias("aup"), F.col("hit").alias("ahit"))
+        hit = F.col("hit") | F.coalesce("ahit", F.lit(False))
+        dirs = dirs.join(above, dirs["up"] == above["ad"], "left").select("d", F.when(~hit, F.col("aup")).alias("up"), hit.alias("hit"))
+        reach *= 2
+    below = live.join(dirs.filter("hit").select("d"), F.col("parent") == F.col("d"), "left_semi").select("id")
+    return ids.select("id").union(below).distinct()
 
 
 def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """base after the changes: removed subtrees become tombstones, added entries get new ids, in order of parent and name."""
+    """base after the changes: removed subtrees become tombstones, added entries without an id get new ones, in order of
+    parent and name. Entries added below added ones have the ids given (update() gives them)."""
     gone = subtree(base, changes.filter("action = 'remove'")).select(F.col("id").alias("_gone"))
     touch = changes.filter("action = 'touch'").select(F.col("id").alias("_touch"), *[F.col(c).alias(f"t_{c}") for c in (*ATTRIBUTES, "stamp")])
     x = base.join(gone, base["id"] == gone["_gone"], "left").join(touch, base["id"] == touch["_touch"], "left")
     x = x.select(*[F.coalesce(f"t_{c}", c).alias(c) if c in (*ATTRIBUTES, "stamp") else (F.col("deleted") | F.col("_gone").isNotNull()).alias(c) if c == "deleted" else base[c] for c in base.columns])
     last = base.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
+    added = changes.filter("action = 'add'").select(F.col("id").alias("_own"), "parent", "name", "is_dir", *ATTRIBUTES, "stamp")
     above = base.select(F.col("id").alias("_up"), F.col("depth").alias("_depth"))
-    added = changes.filter("action = 'add'").select("parent", "name", "is_dir", *ATTRIBUTES, "stamp")
-    added = ordering.positions(added, [F.col("parent"), F.col("name")], name="_n").crossJoin(F.broadcast(last))
+    fresh = ordering.positions(added.filter("_own is null"), [F.col("parent"), F.col("name")], name="_n").crossJoin(F.broadcast(last))
+    fresh = fresh.withColumn("id", F.col("last") + F.col("_n")).drop("_own", "_n", "last")
+    added = fresh.unionByName(added.filter("_own is not null").withColumnRenamed("_own", "id"))
     added = added.join(above, added["parent"] == above["_up"], "left")
-    added = added.select((F.col("last") + F.col("_n")).alias("id"), "parent", "name", (F.col("_depth") + 1).cast("int").alias("depth"), "is_dir", *ATTRIBUTES, "stamp", F.lit(False).alias("deleted"))
+    added = added.select("id", "parent", "name", (F.col("_depth") + 1).cast("int").alias("depth"), "is_dir", *ATTRIBUTES, "stamp", F.lit(False).alias("deleted"))
     return x.unionByName(added.select(*base.columns))
 
 
@@ -78,6 +101,12 @@ def merged(main: DataFrame, delta: DataFrame) -> DataFrame:
     return kept.unionByName(last.filter(~F.col("w.retract")).select("id", F.col("w.value").alias("value")))
 
 
+def wants_merge(main: DataFrame, delta: DataFrame, idle_seconds: float = 0.0, share: float = 0.01, idle: float = 60.0) -> DataFrame:
+    """wanted: whether a change log is to be merged: over a share of the main table, or not empty and idle for so long."""
+    rows = delta.agg(F.count("*").alias("d")).crossJoin(main.agg(F.count("*").alias("m")))
+    return rows.select(((F.col("d") > F.col("m") * share) | ((F.col("d") > 0) & F.lit(idle_seconds > idle))).alias("wanted"))
+
+
 def compacted(base: DataFrame) -> DataFrame:
     """base without tombstones, ids dense and in the old order, parents renamed with them."""
     kept = base.filter(~F.col("deleted"))

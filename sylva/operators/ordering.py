@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.text import fold
 
 
@@ -43,24 +44,19 @@ def page(df: DataFrame, columns: list[Column], ascending: bool = True, offset: i
     return out if count is None else out.limit(count)
 
 
-def _pinned(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder if the session has one, else in the cache. The bounds of a range
-    partitioning are drawn anew each time it is computed; what is read twice must not be."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def positions(df: DataFrame, columns: list[Column], ascending: bool = True, name: str = "pos", first: int = 1) -> DataFrame:
     """df with each row's place in a total order.
 
     Rows are range-partitioned by the order and numbered within their partition; the partitions' sizes, a row
-    each, give the offsets. No task sees all rows.
+    each, give the offsets. No task sees all rows. The bounds of a range partitioning are drawn anew each time it is
+    computed, so the dealt rows are pinned: storage.release() lets them go.
     """
     keys = [f"_k{i}" for i in range(len(columns))]
     keyed = df.select("*", *[c.alias(k) for c, k in zip(columns, keys, strict=True)])
     order = directed([F.col(k) for k in keys], ascending)
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
-    dealt = _pinned(dealt)
+    dealt = storage.pinned(dealt)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("_part").alias("_p"), before.alias("_before"))  # a row per partition

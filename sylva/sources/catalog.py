@@ -7,10 +7,13 @@ paths: they are few next to the files, and pointer doubling takes log2(depth) jo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from ..functions.text import fold
 
 BASE = T.StructType([
@@ -20,7 +23,7 @@ BASE = T.StructType([
 ])
 BASE_COLUMNS = BASE.fieldNames()
 
-#: The star schema's tables laid out as two trees, /data and /docs; {epoch} is the order date in seconds.
+#: The star schema's tables laid out as three trees, /data, /docs and /media; {epoch} is the order date in seconds.
 STAR = """
 select cast(0 as bigint) id, cast(null as bigint) parent, '/data' name, 0 depth, true is_dir, cast(4096 as bigint) size, cast(946684800 as bigint) mtime
 union all select cast(1 as bigint), cast(null as bigint), '/docs', 0, true, cast(4096 as bigint), cast(946684800 as bigint)
@@ -32,10 +35,16 @@ union all select 4000000000 + o_orderkey, 3000000000 + o_custkey,
          case o_orderpriority when '1-URGENT' then '.conf' when '2-HIGH' then '.TXT' when '3-MEDIUM' then '.log' when '4-NOT SPECIFIED' then '.jpg' else '' end),
   4, false, case when o_orderkey % 13 = 0 then 0 else cast(floor(o_totalprice) as bigint) end, {epoch} from {orders}
 union all select distinct 5000000000 + cast(ascii(substr(lang, 1, 1)) as bigint) * 256 + ascii(substr(lang, 2, 1)), 1, lang, 1, true, 4096, 946684800 from {documents}
+union all select cast(2 as bigint), cast(null as bigint), '/media', 0, true, cast(4096 as bigint), cast(788918400 as bigint)
 union all select 6000000000 + doc_id, 5000000000 + cast(ascii(substr(lang, 1, 1)) as bigint) * 256 + ascii(substr(lang, 2, 1)),
   concat('Doc-', cast(doc_id as varchar(20)), '.', source, '.md'), 2, false, n_chars, 1700000000 + doc_id * 3600 from {documents}
+union all select 7000000000 + p_partkey, 2, concat('Disc:', cast(p_partkey as varchar(20)), ' ', p_brand, ' Side A',
+         case p_partkey % 6 when 0 then '.mp3' when 1 then '.MKV' when 2 then '.zip' when 3 then '.exe' when 4 then '.flac' else '.7z' end),
+  1, false, p_size * 1000, 788918400 + p_partkey * 60 from {part}
 """
-STAR_TABLES = ("region", "nation", "customer", "orders", "documents")
+STAR_TABLES = ("region", "nation", "customer", "orders", "documents", "part")
+#: Directories that lie one in another, at most; deeper ones and those in a circle have no path.
+MAX_LEVELS = 512
 
 
 def star_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,25 +85,40 @@ def _under(above: Column, name: Column) -> Column:
     return F.concat(F.regexp_replace(above, "/$", ""), F.lit("/"), name)
 
 
-def with_paths(base: DataFrame, depth: int | None = None) -> DataFrame:
-    """base with its full path, depth and the parent's path; rows without a living root are dropped.
+def _closed(base: DataFrame, depth: int | None) -> DataFrame:
+    """d, up, p, steps: each directory with its path from the highest directory reached; up is null where that is a root.
 
-    depth: the deepest directory's, if it is known; otherwise joins go on until no directory is left open.
+    Reach doubles from round to round. Without a depth it goes on until no directory is open, up to MAX_LEVELS.
     """
     dirs = base.filter("is_dir").select(F.col("id").alias("d"), F.col("parent").alias("up"), F.col("name").alias("p"), F.lit(0).alias("steps"))
-    reach, steps = 1, F.col("steps")
-    while depth is None or reach <= depth:
+    reach = 1
+    while reach <= (MAX_LEVELS if depth is None else depth):
         if depth is None:
-            dirs = dirs.persist()
+            dirs = storage.pinned(dirs)
             if not dirs.filter("up is not null").limit(1).count():
                 break
         above = dirs.select(F.col("d").alias("ad"), F.col("up").alias("aup"), F.col("p").alias("ap"), F.col("steps").alias("asteps"))
         joined = dirs.join(above, dirs["up"] == above["ad"], "left")
         found = F.col("ad").isNotNull()
         joined = joined.filter(F.col("up").isNull() | found)
-        dirs = joined.select("d", F.col("aup").alias("up"), F.when(found, _under(F.col("ap"), F.col("p"))).otherwise(F.col("p")).alias("p"), F.when(found, steps + F.col("asteps") + 1).otherwise(steps).alias("steps"))
+        path = F.when(found, _under(F.col("ap"), F.col("p"))).otherwise(F.col("p"))
+        dirs = joined.select("d", F.col("aup").alias("up"), path.alias("p"), F.when(found, F.col("steps") + F.col("asteps") + 1).otherwise(F.col("steps")).alias("steps"))
         reach *= 2
-    dirs = dirs.filter("up is null").select(F.col("d").alias("_d"), F.col("p").alias("_p"), F.col("steps").alias("_steps"))
+    return dirs
+
+
+def with_paths(base: DataFrame, depth: int | None = None) -> DataFrame:
+    """base with its full path, depth and the parent's path; rows without a living root, in a circle of parents or
+    more than MAX_LEVELS deep are dropped (unrooted() lists them).
+
+    depth: the deepest directory's, if it is known: no rows are read ahead then, and a directory that lies deeper is an error.
+    """
+    dirs = _closed(base, depth)
+    if depth is None:
+        dirs = dirs.filter("up is null")
+    else:
+        dirs = dirs.filter(F.when(F.col("up").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"deeper than {depth}: "), F.col("p"))).cast("boolean")))
+    dirs = dirs.select(F.col("d").alias("_d"), F.col("p").alias("_p"), F.col("steps").alias("_steps"))
     x = base.join(dirs, base["parent"] == dirs["_d"], "left").filter(F.col("parent").isNull() | F.col("_d").isNotNull())
     path = F.when(F.col("parent").isNull(), F.col("name")).otherwise(_under(F.col("_p"), F.col("name")))
     own_depth = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.col("_steps") + 1).cast("int")
@@ -102,6 +126,12 @@ def with_paths(base: DataFrame, depth: int | None = None) -> DataFrame:
     return x.select(*[own_depth.alias(c) if c == "depth" else base[c] for c in base.columns], path.alias("path"), above.alias("parent_path"))
 
 
+def unrooted(base: DataFrame) -> DataFrame:
+    """The rows that with_paths() drops."""
+    rooted = _closed(base, None).filter("up is null").select(F.col("d").alias("_d"))
+    return base.filter("parent is not null").join(rooted, base["parent"] == rooted["_d"], "left_anti")
+
+
 def child_counts(base: DataFrame) -> DataFrame:
     return base.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("nchild"))
 
@@ -131,13 +161,51 @@ def check_schema(df: DataFrame) -> DataFrame:
     return df
 
 
-def save(base: DataFrame, path: str) -> None:
-    """Writes the base columns only; everything else is derived again on load."""
-    base.select(*BASE_COLUMNS).write.mode("overwrite").parquet(path)
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
+def save(base: DataFrame, path: str, epoch: int | None = None) -> bool:
+    """Writes the base columns as a version of the snapshot; everything else is derived again on load.
+
+    The version is written aside and gets its name, that of the epoch, by one rename; so a failed write leaves the old
+    version, and a table may be saved over the snapshot it was loaded from. The version before stays for its
+    readers, older ones go. epoch: by default one more than the last; nothing is written (False) if it is there already.
+    """
+    spark = base.sparkSession
+    there = _versions(spark, path)
+    if epoch is None:
+        epoch = there[-1] + 1 if there else 0
+    if epoch in there:
+        return False
+    aside = f"{path}/_new-{uuid.uuid4().hex}"
+    base.select(*BASE_COLUMNS).write.parquet(aside)
+    at, fs = _fs(spark, aside)
+    if not fs.rename(at, _fs(spark, f"{path}/v={epoch}")[0]):
+        raise OSError(f"cannot name {aside} version {epoch}")
+    for old in [v for v in there if v < epoch][:-1]:
+        fs.delete(_fs(spark, f"{path}/v={old}")[0], True)
+    return True
+
+
+def saved_epoch(spark: SparkSession, path: str) -> int | None:
+    """The epoch of a snapshot's last version."""
+    return max(_versions(spark, path), default=None)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return check_schema(spark.read.parquet(path))
+    """The last version of a snapshot, or the table at path itself."""
+    epoch = saved_epoch(spark, path)
+    return check_schema(spark.read.parquet(path if epoch is None else f"{path}/v={epoch}"))
 
 
 def materialise(entries: DataFrame, path: str) -> None:
