@@ -6,6 +6,8 @@ import re
 import string
 import unicodedata
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,3 +166,42 @@ def regex_for_java(pattern: str, case: bool) -> str | None:
     except re.error:
         return None
     return ("(?md)" if case else "(?imd)") + "".join(out)
+
+
+def backtracks(pattern: str) -> bool:
+    """Whether a matcher that backtracks may take very many steps: a repeat of a group that repeats or chooses within,
+    or three unbounded repeats."""
+    groups, total, i = [False], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            end = pattern.find("]", i + (3 if pattern[i + 1 : i + 2] == "^" else 2))
+            i = end if end > 0 else len(pattern)
+        elif c == "(":
+            groups.append(False)
+        elif c == "|":
+            groups[-1] = True
+        elif c == ")" and len(groups) > 1:
+            inner = groups.pop()
+            groups[-1] |= inner
+            if inner and pattern[i + 1 : i + 2] in ("*", "+"):
+                return True
+        elif c in "*+":
+            groups[-1], total = True, total + 1
+        i += 1
+    return total > 2
+
+
+def regex_match(subject: Column, pattern: str) -> Column:
+    """Whether a pattern of regex_for_java() is found. A pattern that backtracks() goes to a matcher of linear time, by
+    Arrow batches; it folds the case of all letters, not of a to z alone."""
+    if not backtracks(pattern.partition(")")[2]):
+        return subject.rlike(pattern)
+
+    @F.arrow_udf("boolean")
+    def found(names: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(names, pattern.replace("d)", ")", 1))
+
+    return found(subject)

@@ -42,11 +42,3 @@ def ranks_below(entries: DataFrame, names: list[str]) -> DataFrame:
     distinct = entries.select(fold(F.col("dname")).alias("fname")).distinct()
     row = distinct.agg(*[F.count_if(F.col("fname") < F.lit(n)).alias(f"c{i}") for i, n in enumerate(names)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"c{i}").alias("below")) for i, n in enumerate(names)])).alias("r")).select("r.*")
-
-
-def trigrams(entries: DataFrame) -> DataFrame:
-    """trigram, n: the number of entries whose folded name holds each run of three characters."""
-    name = fold(F.col("dname"))
-    runs = F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substr(name, i, F.lit(3)))
-    grams = entries.filter(F.length("dname") >= 3).select("id", F.explode(F.array_distinct(runs)).alias("trigram"))
-    return grams.groupBy("trigram").agg(F.count("*").alias("n"))

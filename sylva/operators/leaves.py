@@ -163,8 +163,8 @@ def text_match(leaf: Leaf, ctx: Context) -> Column:
         if pattern is None:
             ctx.warn(f"the pattern {value!r} cannot be used")
             return F.lit(False)
-        found = subject.rlike(pattern)
-        return found | F.translate(subject, "/", "\\").rlike(pattern) if by_path and "\\" in value else found
+        found = tx.regex_match(subject, pattern)
+        return found | tx.regex_match(F.translate(subject, "/", "\\"), pattern) if by_path and "\\" in value else found
     if mods & IGNORES:
         a, b = tx.normalised(subject, mods), tx.normalised_text(value, mods)
         return F.contains(a, F.lit(b)) if case and not ctx.compat else F.contains(tx.fold(a), F.lit(tx.folded(b)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.compiler import matches
@@ -46,6 +49,22 @@ class Result:
         columns, ascending = ordering.sort_key(self.sort)
         return ordering.positions(self.matched, columns, ascending)
 
+    def answer(self, *columns: str) -> tuple[Row, list[Row]]:
+        """The counts and the page's rows, by two jobs side by side."""
+        with ThreadPoolExecutor(1) as pool:
+            counts = pool.submit(lambda: self.counts().first())
+            page = self.page()
+            return counts.result(), (page.select(*columns) if columns else page).collect()
+
+    def report(self) -> dict[str, object]:
+        """How the page is made and how long it took: the plan, whether filters reach a scan, seconds for each step."""
+        began = time.perf_counter()
+        page = self.page()
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        planned = time.perf_counter()
+        rows = len(page.collect())
+        return {"plan": plan, "pushed": "PushedFilters: [" in plan and "PushedFilters: []" not in plan, "rows": rows, "plan_seconds": planned - began, "run_seconds": time.perf_counter() - planned}
+
 
 def search(entries: DataFrame, text: str, sort: str = "name_ascending", offset: int = 0, count: int | None = None, filter: Filter = Filter(), ctx: Context | None = None) -> Result:
     """A search over enriched entries. A search that cannot be read raises SearchSyntaxError."""
@@ -93,6 +112,8 @@ class SearchSession:
     count: int | None = None
     columns: frozenset[str] = frozenset()
     hide_empty: bool = False
+    tag: str = field(default_factory=lambda: f"session-{uuid.uuid4().hex}")
+    _abandoned: bool = False
     _key: tuple | None = None
     _cached: DataFrame | None = None
 
@@ -142,6 +163,25 @@ class SearchSession:
     def query(self) -> DataFrame:
         return output.project(self.result().page(), tuple(self.columns))
 
+    def rows(self) -> list[Row]:
+        """The current page's rows; none if abandon() was called meanwhile, and then the cached rows stay as they were."""
+        context = self.entries.sparkSession.sparkContext
+        self._abandoned = False
+        context.addJobTag(self.tag)
+        try:
+            return self.query().collect()
+        except Exception:
+            if self._abandoned:
+                return []
+            raise
+        finally:
+            context.removeJobTag(self.tag)
+
+    def abandon(self) -> None:
+        """Another command supersedes the query that runs: it ends and answers empty. Called from another thread."""
+        self._abandoned = True
+        self.entries.sparkSession.sparkContext.cancelJobsWithTag(self.tag)
+
     def refreshed(self, entries: DataFrame) -> None:
         """The catalog has changed."""
         self.entries, self.epoch = entries, self.epoch + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,6 +13,8 @@ from ..sources.catalog import parent_path
 #: Kinds that name a path whose directory is to be listed anew, and kinds that say that events were lost.
 CHANGES = ("create", "delete", "moved", "moved_from", "moved_to")
 LOSSES = ("overflow", "unresolved")
+#: Marks after which a burst is applied without waiting for its end.
+BURST_MARKS = 256
 SCHEMA = "ts timestamp, kind string, path string, old_path string"
 
 
@@ -43,11 +45,15 @@ def lost(events: DataFrame) -> DataFrame:
     return events.agg(F.count_if(F.col("kind").isin(*LOSSES)).alias("losses"))
 
 
-def coalesced(events: DataFrame, gap: str = "50 milliseconds") -> DataFrame:
-    """begin, marks, dirs: bursts of changes that no pause of `gap` divides."""
-    x = touched_paths(events)
-    burst = x.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("marks"), F.count_distinct("dir").alias("dirs"))
-    return burst.select(F.col("w.start").alias("begin"), "marks", "dirs")
+def coalesced(events: DataFrame, gap: str = "50 milliseconds", most: int = BURST_MARKS) -> DataFrame:
+    """begin, marks, dirs: bursts of changes that no pause of `gap` divides, cut after `most` marks, so that a long burst
+    is applied as it goes on. events: one batch, whose marks are ordered by time in one task."""
+    order = Window.orderBy("ts", "dir")
+    x = touched_paths(events).withColumn("before", F.lag("ts").over(order))
+    fresh = F.when(F.col("before") + F.expr(f"interval {gap}") > F.col("ts"), F.lit(0)).otherwise(F.lit(1))
+    x = x.withColumn("burst", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("burst").orderBy("ts", "dir")) - 1) / most))
+    return x.groupBy("burst", "part").agg(F.min("ts").alias("begin"), F.count("*").alias("marks"), F.count_distinct("dir").alias("dirs")).drop("burst", "part")
 
 
 def follow(events: DataFrame, directories: Callable[[], DataFrame], roots: list[str], apply: Callable[[DataFrame, int], None], full: Callable[[int], None]) -> DataStreamWriter:

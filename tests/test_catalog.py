@@ -140,6 +140,7 @@ def test_events(spark):
     assert sorted(dirty) == ["flat", "sub1", "sub2"]
     assert ev.under_roots(ev.touched_paths(events(spark)), ["/t/flat"]).count() == 5
     assert [(r.marks, r.dirs) for r in ev.coalesced(events(spark)).orderBy("begin").collect()] == [(3, 3), (3, 3)]
+    assert [(r.marks, r.dirs) for r in ev.coalesced(events(spark), most=2).orderBy("begin", "marks").collect()] == [(2, 2), (1, 1), (2, 2), (1, 1)]
     assert ev.lost(events(spark)).first()[0] == 0
     assert ev.lost(events(spark, [*EVENTS, ("2024-01-01", "overflow", None, None)])).first()[0] == 1
 

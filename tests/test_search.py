@@ -124,3 +124,66 @@ def test_words_and_unicode(spark):
 
 def test_resolve_path():
     assert [resolve_path("/a/b", p) for p in ("c", "../c", "/x//y/", ".", "..\\..\\..", "c\\d/./e", "")] == ["/a/b/c", "/a/c", "/x/y", "/a/b", "/", "/a/b/c/d/e", "/a/b"]
+
+
+def test_patterns_that_backtrack(spark):
+    """A pattern that a backtracking matcher would not end with is answered at once, the same as by the other matcher."""
+    import time
+
+    from sylva.functions.text import backtracks
+
+    names = ["a" * 60 + "!", "a" * 60, "A" * 7, "abab", "abac", "x" * 200 + "y", "日本" * 30]
+    e = catalog.enriched(tree(spark, [("/w", None)] + [(f"/w/{n}", 1) for n in names])).persist()
+    began = time.perf_counter()
+    found = lambda q: sorted(r.dname for r in matches(e, q).collect())
+    assert found('regex:"^(a+)+$"') == sorted(["a" * 60, "A" * 7]) and found('regex:"^(ab|a)*$"') == sorted(["a" * 60, "A" * 7, "abab"])
+    assert found('regex:"x*x*x*x*x*x*z$"') == [] and found('regex:"(本|日)+日本$"') == ["日本" * 30]
+    assert time.perf_counter() - began < 30
+    plans = {"^b.*conf$": False, "(a+)+$": True, "(a|b)*": True, "(ab)*c": False, "(?:a(b+))*": True, "[(+*]+x": False, "\\(a+\\)+": False, ".*a.*b.*": True}
+    assert {p: backtracks(p) for p in plans} == plans
+
+
+def test_abandoned_query_answers_empty(flat, spark):
+    import threading
+    import time
+
+    s = SearchSession(flat)
+    assert len(s.rows()) == 13
+    slow = flat.filter(F.udf(lambda i: time.sleep(5) or True, "boolean")("id"))
+    s.refreshed(slow)
+    got = {}
+    t = threading.Thread(target=lambda: got.update(rows=s.rows()))
+    began = time.perf_counter()
+    t.start()
+    time.sleep(1.5)
+    s.abandon()
+    t.join(60)
+    assert got["rows"] == [] and time.perf_counter() - began < 60
+    s.refreshed(flat)
+    assert len(s.rows()) == 13
+    s.close()
+
+
+def test_answers_and_reports(flat):
+    counts, page = search(flat, "file:", sort="size_descending", count=2).answer("size")
+    assert tuple(counts) == (8, 0, 8) and [r.size for r in page] == [5000, 500]
+    report = search(flat, "ext:conf", count=2).report()
+    assert report["rows"] == 2 and "TakeOrdered" in report["plan"] and report["run_seconds"] > 0
+
+
+def test_options(monkeypatch, caplog):
+    from sylva.plans import options
+
+    assert options.skipped("trigram, cache").names == {"trigram", "cache"} and options.skipped("all").names == set(options.INDEXES)
+    monkeypatch.setenv(options.VARIABLE, "cache")
+    assert (options.skipped().source, options.skipped().uses("cache"), options.skipped(sidecar="none").names) == ("environment", False, frozenset())
+    assert options.skipped("nosuch").names == frozenset() and "nosuch" in caplog.text
+
+
+def test_trigrams(flat, spark, tmp_path):
+    from sylva.operators import trigrams
+
+    trigrams.store(flat, str(tmp_path / "t"))
+    index = spark.read.parquet(str(tmp_path / "t"))
+    for text in ("conf", "CONF", "on", "x.conf", "leaf.txt", "nothing", "", "conff"):
+        assert sorted(r.id for r in trigrams.containing(flat, index, text).collect()) == sorted(r.id for r in matches(flat, f'"{text}"' if text else "").collect()), text
