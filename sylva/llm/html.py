@@ -30,11 +30,12 @@ import re
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .urls import host_of
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.25
@@ -231,10 +232,6 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def host_of(url: str | Column = "url") -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 _BLOCK = T.StructType().add("text", "string").add("path", "string")
 _NODE = T.StructType().add("path", "string").add("content", "long").add("style", "long").add("prior", "double")
 PARSED = T.StructType().add("digest", "long").add("blocks", T.ArrayType(_BLOCK)).add("nodes", T.ArrayType(_NODE))

@@ -144,6 +144,14 @@ def test_urls(spark):
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
     assert got == cases
     assert urls.filter_urls(df).columns == df.columns and urls.judge_urls(df.limit(0)).count() == 0
+    table = spark.createDataFrame([("Alpha", 0.4), ("beta", 0.6), ("gamma", 2.0), ("alpha", 0.1), (None, 1.0), ("", 1.0), ("zeta", None)], "term string, weight double")
+    terms = urls.vocabulary(table)
+    assert len(terms) == 5
+    with pytest.raises(ValueError):
+        urls.vocabulary(table, 3)
+    df = spark.createDataFrame([(u,) for u in ("http://x.y/ALPHA/beta", "http://x.y/alpha-alpha", "http://gamma.y", "http://x.y/alphabeta", "casino", None)], "url string")
+    assert [(r.verdict, round(r.term_weight, 2)) for r in urls.judge_urls(df, terms=terms).collect()] == [("block", 1.0), ("allow", 0.4), ("block", 2.0), ("allow", 0.0), ("allow", 0.0), ("allow", 0.0)]
+    assert {r.verdict for r in urls.judge_urls(df, rules=(), terms=()).collect()} == {"allow"}
 
 
 # personal data and secrets
@@ -329,7 +337,7 @@ def histograms(text):
     counts = {k: sum(t.count(c) for c in cs) for k, cs in of.items()}
     counts["wide"] = len(t.encode()) - len(t)
     counts["other"] = max(0, len(t) - sum(counts.values()))
-    bare = [w.lower().strip('"([').rstrip('.,;:!?"()[]') for w in white_words(t)]
+    bare = [w.strip(quality.ENDS).lower() for w in white_words(t)]
     return {k: v / n for k, v in counts.items()}, collections.Counter(w for w in bare if w in quality.ALL_COMMON)
 
 
@@ -482,7 +490,7 @@ def test_near_duplicates(spark):
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
             assert r.kept == (r.doc_id == r.component_id)
-    parted = neardup.clusters(documents(spark, rows), block_bytes=4000, bucket_classes=3).collect()
+    parted = neardup.clusters(documents(spark, rows), block_bytes=(2000, 6000), bucket_classes=(2, 4)).collect()
     assert sorted(map(str, parted)) == sorted(map(str, got))
     one = neardup.keep_one(documents(spark, rows))
     assert one.columns == documents(spark).columns
