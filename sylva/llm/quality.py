@@ -43,8 +43,8 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus",
 }
 ALL_COMMON = sorted({w for ws in COMMON.values() for w in ws.split()})
-#: Punctuation at a word's ends.
-ENDS = r"[.,;:!?\"()\[\]]+(?=[ \t-\r]|$)|(?<![^ \t-\r])[\"(\[]+"
+#: Punctuation that a common word may have at its ends.
+ENDS = ".,;:!?\"()[]"
 CLASSES = ("upper", "digit", "stop", "mark", "white", "wide", "other")
 
 
@@ -101,7 +101,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     x = x.withColumn("_h", window_hashes(F.col("_w")))
     ws, n = F.col("_w"), F.size("_w").cast("long")
     lines = F.filter(F.split(t, "\n"), lambda s: F.btrim(s, F.lit(common.WHITE)) != "")
-    seen = F.filter(words(F.regexp_replace(F.lower(t), ENDS, " ")), lambda w: w.isin(ALL_COMMON))
+    seen = F.filter(F.transform(ws, lambda w: F.lower(F.btrim(w, F.lit(ENDS)))), lambda w: w.isin(ALL_COMMON))
     counts = _let(seen, lambda s: F.transform(F.array_distinct(s), lambda w: F.struct(w.alias("w"), F.size(F.filter(s, lambda y: y == w)).alias("n"))))
     x = x.select(
         "_row", "_lang", n.alias("n_words"), F.length(F.translate(t, common.WHITE, "")).cast("long").alias("word_chars"), _n(t, "#*$%&|<>").cast("long").alias("n_symbols"),
