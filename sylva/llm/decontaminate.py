@@ -177,7 +177,8 @@ def _scan_block(docs: DataFrame, windows: Windows) -> DataFrame:
 def digest(scanned: DataFrame, columns: list[str], min_items: int = MIN_ITEMS) -> DataFrame:
     """columns with n_words, n_hit, n_items, items_sha256 and contaminated."""
     ids = F.col("_items")
-    return scanned.select(*columns, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.size(ids) >= min_items).alias("contaminated"))
+    return scanned.select(*columns, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.size(ids) >= min_items).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH, min_items: int = 1) -> DataFrame:

@@ -49,14 +49,19 @@ MAX_LINK_SHARE = 0.6
 #: Bytes of noisy nodes up to which they are broadcast; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
 #: HTML's elements by what they mean for blocks of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption".split())
+BLOCK = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption".split(
+    ))
 NOISE = frozenset("head nav footer aside form button select menu dialog svg canvas object audio video map datalist fieldset".split())
-CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
+    "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Class names of noise. Adverts and comments go wherever they stand.
 ALWAYS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsored sponsor commercial comment comments commentlist comment-list"
@@ -241,7 +246,8 @@ def parsed(pages: DataFrame, names: list[str], judged: bool = True) -> DataFrame
     """_row (the columns of names), host, digest of what the page's rules leave, its blocks and its nodes."""
 
     def each(batches):
-        kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string())])), pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64()), ("style", pa.int64()), ("prior", pa.float64())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string())])), pa.list_(pa.struct([("path", pa.string()),
+            ("content", pa.int64()), ("style", pa.int64()), ("prior", pa.float64())]))
         for batch in common.slices(batches, "_html", 8 << 20):
             digests, blocks, nodes = [], [], []
             for source in batch.column(2).to_pylist():
@@ -270,7 +276,8 @@ def node_entropies(pages: DataFrame) -> DataFrame:
     node = each.groupBy("host", "path", "kind").agg(total.alias("n"), entropy.alias("h"), F.max("prior").alias("prior"))
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     return node.groupBy("host", "path").agg(
-        pick("style", "n").alias("pages"), F.coalesce(pick("content", "n"), F.lit(0)).alias("texts"), pick("content", "h").alias("content"), pick("style", "h").alias("style"), F.max("prior").alias("prior")
+        pick("style", "n").alias("pages"), F.coalesce(pick("content", "n"), F.lit(0)).alias("texts"), pick("content", "h").alias("content"),
+        pick("style", "h").alias("style"), F.max("prior").alias("prior")
     )
 
 
@@ -293,9 +300,12 @@ def importances(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
     over = F.transform(F.sequence(F.lit(2), F.size(segments)), lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/"))
     pairs = x.select("host", "path", F.posexplode(over).alias("j", "over"))
     step = x.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.struct("pages", "part").alias("s"))
-    chain = pairs.join(step, (pairs["host"] == step["_h"]) & (pairs["over"] == step["_p"])).groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("j", "over", "s"))).alias("chain"))
+    chain = pairs.join(step, (pairs["host"] == step["_h"]) & (pairs["over"] == step["_p"])).groupBy("host",
+        "path").agg(F.array_sort(F.collect_list(F.struct("j", "over", "s"))).alias("chain"))
     # products of the factors from a node up to each node over it, itself first
-    steps = lambda c: F.transform(F.sequence(F.size(c) - 1, F.lit(0), F.lit(-1)), lambda i: F.struct(i.alias("i"), F.when(i < F.size(c) - 1, c[i]["s"]["part"] * c[i + 1]["s"]["pages"]).otherwise(F.lit(1.0)).alias("f")))
+    steps = lambda c: F.transform(F.sequence(F.size(c) - 1, F.lit(0), F.lit(-1)),
+        lambda i: F.struct(i.alias("i"), F.when(i < F.size(c) - 1,
+        c[i]["s"]["part"] * c[i + 1]["s"]["pages"]).otherwise(F.lit(1.0)).alias("f")))
     put = lambda acc, s: F.concat(acc, F.array(s["f"] * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(1.0))))
     gone = chain.select("host", "path", "chain", F.aggregate(steps(F.col("chain")), F.array().cast("array<double>"), put).alias("products"))
     gone = gone.withColumn("to", F.zip_with(F.reverse("chain"), "products", lambda c, p: F.struct(c["over"].alias("over"), p.alias("product"))))
@@ -312,7 +322,8 @@ def noisy_nodes(nodes: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     x = nodes.withColumn("importance", weight * F.col("prior") + (1 - weight) * F.col("composite"))
     segments = F.split("path", "/")
     over = F.transform(F.sequence(F.lit(2), F.size(segments)), lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/"))
-    return x.select("host", F.explode(over).alias("path"), "importance").groupBy("host", "path").agg(F.max("importance").alias("most")).filter(F.col("most") < least).select("host", "path")
+    return x.select("host", F.explode(over).alias("path"), "importance").groupBy("host",
+        "path").agg(F.max("importance").alias("most")).filter(F.col("most") < least).select("host", "path")
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, judged: bool = True) -> DataFrame:

@@ -71,13 +71,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     x = x.withColumn("left_", F.sum("source_size").over(whole).cast("double") - F.coalesce(F.sum("cap").over(below), F.lit(0.0)))
     x = x.withColumn("wleft", F.sum("w").over(every.rowsBetween(0, Window.unboundedFollowing)))
     # the level is that of the first source, by size per weight, whose own cap lies above it
-    first = F.first(F.when(F.col("left_") / F.col("wleft") <= F.col("r"), F.col("left_") / F.col("wleft")), True).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first(F.when(F.col("left_") / F.col("wleft") <= F.col("r"), F.col("left_") / F.col("wleft")),
+        True).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     x = x.withColumn("level", first)
     return x.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.coalesce("level", F.lit(0.0))).alias("target"))
 
 
 def mix(
-    docs: DataFrame, seed: str = "mix-1", weights: tuple[float, ...] = WEIGHTS, most: int = EPOCHS, cells: int = CELLS, columns: tuple[str, ...] | None = None, quality: Column | None = None
+    docs: DataFrame, seed: str = "mix-1", weights: tuple[float, ...] = WEIGHTS, most: int = EPOCHS, cells: int = CELLS,
+    columns: tuple[str, ...] | None = None, quality: Column | None = None
 ) -> DataFrame:
     """docs with size, source_size, target, taken (words the mix takes of the document, repeats counted).
 
@@ -87,7 +89,8 @@ def mix(
     keep = common.others(columns or docs.columns, ("size", "source_size", "target", "taken"))
     given = F.lit(None).cast("double") if quality is None else F.coalesce(F.when(quality > 0, quality.cast("double")), F.lit(WEAKEST))
     own = F.coalesce(docs["doc_id"].cast("string"), F.md5(F.coalesce(docs["text"], F.lit(""))))
-    x = docs.select(common.held(docs, keep), docs["doc_id"].alias("_id"), docs["text"].alias("_t"), words(docs["text"]).alias("_w"), own.alias("_own"), given.alias("_given"), docs["source"].alias("_source"))
+    x = docs.select(common.held(docs, keep), docs["doc_id"].alias("_id"), docs["text"].alias("_t"), words(docs["text"]).alias("_w"),
+        own.alias("_own"), given.alias("_given"), docs["source"].alias("_source"))
     weight = quality_weight(F.col("_t"), F.col("_w")) if quality is None else F.col("_given")
     x = x.select("_row", "_id", F.size("_w").cast("long").alias("size"), (-F.log(uniform(F.col("_own"), seed)) / weight).alias("_key"), "_source")
     # 1 - exp(-key) spreads the exponential keys over (0, 1) for the cells
@@ -113,7 +116,8 @@ def mix(
         plan = F.broadcast(plan)
     planned = lambda df: df.join(plan, df["_source"].eqNullSafe(plan["_s"]))
     base = F.col("epochs") * F.col("size")
-    out = lambda df, taken: df.select(*common.released(keep), F.col("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target"), taken.cast("long").alias("taken"))
+    out = lambda df, taken: df.select(*common.released(keep), F.col("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target"),
+        taken.cast("long").alias("taken"))
     at_cut = F.col("_cell") == F.col("_cut")
     plain = out(planned(x).filter(~at_cut), base + F.when(F.col("_cell") <= F.col("_full"), F.col("size")).otherwise(F.lit(0)))
     # the cut's cells are ordered by numbers alone, their rows are fetched by number

@@ -105,8 +105,11 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     counts = _let(seen, lambda s: F.transform(F.array_distinct(s), lambda w: F.struct(w.alias("w"), F.size(F.filter(s, lambda y: y == w)).alias("n"))))
     x = x.select(
         "_row", "_lang", n.alias("n_words"), F.length(F.translate(t, common.WHITE, "")).cast("long").alias("word_chars"), _n(t, "#*$%&|<>").cast("long").alias("n_symbols"),
-        F.when(F.instr(t, "\n") == 0, F.lit(0)).otherwise(_let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s)))).cast("long").alias("n_dup_lines"), repeated_words(F.col("_h")).alias("n_repeat_words"),
-        F.length(t).cast("long").alias("_chars"), (F.octet_length(t) - F.length(t)).cast("long").alias("wide"), _n(t, "A-Z").cast("long").alias("upper"), _n(t, "0-9").cast("long").alias("digit"), _n(t, ".,;:?'\"()-").cast("long").alias("stop"), _n(t, "!@\\[\\]{}_=+~^`/\\\\").cast("long").alias("mark"), counts.alias("_common"),
+        F.when(F.instr(t, "\n") == 0, F.lit(0)).otherwise(_let(lines,
+        lambda s: F.size(s) - F.size(F.array_distinct(s)))).cast("long").alias("n_dup_lines"), repeated_words(F.col("_h")).alias("n_repeat_words"),
+        F.length(t).cast("long").alias("_chars"), (F.octet_length(t) - F.length(t)).cast("long").alias("wide"),
+        _n(t, "A-Z").cast("long").alias("upper"), _n(t, "0-9").cast("long").alias("digit"), _n(t, ".,;:?'\"()-").cast("long").alias("stop"),
+        _n(t, "!@\\[\\]{}_=+~^`/\\\\").cast("long").alias("mark"), counts.alias("_common"),
     )
     x = x.withColumn("mark", F.col("mark") + F.col("n_symbols")).withColumn("white", F.col("_chars") - F.col("word_chars"))
     x = x.withColumn("other", F.greatest(F.lit(0), F.col("_chars") - F.col("upper") - F.col("digit") - F.col("stop") - F.col("mark") - F.col("white") - F.col("wide")))
@@ -128,16 +131,20 @@ def reference_table(docs: DataFrame, version: int = VERSION) -> DataFrame:
 def references(seen: DataFrame) -> DataFrame:
     """A row per language: lang, docs, median share of each class, and share of each common word among all words."""
     good = seen.filter(~F.col("base_failed"))
-    classes = good.groupBy("_lang").agg(F.count("*").alias("docs"), *[F.percentile_approx(F.col(c) / F.greatest("_chars", F.lit(1)), F.lit(0.5), F.lit(10_000)).alias(c) for c in CLASSES])
+    classes = good.groupBy("_lang").agg(F.count("*").alias("docs"),
+        *[F.percentile_approx(F.col(c) / F.greatest("_chars", F.lit(1)), F.lit(0.5), F.lit(10_000)).alias(c) for c in CLASSES])
     n = good.groupBy("_lang").agg(F.sum("n_words").alias("all"))
     each = good.select("_lang", F.explode("_common").alias("c")).groupBy("_lang", F.col("c.w").alias("w")).agg(F.sum("c.n").alias("n"))
-    each = each.join(n.withColumnRenamed("_lang", "_l2"), F.col("_lang").eqNullSafe(F.col("_l2"))).groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("w", (F.col("n") / F.col("all")).alias("q")))).alias("words"))
+    each = each.join(n.withColumnRenamed("_lang", "_l2"),
+        F.col("_lang").eqNullSafe(F.col("_l2"))).groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("w",
+        (F.col("n") / F.col("all")).alias("q")))).alias("words"))
     each = each.withColumnRenamed("_lang", "_l3")
     return classes.join(each, classes["_lang"].eqNullSafe(each["_l3"]), "left").drop("_l3").withColumnRenamed("_lang", "lang")
 
 
 def judge(
-    docs: DataFrame, columns: list[str] | None = None, both: tuple[float, float] = BOTH, either: tuple[float, float] = EITHER, min_words: int = MIN_WORDS, reference: DataFrame | None = None
+    docs: DataFrame, columns: list[str] | None = None, both: tuple[float, float] = BOTH, either: tuple[float, float] = EITHER,
+    min_words: int = MIN_WORDS, reference: DataFrame | None = None
 ) -> DataFrame:
     """columns of docs (all but text by default) with the counts, both distances, base_failed and kept.
 
@@ -168,7 +175,8 @@ def judge(
     c, w, wider = F.col("class_distance"), F.col("word_distance"), 1 + F.lit(SLACK) / F.col("r_docs")
     far = ((c > both[0] * wider) & (w > both[1] * wider)) | (c > either[0] * wider) | (w > either[1] * wider)
     kept = ~F.col("base_failed") & (guarded | ~far)
-    return x.select(*common.released(keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+    return x.select(*common.released(keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
+        "class_distance", "word_distance")
 
 
 def good(docs: DataFrame, **limits) -> DataFrame:

@@ -66,7 +66,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["oracle_sql", "queries"]
-OPERATORS = (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_html_text, op5_pii_pseudonyms, op6_secret_scan, op7_token_counts, op8_quality_rules, op9_source_mix, op10_near_dedup)
+OPERATORS = (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_html_text, op5_pii_pseudonyms, op6_secret_scan, op7_token_counts,
+    op8_quality_rules, op9_source_mix, op10_near_dedup)
 
 
 def queries() -> dict:

@@ -49,7 +49,8 @@ PRINTABLE = [chr(c) for c in range(33, 127)]
 BAD_WORDS = "blob checksum commit digest dummy etag example fake fingerprint guid hash id image img integrity isbn md5 object placeholder rev revision sample serial sha sha1 sha256 sha512 test trace tree uuid version"
 PIECES = "tion ation ing ment able heit keit lich ung sch ein ver ber ge que eau ier ent ement eux ado mente cion idad para como with that this from have your word name data file test user example sample dummy change placeholder image index static public source version document config default value null none true false http www com org net"
 SYLLABLES = "ba ke lo mi nu ra se ti wo ha de fo gu la me ni po ru sa te vi ya zo an er in on un est und tra pre str cht sch ight all ock"
-FEATURES = ("length", "digits", "uppers", "marks", "transitions", "distinct", "hexlike", "covered", "in_path", "uuid", "assigned", "good", "bad", "quoted", "consonants", "spelled", "refers", "private")
+FEATURES = ("length", "digits", "uppers", "marks", "transitions", "distinct", "hexlike", "covered", "in_path", "uuid", "assigned", "good", "bad",
+    "quoted", "consonants", "spelled", "refers", "private")
 
 
 def _words(s: str) -> str:
@@ -67,10 +68,18 @@ def features(hit: Column) -> dict[str, Column]:
     shapes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[A-Z]+", "\u0001"), "[a-z]+", "\u0002"), "[0-9]+", "\u0003"), "[^\u0001-\u0003]+", "\u0004")
     return {
         "length": n, "digits": gone("[0-9]"), "uppers": gone("[A-Z]"), "marks": gone("[^A-Za-z0-9]"), "transitions": (F.length(shapes) - 1) / n,
-        "distinct": F.size(F.filter(F.array(*map(F.lit, PRINTABLE)), lambda c: F.contains(m, c))) / F.least(n, F.lit(64.0)), "hexlike": flag(m.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), "covered": gone(f"(?i:{_words(PIECES)})"),
-        "in_path": flag(before.rlike(r"[/\\.@:][A-Za-z0-9._%-]*[/\\?&=]$|[/\\]$") | m.rlike("^/|/[a-z]+/[a-z]+")) + flag(after.rlike(r"^[/.][a-z]{2,4}\b")), "uuid": flag(m.rlike("^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$")),
-        "assigned": flag(before.rlike(r"[=:]>?[ \t]{0,4}[\"'`]?$|(?i:bearer|basic)\s$")), "good": number(F.regexp_count(near, F.lit(f"(?i)(?<![a-z])(?:[a-z]+_)?(?:{_words(GOOD_WORDS)})(?![a-z])"))), "bad": number(F.regexp_count(near, F.lit(f"(?i)(?<![a-z])(?:{_words(BAD_WORDS)})(?![a-z])"))), "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
-        "consonants": gone("(?i:[bcdfghjklmnpqrstvwxz]{4,})"), "spelled": flag(m.rlike(r"^[\p{L} .,:;!?'_/-]*+$") & ~m.rlike("[a-z][A-Z]+[a-z]|[A-Z]{2}[a-z]")), "refers": flag(m.rlike(r"^(?:[$%]?[{(]|<|\*{3}|[$%][A-Za-z_]+%?$|[A-Za-z_.]+[(\[]|(.)\1+$)")), "private": flag(m.rlike("^-----BEGIN [A-Z0-9 ]*PRIVATE")),
+        "distinct": F.size(F.filter(F.array(*map(F.lit, PRINTABLE)), lambda c: F.contains(m, c))) / F.least(n, F.lit(64.0)),
+        "hexlike": flag(m.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), "covered": gone(f"(?i:{_words(PIECES)})"),
+        "in_path": flag(before.rlike(r"[/\\.@:][A-Za-z0-9._%-]*[/\\?&=]$|[/\\]$") | m.rlike("^/|/[a-z]+/[a-z]+")) + flag(
+        after.rlike(r"^[/.][a-z]{2,4}\b")), "uuid": flag(m.rlike("^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$")),
+        "assigned": flag(before.rlike(r"[=:]>?[ \t]{0,4}[\"'`]?$|(?i:bearer|basic)\s$")),
+        "good": number(F.regexp_count(near, F.lit(f"(?i)(?<![a-z])(?:[a-z]+_)?(?:{_words(GOOD_WORDS)})(?![a-z])"))),
+        "bad": number(F.regexp_count(near, F.lit(f"(?i)(?<![a-z])(?:{_words(BAD_WORDS)})(?![a-z])"))),
+        "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
+        "consonants": gone("(?i:[bcdfghjklmnpqrstvwxz]{4,})"),
+        "spelled": flag(m.rlike(r"^[\p{L} .,:;!?'_/-]*+$") & ~m.rlike("[a-z][A-Z]+[a-z]|[A-Z]{2}[a-z]")),
+        "refers": flag(m.rlike(r"^(?:[$%]?[{(]|<|\*{3}|[$%][A-Za-z_]+%?$|[A-Za-z_.]+[(\[]|(.)\1+$)")),
+        "private": flag(m.rlike("^-----BEGIN [A-Z0-9 ]*PRIVATE")),
     }
 
 
@@ -91,33 +100,69 @@ def _labelled(i: Column) -> Column:
     mark = lambda salt: pick(salt, "! $ % & * # @ ? - _ +".split())
     prose = F.concat(word("p1"), F.lit(" "), word("p2"), F.lit(", "), word("p3"), F.lit(" "))
     letters = lambda c: F.translate(c, "0123456789+/", "QxWkZjVqXbKz")
-    secret = F.element_at(F.array(F.left(hexes("s"), F.lit(40)), F.left(hexes("s"), F.lit(32)), hexes("s"), F.left(b64("s"), F.lit(40)), F.left(b64("s"), F.lit(24)), F.concat(F.lit("AKIA"), F.upper(F.left(F.translate(b64("s"), "+/", "QZ"), F.lit(16)))), F.concat(F.lit("ghp_"), F.left(F.translate(b64("s"), "+/", "aZ"), F.lit(36))), F.concat(F.lit("sk-"), F.left(F.translate(b64("s"), "+/", "aZ"), F.lit(40))), letters(F.left(b64("s"), F.lit(40))), letters(F.left(b64("s"), F.lit(24))), F.concat(F.lit("AKIA"), F.upper(letters(F.left(b64("s"), F.lit(16)))))), r("kind", 11) + 1)
-    name = pick("name", ["token", "api_key", "secret", "password", "key", "auth_token", "client_secret", "access_key", "credential", "TOKEN", "Secret", "apikey", "pwd", "passwd", "passphrase", "private_key", "credential", "auth"])
+    secret = F.element_at(F.array(F.left(hexes("s"), F.lit(40)), F.left(hexes("s"), F.lit(32)), hexes("s"), F.left(b64("s"), F.lit(40)),
+        F.left(b64("s"), F.lit(24)), F.concat(F.lit("AKIA"), F.upper(F.left(F.translate(b64("s"), "+/", "QZ"), F.lit(16)))),
+        F.concat(F.lit("ghp_"), F.left(F.translate(b64("s"), "+/", "aZ"), F.lit(36))),
+        F.concat(F.lit("sk-"), F.left(F.translate(b64("s"), "+/", "aZ"), F.lit(40))), letters(F.left(b64("s"), F.lit(40))),
+        letters(F.left(b64("s"), F.lit(24))), F.concat(F.lit("AKIA"), F.upper(letters(F.left(b64("s"), F.lit(16)))))), r("kind", 11) + 1)
+    name = pick("name", ["token", "api_key", "secret", "password", "key", "auth_token", "client_secret", "access_key", "credential", "TOKEN",
+        "Secret", "apikey", "pwd", "passwd", "passphrase", "private_key", "credential", "auth"])
     into = pick("into", [' = "', "=", ": ", " = ", ': "', "='", '="', '": "', '":"'])
     # passwords, which are met after an assignment alone
     short = F.element_at(F.array(
-        F.left(F.translate(b64("w"), "+/", "$!"), r("wn", 9) + 8), F.left(F.translate(hexes("w"), "abcdef", "xyzwqk"), r("wn", 5) + 8), F.concat(spoken("w", 2), r("wd", 10).cast("string"), F.left(letters(F.lower(b64("v"))), F.lit(3))),
-        F.concat(spoken("w", 2), r("wd", 9999).cast("string"), mark("wm")), F.concat(F.initcap(spoken("w", 2)), mark("wm"), spoken("v", 2), mark("wx"), r("wd", 99).cast("string")), F.concat(F.left(b64("w"), F.lit(5)), mark("wm"), F.left(b64("v"), F.lit(5))),
+        F.left(F.translate(b64("w"), "+/", "$!"), r("wn", 9) + 8), F.left(F.translate(hexes("w"), "abcdef", "xyzwqk"), r("wn", 5) + 8),
+        F.concat(spoken("w", 2), r("wd", 10).cast("string"), F.left(letters(F.lower(b64("v"))), F.lit(3))),
+        F.concat(spoken("w", 2), r("wd", 9999).cast("string"), mark("wm")),
+        F.concat(F.initcap(spoken("w", 2)), mark("wm"), spoken("v", 2), mark("wx"), r("wd", 99).cast("string")),
+        F.concat(F.left(b64("w"), F.lit(5)), mark("wm"), F.left(b64("v"), F.lit(5))),
     ), r("wk", 6) + 1)
     told = F.when(r("short", 4) == 0, short).otherwise(secret)
-    armoured = lambda name, salt: F.concat(F.lit("-----BEGIN "), name, F.lit("-----\n"), b64(salt), F.lit("\n"), F.repeat(F.concat(b64(salt + "1"), b64(salt + "2"), F.lit("\n")), r(salt, 30) + 1), F.lit("-----END "), name, F.lit("-----"))
-    yes = F.struct(F.concat(prose, name, into).alias("before"), told.alias("match"), F.when(F.right(into, F.lit(1)) == '"', F.lit('" ')).when(F.right(into, F.lit(1)) == "'", F.lit("' ")).otherwise(F.lit(" ")).alias("after"), F.lit(1.0).alias("label"))
-    armour = F.struct(F.concat(prose, F.lit("\n")).alias("before"), armoured(pick("pk", ["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"]), "pm").alias("match"), F.lit("\n").alias("after"), F.lit(1.0).alias("label"))
-    bare = F.struct(F.concat(prose, pick("b", ["bearer ", "Authorization: Bearer ", "my key ", "the token ", "use secret "])).alias("before"), secret.alias("match"), F.lit(" ").alias("after"), F.lit(1.0).alias("label"))
-    uuid = F.concat_ws("-", F.substr(hexes("u"), F.lit(1), F.lit(8)), F.substr(hexes("u"), F.lit(9), F.lit(4)), F.substr(hexes("u"), F.lit(13), F.lit(4)), F.substr(hexes("u"), F.lit(17), F.lit(4)), F.substr(hexes("u"), F.lit(21), F.lit(12)))
-    no = lambda before, match, after=" ": F.struct(F.concat(prose, before).alias("before"), match.alias("match"), F.lit(after).alias("after"), F.lit(0.0).alias("label"))
+    armoured = lambda name, salt: F.concat(F.lit("-----BEGIN "), name, F.lit("-----\n"), b64(salt), F.lit("\n"),
+        F.repeat(F.concat(b64(salt + "1"), b64(salt + "2"), F.lit("\n")), r(salt, 30) + 1), F.lit("-----END "), name, F.lit("-----"))
+    yes = F.struct(F.concat(prose, name, into).alias("before"), told.alias("match"),
+        F.when(F.right(into, F.lit(1)) == '"', F.lit('" ')).when(F.right(into, F.lit(1)) == "'", F.lit("' ")).otherwise(F.lit(" ")).alias("after"),
+        F.lit(1.0).alias("label"))
+    armour = F.struct(F.concat(prose, F.lit("\n")).alias("before"),
+        armoured(pick("pk", ["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"]),
+        "pm").alias("match"), F.lit("\n").alias("after"), F.lit(1.0).alias("label"))
+    bare = F.struct(F.concat(prose, pick("b", ["bearer ", "Authorization: Bearer ", "my key ", "the token ", "use secret "])).alias("before"),
+        secret.alias("match"), F.lit(" ").alias("after"), F.lit(1.0).alias("label"))
+    uuid = F.concat_ws("-", F.substr(hexes("u"), F.lit(1), F.lit(8)), F.substr(hexes("u"), F.lit(9), F.lit(4)),
+        F.substr(hexes("u"), F.lit(13), F.lit(4)), F.substr(hexes("u"), F.lit(17), F.lit(4)), F.substr(hexes("u"), F.lit(21), F.lit(12)))
+    no = lambda before, match, after=" ": F.struct(F.concat(prose, before).alias("before"), match.alias("match"), F.lit(after).alias("after"),
+        F.lit(0.0).alias("label"))
     false = F.element_at(F.array(
-        no(pick("n1", ["commit ", "sha1: ", "sha256: ", "md5 ", "revision ", "checksum = ", "etag: ", "hash="]), F.element_at(F.array(F.left(hexes("n"), F.lit(40)), hexes("n"), F.left(hexes("n"), F.lit(32))), r("nk", 3) + 1)),
-        no(pick("n2", ["id = ", "uuid: ", "guid=", "", "trace ", "request id "]), uuid), no(F.lit("https://www.example.com/static/"), F.concat(run("a"), F.lit("/"), run("b"), r("d", 999).cast("string")), ".html "),
-        no(pick("n4", ["", "token = ", "password: ", "api_key="]), F.concat(run("c"), r("d", 99).cast("string"))), no(F.lit(""), F.concat_ws("-", word("x"), run("e"), word("y"), r("d", 9999).cast("string"))), no(pick("n6", ["key = ", "token: ", "secret="]), pick("n6m", ["your_api_key_here_1", "xxxxxxxxxxxxxxxxxxxx0", "example-token-0000000", "changeme1234567890ab", "00000000000000000000", "placeholder_secret_1", "test_test_test_test1", "1234567890123456"])),
-        no(F.lit(""), F.lpad(F.abs(F.xxhash64(i)).cast("string"), 16, "4")), no(pick("n8", ["image ", "object ", "blob "]), F.left(b64("m"), F.lit(40))), no(pick("n9", ["", "serial ", "isbn ", "phone "]), F.left(F.translate(hexes("q"), "abcdef", "012345"), F.lit(18))),
-        no(F.concat(name, into), F.concat(spoken("A", 3), pick("nA", ["", "", ".", ",", ";"]))), no(F.concat(name, pick("nB", [": ", ":", " = "])), F.initcap(F.concat(spoken("A", 2), word("nB2"), word("nB3")))), no(F.concat(name, into), pick("nC", ["required", "disabled", "enabled", "optional", "undefined", "localhost", "changeme", "string,", "default", "function"])),
+        no(pick("n1", ["commit ", "sha1: ", "sha256: ", "md5 ", "revision ", "checksum = ", "etag: ", "hash="]),
+        F.element_at(F.array(F.left(hexes("n"), F.lit(40)), hexes("n"), F.left(hexes("n"), F.lit(32))), r("nk", 3) + 1)),
+        no(pick("n2", ["id = ", "uuid: ", "guid=", "", "trace ", "request id "]), uuid),
+        no(F.lit("https://www.example.com/static/"), F.concat(run("a"), F.lit("/"), run("b"), r("d", 999).cast("string")), ".html "),
+        no(pick("n4", ["", "token = ", "password: ", "api_key="]), F.concat(run("c"), r("d", 99).cast("string"))),
+        no(F.lit(""), F.concat_ws("-", word("x"), run("e"), word("y"), r("d", 9999).cast("string"))),
+        no(pick("n6", ["key = ", "token: ", "secret="]),
+        pick("n6m", ["your_api_key_here_1", "xxxxxxxxxxxxxxxxxxxx0", "example-token-0000000", "changeme1234567890ab", "00000000000000000000",
+        "placeholder_secret_1", "test_test_test_test1", "1234567890123456"])),
+        no(F.lit(""), F.lpad(F.abs(F.xxhash64(i)).cast("string"), 16, "4")),
+        no(pick("n8", ["image ", "object ", "blob "]), F.left(b64("m"), F.lit(40))),
+        no(pick("n9", ["", "serial ", "isbn ", "phone "]), F.left(F.translate(hexes("q"), "abcdef", "012345"), F.lit(18))),
+        no(F.concat(name, into), F.concat(spoken("A", 3), pick("nA", ["", "", ".", ",", ";"]))),
+        no(F.concat(name, pick("nB", [": ", ":", " = "])), F.initcap(F.concat(spoken("A", 2), word("nB2"), word("nB3")))),
+        no(F.concat(name, into), pick("nC", ["required", "disabled", "enabled", "optional", "undefined", "localhost", "changeme", "string,",
+        "default", "function"])),
         no(F.concat(name, pick("nD", [' = "', '": "'])), F.concat_ws(" ", F.initcap(spoken("A", 2)), word("nD1"), spoken("D", 3), word("nD2"), spoken("E", 2)), '" '),
-        no(F.concat(name, into), F.concat(pick("nE", ["${", "{{ ", "$", "%(", "get_", "self.", "config.", "os.environ["]), pick("nEc", "DB_PASSWORD API_KEY token secret_key user_token SECRET value_of_it".split()), pick("nEe", ["", "}", "(request)", "]", ")s"]))), no(F.concat(name, into), F.repeat(pick("nF", ["*", "x", ".", "-", "X"]), r("nFn", 20) + 6)),
-        no(F.lit(""), F.concat(F.initcap(spoken("A", 4)), word("nG"), word("nH"))), no(F.lit(""), F.upper(F.concat(spoken("A", 4), word("nG"), word("nH")))), no(F.lit(""), F.replace(F.concat_ws("-", spoken("A", 2), word("nI1"), spoken("B", 3), word("nI2")), F.lit("-"), pick("nI", ["-", "_", "/"]))), no(F.lit(""), F.concat(spoken("A", 2), F.initcap(spoken("B", 3)), F.initcap(word("nJ")), F.initcap(spoken("C", 2)))), no(F.lit(""), F.repeat(pick("nK", ["-", "_", "=", "a", "O"]), r("nKn", 60) + 16)), no(F.lit(""), F.concat(run("nL"), pick("nL6", ["", "lich"]))),
+        no(F.concat(name, into), F.concat(pick("nE", ["${", "{{ ", "$", "%(", "get_", "self.", "config.", "os.environ["]), pick("nEc",
+        "DB_PASSWORD API_KEY token secret_key user_token SECRET value_of_it".split()), pick("nEe", ["", "}", "(request)", "]", ")s"]))),
+        no(F.concat(name, into), F.repeat(pick("nF", ["*", "x", ".", "-", "X"]), r("nFn", 20) + 6)),
+        no(F.lit(""), F.concat(F.initcap(spoken("A", 4)), word("nG"), word("nH"))),
+        no(F.lit(""), F.upper(F.concat(spoken("A", 4), word("nG"), word("nH")))),
+        no(F.lit(""), F.replace(F.concat_ws("-", spoken("A", 2), word("nI1"), spoken("B", 3), word("nI2")), F.lit("-"), pick("nI", ["-", "_",
+        "/"]))), no(F.lit(""), F.concat(spoken("A", 2), F.initcap(spoken("B", 3)), F.initcap(word("nJ")), F.initcap(spoken("C", 2)))),
+        no(F.lit(""), F.repeat(pick("nK", ["-", "_", "=", "a", "O"]), r("nKn", 60) + 16)),
+        no(F.lit(""), F.concat(run("nL"), pick("nL6", ["", "lich"]))),
         no(F.lit("arn:aws:"), F.concat(F.lit("iam::"), F.lpad(F.abs(F.xxhash64(i)).cast("string"), 12, "4"), F.lit(":"), spoken("A", 2), F.lit("/"), spoken("B", 2))),
         no(F.lit("\n"), armoured(pick("ck", ["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP SIGNATURE"]), "cm"), "\n"),
-        no(F.lit(""), F.left(hexes("z"), F.lit(32))), no(F.lit("/usr/lib/"), F.concat(run("g"), F.lit("/lib"), run("h"), r("d", 99).cast("string")), ".so "), no(F.lit(""), F.concat(run("k"), run("l"), r("d", 9).cast("string"))),
+        no(F.lit(""), F.left(hexes("z"), F.lit(32))),
+        no(F.lit("/usr/lib/"), F.concat(run("g"), F.lit("/lib"), run("h"), r("d", 99).cast("string")), ".so "),
+        no(F.lit(""), F.concat(run("k"), run("l"), r("d", 9).cast("string"))),
     ), r("false", 26) + 1)
     return F.when(F.pmod(i, F.lit(2)) == 0, F.when(r("bare", 5) == 0, bare).when(r("armour", 25) == 0, armour).otherwise(yes)).otherwise(false)
 
@@ -182,4 +227,5 @@ def redact(docs: DataFrame, mark: str = "<secret>", **how) -> DataFrame:
     x = scan(docs.select("text", common.held(docs, others)), **how)
     new = F.transform("findings", lambda f: F.when(f["secret"], F.lit(mark)).otherwise(f["match"]))
     secret = F.exists("findings", lambda f: f["secret"])
-    return x.withColumn("text", F.when(secret, joined(F.col("findings"), new)).otherwise(F.col("text"))).select(*[F.col("text") if c == "text" else common.released([c])[0] for c in docs.columns])
+    return x.withColumn("text", F.when(secret, joined(F.col("findings"),
+        new)).otherwise(F.col("text"))).select(*[F.col("text") if c == "text" else common.released([c])[0] for c in docs.columns])

@@ -410,7 +410,8 @@ class Bucket:
 
     def __init__(self, blocks: pa.Table):
         parts = [unpacked(b, np.int64, np.uint8, np.int64, np.uint8) for b in blocks.column("block").to_pylist()]
-        ids, null, lengths, data = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        ids, null, lengths, data = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint8),
+            np.zeros(0, np.int64), np.zeros(0, np.uint8))
         begin = np.cumsum(lengths) - lengths
         order = np.lexsort((lengths, ids, null))
         self.ids, self.null, self.lengths = ids[order], null[order].astype(bool), lengths[order]
@@ -486,7 +487,8 @@ def repeated_anchors(texts: DataFrame, keys: np.ndarray, length: int, gram: int,
     def own(blocks: pa.Table) -> pa.Table:
         b = Bucket(blocks)
         source = blocks.column("bucket")[0].as_py()
-        rows = [(to, source, _five(h), np.packbits(c > 1).tobytes(), np.minimum(c[c > 1], 65535).astype("<u2").tobytes()) for to, _, h, c in b.anchors(b.contexts(length, gram)[0], keys)]
+        rows = [(to, source, _five(h), np.packbits(c > 1).tobytes(), np.minimum(c[c > 1], 65535).astype("<u2").tobytes()) for to, _, h,
+            c in b.anchors(b.contexts(length, gram)[0], keys)]
         return pa.Table.from_batches([_table(["context_bucket", "bucket", "hashes", "twice", "counts"], [pa.int64(), pa.int64(), *[pa.binary()] * 3], rows)])
 
     def counted(twice: bytes, counts: bytes, n: int) -> np.ndarray:
@@ -601,7 +603,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_ke
     texts = packed_documents(docs, keys)
     anchors = repeated_anchors(texts, keys, length, gram, hot)
     spans = span_blocks(context_blocks(texts, anchors, keys, length, gram), keys, length)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+        ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def apply(blocks: pa.Table, found: pa.Table) -> pa.Table:
         b = Bucket(blocks)
@@ -617,7 +620,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_ke
                 kept.append(raw[at:x])
                 at = y
             kept = b"".join([*kept, raw[at:]])
-            rows.append((None if b.null[i] else doc_id, len(raw), len(raw) - len(kept), len(cut), [{"begin": x, "end": y} for x, y in cut], kept if with_kept else None, hashlib.sha256(kept).hexdigest()))
+            rows.append((None if b.null[i] else doc_id, len(raw), len(raw) - len(kept), len(cut), [{"begin": x, "end": y} for x, y in cut],
+                kept if with_kept else None, hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(apply, RESULT)

@@ -25,7 +25,10 @@ def prose(seed: int, n: int) -> str:
 def edge_rows() -> list[tuple]:
     a, b = prose(1, 120), prose(2, 90)
     return [
-        (1, a, "en", "s1"), (2, a, "en", "s1"), (3, a.replace("the", "thy", 1), "en", "s2"), (4, None, "en", "s1"), (5, "", None, "s1"), (6, " \t\n ", "en", None), (7, "one two", "en", "s2"), (8, "One TWO", "en", "s2"),
-        (9, b, "en", None), (9, b, "en", None), (10, b + "\n" + a[:300], "fr", "s3"), (11, "x" * 5000, "en", "s3"), (12, "ü ß é 日本 🙂 " * 40, "de", "s3"), (13, prose(3, 4000), "en", "s1"), (14, "a\x00b \x85 c", "xx", "s2"),
-        (None, prose(4, 60), None, "s1"), (None, None, None, None), (16, prose(5, 60), None, "s2"), (17, ("line of words here now\n" * 30), "en", "s2"), (18, prose(3, 4000)[1000:9000], "en", "s1"),
+        (1, a, "en", "s1"), (2, a, "en", "s1"), (3, a.replace("the", "thy", 1), "en", "s2"), (4, None, "en", "s1"), (5, "", None, "s1"),
+        (6, " \t\n ", "en", None), (7, "one two", "en", "s2"), (8, "One TWO", "en", "s2"),
+        (9, b, "en", None), (9, b, "en", None), (10, b + "\n" + a[:300], "fr", "s3"), (11, "x" * 5000, "en", "s3"),
+        (12, "ü ß é 日本 🙂 " * 40, "de", "s3"), (13, prose(3, 4000), "en", "s1"), (14, "a\x00b \x85 c", "xx", "s2"),
+        (None, prose(4, 60), None, "s1"), (None, None, None, None), (16, prose(5, 60), None, "s2"),
+        (17, ("line of words here now\n" * 30), "en", "s2"), (18, prose(3, 4000)[1000:9000], "en", "s1"),
     ]

@@ -34,7 +34,8 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
 
 def test_site_style_tree(spark):
     """What is the same on all pages of a host goes; what differs stays."""
-    rows = [(k, f"http://s.net/{k}", f"<body><div class='top'><p>Welcome to our site, dear reader</p></div><div class='story'><p>Story number {k} is long</p></div></body>") for k in range(30)]
+    rows = [(k, f"http://s.net/{k}",
+        f"<body><div class='top'><p>Welcome to our site, dear reader</p></div><div class='story'><p>Story number {k} is long</p></div></body>") for k in range(30)]
     rows += [(100, "http://t.net/1", rows[0][2])]
     got = texts(spark, rows)
     assert all(got[k] == f"Story number {k} is long" for k in range(30))
@@ -113,7 +114,8 @@ def by_recursion(pages, gamma=html.GAMMA):
 
 def test_importance_by_recursion(spark):
     rows = [(k, f"http://a.net/{k}", ARTICLE.format(k=k // 2)) for k in range(40)] + [(99, "http://a.net/x", "<div><p>once</p><ul><li>a<li>b</ul></div>")]
-    rows += [(100 + k, f"http://b.net/{k}", f"<div class='x'><p>{k % 3}</p>" + "<p>same</p>" * (k % 2) + f"<div><p>{k}</p></div></div><div class=menu><p>m</p></div>") for k in range(9)]
+    rows += [(100 + k, f"http://b.net/{k}",
+        f"<div class='x'><p>{k % 3}</p>" + "<p>same</p>" * (k % 2) + f"<div><p>{k}</p></div></div><div class=menu><p>m</p></div>") for k in range(9)]
     nodes = html.node_entropies(html.parsed(spark.createDataFrame(rows, SCHEMA), ["page_id"]))
     got = {(r.host, r.path): (r.composite, r.pages, r.prior) for r in html.importances(nodes).collect()}
     want = by_recursion(rows)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sylva.llm import decontaminate, html, mixing, neardup, pii, quality, secrets, suffix, tokens, urls
 from tests.llm.data import prose
 
-CLASHES = ["N_TOKENS", "Over_Limit", "HOST", "Path", "RULE", "VERDICT", "Term_Weight", "KEPT", "BASE_FAILED", "N_Words", "TAKEN", "SIZE", "Target", "FINDINGS", "N_PII", "N_Card", "_HITS", "_Items", "_N_hit", "N_CHARS", "Component_Id", "_row", "_key", "_w", "_t", "_n"]
+CLASHES = ["N_TOKENS", "Over_Limit", "HOST", "Path", "RULE", "VERDICT", "Term_Weight", "KEPT", "BASE_FAILED", "N_Words", "TAKEN", "SIZE", "Target",
+    "FINDINGS", "N_PII", "N_Card", "_HITS", "_Items", "_N_hit", "N_CHARS", "Component_Id", "_row", "_key", "_w", "_t", "_n"]
 ODD = ["a.b", "a b", "back`tick", "_ROW2", "select", "ünï", "1st"]
 
 
@@ -15,7 +16,8 @@ def wide(spark, texts=True):
     """Documents or pages with clashing and odd columns, one of them a struct whose field's name has a blank."""
     key, body = ("doc_id", "text") if texts else ("page_id", "html")
     rows = [(k, prose(k, 60 + k) if k % 5 else None) for k in range(20)] + [(3, prose(3, 63))]
-    df = spark.createDataFrame(rows, f"{key} long, {body} string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "url": F.concat(F.lit("http://x.net/"), F.col(key).cast("string"))})
+    df = spark.createDataFrame(rows, f"{key} long, {body} string").withColumns({"lang": F.lit("en"), "source": F.lit("s"),
+        "url": F.concat(F.lit("http://x.net/"), F.col(key).cast("string"))})
     return df.select("*", *[F.lit(f"v {c}").alias(c) for c in [*CLASHES, *ODD]], F.struct(F.col(key).alias("a b"), F.lit("x").alias("c`d")).alias("nested"))
 
 
@@ -24,9 +26,13 @@ def bench(spark):
 
 
 OPERATORS = {
-    "scan": lambda s, d: decontaminate.scan(d, bench(s)), "remove_documents": lambda s, d: decontaminate.remove_documents(d, bench(s)), "remove_spans": lambda s, d: decontaminate.remove_spans(d, bench(s)), "judge_urls": lambda s, d: urls.judge_urls(d), "filter_urls": lambda s, d: urls.filter_urls(d),
-    "pseudonymise": lambda s, d: pii.pseudonymise(d, "k"), "secret_scan": lambda s, d: secrets.scan(d, labelled=secrets.labelled_findings(s, 300)), "redact": lambda s, d: secrets.redact(d, labelled=secrets.labelled_findings(s, 300)),
-    "token_counts": lambda s, d: tokens.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")), "judge": lambda s, d: quality.judge(d), "good": lambda s, d: quality.good(d), "mix": lambda s, d: mixing.mix(d), "keep_one": lambda s, d: neardup.keep_one(d),
+    "scan": lambda s, d: decontaminate.scan(d, bench(s)), "remove_documents": lambda s, d: decontaminate.remove_documents(d, bench(s)),
+    "remove_spans": lambda s, d: decontaminate.remove_spans(d, bench(s)), "judge_urls": lambda s, d: urls.judge_urls(d), "filter_urls": lambda s,
+    d: urls.filter_urls(d),
+    "pseudonymise": lambda s, d: pii.pseudonymise(d, "k"), "secret_scan": lambda s, d: secrets.scan(d, labelled=secrets.labelled_findings(s, 300)),
+    "redact": lambda s, d: secrets.redact(d, labelled=secrets.labelled_findings(s, 300)),
+    "token_counts": lambda s, d: tokens.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")), "judge": lambda s, d: quality.judge(d),
+    "good": lambda s, d: quality.good(d), "mix": lambda s, d: mixing.mix(d), "keep_one": lambda s, d: neardup.keep_one(d),
 }
 
 

@@ -117,8 +117,10 @@ def replaced(spark, texts):
 
 
 def test_every_format_against_the_network(spark, days):
-    cases = {"4111 1111 1111 1111": None, "378282246310005": None, "GB82 WEST 1234 5698 7654 32": None, "ES9121000418450200051332": None, "Jo.Doe+x7@Mail-1.example.com": email("Jo.Doe+x7@Mail-1.example.com"),
-             "219-09-9999": ssn("219-09-9999"), "899-99-9999": ssn("899-99-9999"), "001-01-0001": ssn("001-01-0001"), "10.0.0.255": ip("10.0.0.255"), "255.255.255.255": ip("255.255.255.255")}
+    cases = {"4111 1111 1111 1111": None, "378282246310005": None, "GB82 WEST 1234 5698 7654 32": None, "ES9121000418450200051332": None,
+        "Jo.Doe+x7@Mail-1.example.com": email("Jo.Doe+x7@Mail-1.example.com"),
+             "219-09-9999": ssn("219-09-9999"), "899-99-9999": ssn("899-99-9999"), "001-01-0001": ssn("001-01-0001"), "10.0.0.255": ip("10.0.0.255"),
+             "255.255.255.255": ip("255.255.255.255")}
     a, b = card("4111111111111111"), iban("GB82WEST12345698765432")
     cases["4111 1111 1111 1111"] = " ".join(a[k : k + 4] for k in range(0, 16, 4))
     cases["378282246310005"] = card("378282246310005")
@@ -130,7 +132,8 @@ def test_every_format_against_the_network(spark, days):
     cases["+1 012 005 9179"] = f"+1 {n[:3]} {n[3:6]} {n[6:]}"
     n = "442" + permuted("071234567", "phone")
     cases["+44 20 7123 4567"] = f"+{n[:2]} {n[2:4]} {n[4:8]} {n[8:]}"
-    for d in (datetime.date(1800, 1, 1), datetime.date(2199, 12, 31), datetime.date(2020, 2, 29), datetime.date(1999, 12, 13), datetime.date(1900, 2, 28), datetime.date(2024, 3, 12)):
+    for d in (datetime.date(1800, 1, 1), datetime.date(2199, 12, 31), datetime.date(2020, 2, 29), datetime.date(1999, 12, 13),
+        datetime.date(1900, 2, 28), datetime.date(2024, 3, 12)):
         cases[d.isoformat()] = date(d, days).isoformat()
     got = replaced(spark, list(cases))
     assert dict(zip(cases, got, strict=True)) == cases
@@ -139,7 +142,8 @@ def test_every_format_against_the_network(spark, days):
 
 def test_spellings_of_a_value_are_linked(spark):
     bare = lambda s: re.sub(r"[^A-Za-z0-9]", "", s)
-    for group in (["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"], ["+44 20 7123 4567", "+442071234567", "+44-20-7123-4567", "+44 (20) 7123 4567"], ["a.b@c-d.org", "A.B@C-d.org"]):
+    for group in (["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"],
+        ["+44 20 7123 4567", "+442071234567", "+44-20-7123-4567", "+44 (20) 7123 4567"], ["a.b@c-d.org", "A.B@C-d.org"]):
         got = replaced(spark, group)
         assert len({bare(t).lower() for t in got}) == 1 and bare(got[0]) != bare(group[0])
         assert [re.sub("[A-Za-z0-9]", "x", t) for t in got] == [re.sub("[A-Za-z0-9]", "x", t) for t in group]
@@ -162,7 +166,8 @@ def test_spellings_of_a_value_are_linked(spark):
 def test_days_are_permuted(spark):
     d = spark.range(0, 146_097, 1, 4).select(F.date_format(F.expr("date_add(date'1800-01-01', int(id))"), "yyyy-MM-dd").alias("d"))
     got = d.select("d", pii.pseudonym(F.col("d"), F.lit("date"), KEY).alias("p"))
-    assert got.agg(F.count_distinct("p"), F.count(F.try_to_date("p", "yyyy-MM-dd")), F.count_if((F.right("d", F.lit(2)) > "12") != (F.right("p", F.lit(2)) > "12"))).first() == (146_097, 146_097, 0)
+    assert got.agg(F.count_distinct("p"), F.count(F.try_to_date("p", "yyyy-MM-dd")),
+        F.count_if((F.right("d", F.lit(2)) > "12") != (F.right("p", F.lit(2)) > "12"))).first() == (146_097, 146_097, 0)
 
 
 def test_a_key_is_needed(spark):
