@@ -74,7 +74,8 @@ def main() -> None:
         corpus = None
     for name, query in (corpus.queries() if corpus else {}).items():
         timed(name, lambda query=query: query(spark, SF_DIR).write.format("noop").mode("overwrite").save(), 1)
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "entries": held["rows"]}))
+    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "entries": held["rows"]}))
 
 
 if __name__ == "__main__":

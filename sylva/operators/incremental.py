@@ -31,7 +31,9 @@ def reconcile(base: DataFrame, listing: DataFrame, dirty: DataFrame, deep: bool
     moved = other | (F.col("is_dir") & (F.col("k_stamp") != F.col("stamp")))
     if not deep:
         moved = F.col("is_dir") & moved
-    actions = F.when(F.col("id").isNull(), F.array(F.lit("add"))).when(F.col("dir_id").isNull(), F.array(F.lit("remove"))).when(F.col("kd") != F.col("is_dir"), F.array(F.lit("remove"), F.lit("add"))).when(moved, F.array(F.lit("touch"))).otherwise(F.array().cast("array<string>"))
+    actions = F.when(F.col("id").isNull(), F.array(F.lit("add"))).when(F.col("dir_id").isNull(),
+        F.array(F.lit("remove"))).when(F.col("kd") != F.col("is_dir"), F.array(F.lit("remove"), F.lit("add"))).when(moved,
+        F.array(F.lit("touch"))).otherwise(F.array().cast("array<string>"))
     x = x.select(F.explode(actions).alias("action"), "id", F.coalesce("kp", "dir_id").alias("parent"), F.coalesce("kn", "name").alias("name"), "is_dir", *ATTRIBUTES, "stamp")
     return x.withColumn("id", F.when(F.col("action") != "add", F.col("id")))
 
@@ -65,7 +67,8 @@ def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     gone = subtree(base, changes.filter("action = 'remove'")).select(F.col("id").alias("_gone"))
     touch = changes.filter("action = 'touch'").select(F.col("id").alias("_touch"), *[F.col(c).alias(f"t_{c}") for c in (*ATTRIBUTES, "stamp")])
     x = base.join(gone, base["id"] == gone["_gone"], "left").join(touch, base["id"] == touch["_touch"], "left")
-    x = x.select(*[F.coalesce(f"t_{c}", c).alias(c) if c in (*ATTRIBUTES, "stamp") else (F.col("deleted") | F.col("_gone").isNotNull()).alias(c) if c == "deleted" else base[c] for c in base.columns])
+    x = x.select(*[F.coalesce(f"t_{c}", c).alias(c) if c in (*ATTRIBUTES,
+        "stamp") else (F.col("deleted") | F.col("_gone").isNotNull()).alias(c) if c == "deleted" else base[c] for c in base.columns])
     last = base.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
     added = changes.filter("action = 'add'").select(F.col("id").alias("_own"), "parent", "name", "is_dir", *ATTRIBUTES, "stamp")
     above = base.select(F.col("id").alias("_up"), F.col("depth").alias("_depth"))

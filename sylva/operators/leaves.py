@@ -208,5 +208,6 @@ FUNCTIONS: dict[str, Callable[[Leaf, Context], Column]] = {
     **{name: text_match for name in ("", "name", "name-part", "path", "path-part", "stem", "regex", "whole", "ww", "startwith", "endwith", "prefix", "suffix")},
 }
 #: Functions that are known and answer nothing.
-UNSUPPORTED = "content dupe filelist filelist-filename si index-type run-count frn album artist title genre comment tag track length width height bitdepth orientation star-rating child-file-count child-folder-count".split()
+UNSUPPORTED = "content dupe filelist filelist-filename si index-type run-count frn album artist title genre comment tag track length width height bitdepth orientation star-rating child-file-count child-folder-count".split(
+    )
 FUNCTIONS.update(dict.fromkeys(UNSUPPORTED, _unsupported))

@@ -63,7 +63,8 @@ class Result:
         plan = page._jdf.queryExecution().executedPlan().toString()
         planned = time.perf_counter()
         rows = len(page.collect())
-        return {"plan": plan, "pushed": "PushedFilters: [" in plan and "PushedFilters: []" not in plan, "rows": rows, "plan_seconds": planned - began, "run_seconds": time.perf_counter() - planned}
+        return {"plan": plan, "pushed": "PushedFilters: [" in plan and "PushedFilters: []" not in plan, "rows": rows, "plan_seconds": planned - began,
+            "run_seconds": time.perf_counter() - planned}
 
 
 def search(entries: DataFrame, text: str, sort: str = "name_ascending", offset: int = 0, count: int | None = None, filter: Filter = Filter(), ctx: Context | None = None) -> Result:
@@ -91,7 +92,8 @@ def command_line(entries: DataFrame, terms: list[str], ctx: Context | None = Non
     return search(entries, " ".join(rest), sort, offset, count, ctx=ctx)
 
 
-MATCH_OPTIONS = {"case": "case", "whole_word": "ww", "path": "path", "diacritics": "diacritics", "prefix": "prefix", "suffix": "suffix", "ignore_punctuation": "ignorepunc", "ignore_whitespace": "ignorews", "regex": "regex"}
+MATCH_OPTIONS = {"case": "case", "whole_word": "ww", "path": "path", "diacritics": "diacritics", "prefix": "prefix", "suffix": "suffix",
+    "ignore_punctuation": "ignorepunc", "ignore_whitespace": "ignorews", "regex": "regex"}
 
 
 @dataclass

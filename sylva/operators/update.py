@@ -119,9 +119,11 @@ def update(base: DataFrame, roots: list[str] | tuple[str, ...] = (), dirs: list[
     if changes is None:
         return Updated(base, counts | {"added": 0, "removed": 0, "touched": 0}, False)
     # a directory can be touched by its parent's listing and by its own: the last word is that of its own
-    touched = changes.filter("action = 'touch'").groupBy("id").agg(F.max_by(F.struct(*[c for c in changes.columns if c != "id"]), F.col("name").isNull().cast("int")).alias("t")).select("id", "t.*")
+    touched = changes.filter("action = 'touch'").groupBy("id").agg(F.max_by(F.struct(*[c for c in changes.columns if c != "id"]),
+        F.col("name").isNull().cast("int")).alias("t")).select("id", "t.*")
     changes = storage.pinned(changes.filter("action <> 'touch'").unionByName(touched.select(*changes.columns)))
-    counts |= {"added": 0, "removed": 0, "touched": 0} | {{"add": "added", "remove": "removed", "touch": "touched"}[r.action]: r["count"] for r in changes.groupBy("action").count().collect()}
+    counts |= {"added": 0, "removed": 0, "touched": 0} | {{"add": "added", "remove": "removed",
+        "touch": "touched"}[r.action]: r["count"] for r in changes.groupBy("action").count().collect()}
     log.info("updated: %s", counts)
     return Updated(incremental.apply_changes(base, changes), counts, any(counts[k] for k in ("added", "removed", "touched")))
 
@@ -134,7 +136,8 @@ def _own(base: DataFrame, seen: DataFrame, read: DataFrame) -> DataFrame:
     for c in (*incremental.ATTRIBUTES, "stamp"):
         other = other | ~F.col(c).eqNullSafe(F.col(f"k_{c}"))
     x = own.join(kept, own["dir_id"] == kept["_id"]).filter(other)
-    return x.select(F.lit("touch").alias("action"), F.col("dir_id").alias("id"), F.col("_parent").alias("parent"), F.lit(None).cast("string").alias("name"), "is_dir", *incremental.ATTRIBUTES, "stamp")
+    return x.select(F.lit("touch").alias("action"), F.col("dir_id").alias("id"), F.col("_parent").alias("parent"),
+        F.lit(None).cast("string").alias("name"), "is_dir", *incremental.ATTRIBUTES, "stamp")
 
 
 def _below(base: DataFrame, found: DataFrame, seen: DataFrame, read: DataFrame, deep: bool) -> DataFrame:

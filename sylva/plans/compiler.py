@@ -12,7 +12,9 @@ from . import parser
 from .tree import And, Leaf, MatchAll, Not, Or
 
 #: Leaves that read a number, a flag or the extension; they stand before text in a conjunction.
-CHEAP = frozenset("parent root depth size child-count len file folder directory ext extension type attrib empty dm date-modified dc date-created audio video image picture doc document archive zip exe".split())
+CHEAP = frozenset(
+    "parent root depth size child-count len file folder directory ext extension type attrib empty dm date-modified dc date-created audio video image picture doc document archive zip exe".split(
+    ))
 
 
 @dataclass

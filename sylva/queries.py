@@ -71,7 +71,8 @@ SEARCHES = {
     "dm_cmp": ("dm:>1997-06-01", "mtime > 865123200"),
     "dm_range": ("dm:1995..1996", "mtime between 788918400 and 852076799"),
     "dc_cmp": ("dc:<1996", "ctime < 820454400"),
-    "date_literals": ("dm:1995-03 | dm:>30d | dm:19960102 | dm:1994/02", "mtime between 794016000 and 796694399 or mtime > 1704067200 - 30 * 86400 or mtime = 820540800 or mtime between 760060800 and 760060800 + 31 * 86400 - 1"),
+    "date_literals": ("dm:1995-03 | dm:>30d | dm:19960102 | dm:1994/02",
+    "mtime between 794016000 and 796694399 or mtime > 1704067200 - 30 * 86400 or mtime = 820540800 or mtime between 760060800 and 760060800 + 31 * 86400 - 1"),
     "attrib": ("attrib:h", "is_hidden"),
     "attrib_not": ("attrib:!d", "not is_dir"),
     "len": ("len:10", "octet_length(encode(name)) = 10"),
@@ -113,15 +114,19 @@ SEARCHES = {
     "text_entities": ("&sp;side&sp;a.mp3 | order_1&excl;", "contains(fname, ' side a.mp3') or contains(fname, 'order_1!')"),
     "text_regex_path": ('path:regex:"/(fr|de)/Doc-1"', "regexp_matches(fpath, '/(fr|de)/doc-1')"),
     "child": ('child:"ext:jpg size:>300000"', "id in (select parent from e where ext = 'jpg' and size > 300000)"),
-    "child_or": ('child:"ext:conf" !child:"size:0" | ext:log', "(id in (select parent from e where ext = 'conf') and id not in (select parent from e where size = 0 and parent is not null)) or coalesce(ext = 'log', false)"),
+    "child_or": ('child:"ext:conf" !child:"size:0" | ext:log',
+    "(id in (select parent from e where ext = 'conf') and id not in (select parent from e where size = 0 and parent is not null)) or coalesce(ext = 'log', false)"),
     "join_child_semi": ('folder: child:"child:ext:jpg"', "is_dir and id in (select parent from e where id in (select parent from e where ext = 'jpg'))"),
 }
 
 #: Orders by key: the sort name, the SQL order.
 SORTS = {
-    "sort_name": ("name_ascending", "fname, id"), "sort_path": ("path_ascending", "fpath, fname, id"), "sort_file_list_filename": ("file_list_filename_descending", "fpath desc, fname desc, id desc"),
-    "sort_size": ("size_descending", "size desc, id desc"), "sort_mtime": ("date_modified_ascending", "mtime, id"), "sort_ctime": ("date_created_descending", "ctime desc, id desc"),
-    "sort_ext": ("extension_ascending", "coalesce(ext, ''), fname, id"), "sort_attributes": ("attributes_ascending", "attributes, id"), "sort_recently_changed": ("date_recently_changed_descending", "mtime desc, id desc"),
+    "sort_name": ("name_ascending", "fname, id"), "sort_path": ("path_ascending", "fpath, fname, id"),
+    "sort_file_list_filename": ("file_list_filename_descending", "fpath desc, fname desc, id desc"),
+    "sort_size": ("size_descending", "size desc, id desc"), "sort_mtime": ("date_modified_ascending", "mtime, id"),
+    "sort_ctime": ("date_created_descending", "ctime desc, id desc"),
+    "sort_ext": ("extension_ascending", "coalesce(ext, ''), fname, id"), "sort_attributes": ("attributes_ascending", "attributes, id"),
+    "sort_recently_changed": ("date_recently_changed_descending", "mtime desc, id desc"),
     "sort_inverse_size": ("inverse_size_ascending", "size, id"), "sort_desc": ("name_descending", "fname desc, id desc"),
 }
 
@@ -307,7 +312,8 @@ def _delta(spark, sf_dir):
     """A change log over entries: sizes of orders, some later retracted, from the line items."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("l_extendedprice"))
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return items.select(seq.alias("seq"), (F.lit(4000000000) + F.col("l_orderkey")).alias("id"), F.floor("l_extendedprice").cast("long").alias("value"), (F.col("l_linenumber") % 5 == 4).alias("retract"))
+    return items.select(seq.alias("seq"), (F.lit(4000000000) + F.col("l_orderkey")).alias("id"),
+        F.floor("l_extendedprice").cast("long").alias("value"), (F.col("l_linenumber") % 5 == 4).alias("retract"))
 
 
 def win_last_write(spark, sf_dir):
@@ -330,7 +336,8 @@ def _listing(spark, sf_dir):
     known = base.filter("depth = 4 and id % 7 <> 0").join(dirty, F.col("parent") == F.col("dir_id"))
     flip = F.col("id") % 11 == 0
     kept = known.select("dir_id", "name", flip.alias("is_dir"), (F.col("size") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("size"), "mtime", "ctime", "stamp")
-    new = dirty.select("dir_id", F.concat(F.lit("new_"), F.col("dir_id").cast("string")).alias("name"), F.lit(False).alias("is_dir"), F.lit(7).cast("long").alias("size"), *[F.lit(NOW).cast("long").alias(c) for c in ("mtime", "ctime", "stamp")])
+    new = dirty.select("dir_id", F.concat(F.lit("new_"), F.col("dir_id").cast("string")).alias("name"), F.lit(False).alias("is_dir"),
+        F.lit(7).cast("long").alias("size"), *[F.lit(NOW).cast("long").alias(c) for c in ("mtime", "ctime", "stamp")])
     return base, kept.unionByName(new), dirty
 
 
@@ -414,13 +421,15 @@ def sort_names(spark, sf_dir):
 def resolve_path(spark, sf_dir):
     """Where `cd` leads from each region's directory."""
     e = entries(spark, sf_dir).filter("parent = 0").select("id", "path").orderBy("id").collect()
-    return spark.createDataFrame([(r.id, step, resolved(r.path, step)) for r in e for step in ("..", ".", "x/../y", "..\\AFRICA//", "/docs/./de")], "id long, step string, path string")
+    return spark.createDataFrame([(r.id, step, resolved(r.path, step)) for r in e for step in ("..", ".", "x/../y", "..\\AFRICA//", "/docs/./de")],
+        "id long, step string, path string")
 
 
 def _tree(spark, sf_dir) -> str:
     """A file tree on shared storage, as the driver sees it: a directory for each region, a file for each of its nations."""
     at = f"{storage.shared_dir(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
-    rows = spark.read.parquet(f"{sf_dir}/region.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").collect()
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"),
+        F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").collect()
     for r in rows:
         os.makedirs(f"{at}/{r.r_name}/in", exist_ok=True)
         with open(f"{at}/{r.r_name}/in/{r.n_name}", "w") as f:
@@ -429,7 +438,8 @@ def _tree(spark, sf_dir) -> str:
 
 
 def _relative(base: DataFrame, at: str) -> DataFrame:
-    x = catalog.with_paths(catalog.live(base)).select(F.substring("path", len(at) + 1, 4096).alias("path"), "depth", "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"))
+    x = catalog.with_paths(catalog.live(base)).select(F.substring("path", len(at) + 1, 4096).alias("path"), "depth", "is_dir",
+        F.when(~F.col("is_dir"), F.col("size")).alias("size"))
     return x
 
 
@@ -462,7 +472,8 @@ def _events(spark, sf_dir):
     x = e.join(dirs, "user_id", "left")
     kind = F.expr("case event_type when 'signup' then 'create' when 'error' then 'delete' when 'purchase' then 'moved' else 'attribute' end")
     at = F.concat(F.coalesce("dir", F.concat(F.lit("/elsewhere/"), F.col("user_id").cast("string"))), F.lit("/order_"), F.col("event_id").cast("string"))
-    return x.select(F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), at.alias("path"), F.when(kind == "moved", F.concat(F.lit("/docs/en/old_"), F.col("event_id").cast("string"))).alias("old_path"))
+    return x.select(F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), at.alias("path"),
+        F.when(kind == "moved", F.concat(F.lit("/docs/en/old_"), F.col("event_id").cast("string"))).alias("old_path"))
 
 
 def ev_parent_dir(spark, sf_dir):
@@ -488,9 +499,12 @@ def ev_coalesce(spark, sf_dir):
 
 OTHERS = (
     trigram_postings, text_trigram, index_skip, reconcile_deep, delta_due, snapshot_load, roots_file, sort_names, resolve_path, scan_tree, update_tree,
-    date_periods, browse, limit_offset, topk, result_count, filter_stage2, match_options, columns_7, col_path, col_full_path, col_attributes, col_filetime, col_size_sentinel, wire_block, cli_print, list_dir, tombstone_filter, roots_list, roots_validate,
-    index_finalize, join_path, join_children, agg_child_count, agg_ext_cardinality, agg_ext_histogram, agg_distinct_names, agg_type_split, agg_result_counts, scan_stats, win_dense_rank, win_rank_gap, trigram_index, set_union_roots,
-    set_bitmap_ops, win_last_write, delta_merge, delta_read, join_reconcile, reconcile_names, apply_changes, join_sweep, closure_subtree, compact, locations_reload, epoch, ev_parent_dir, ev_prefix, ev_dedup, ev_loss, ev_coalesce,
+    date_periods, browse, limit_offset, topk, result_count, filter_stage2, match_options, columns_7, col_path, col_full_path, col_attributes,
+    col_filetime, col_size_sentinel, wire_block, cli_print, list_dir, tombstone_filter, roots_list, roots_validate,
+    index_finalize, join_path, join_children, agg_child_count, agg_ext_cardinality, agg_ext_histogram, agg_distinct_names, agg_type_split,
+    agg_result_counts, scan_stats, win_dense_rank, win_rank_gap, trigram_index, set_union_roots,
+    set_bitmap_ops, win_last_write, delta_merge, delta_read, join_reconcile, reconcile_names, apply_changes, join_sweep, closure_subtree, compact,
+    locations_reload, epoch, ev_parent_dir, ev_prefix, ev_dedup, ev_loss, ev_coalesce,
 )
 
 
@@ -540,9 +554,11 @@ OTHER_SQL = {
     "roots_validate": "select a.path, b.path as \"outer\" from given a join given b on a.k <> b.k and (rtrim(a.path, '/') = rtrim(b.path, '/') or starts_with(a.path, rtrim(b.path, '/') || '/'))",
     "index_finalize": "select id, path, parent_path, depth, nchild, ext, attributes, is_hidden from e",
     "join_path": "select id, path, depth from e", "join_children": "select d.id as dir_id, d.name as dir_name, b.id, b.name from b join b d on b.parent = d.id and d.is_dir",
-    "agg_child_count": "select parent, count(*) as nchild from b where parent is not null group by parent", "agg_ext_cardinality": "select ext, count(*) as n from e where ext is not null group by ext",
+    "agg_child_count": "select parent, count(*) as nchild from b where parent is not null group by parent",
+    "agg_ext_cardinality": "select ext, count(*) as n from e where ext is not null group by ext",
     "agg_ext_histogram": "select cast(floor(log10(n)) as integer) as bucket, count(*) as extensions, cast(sum(n) as bigint) as files from (select ext, count(*) as n from e where ext is not null group by ext) group by 1",
-    "agg_distinct_names": "select count(*) as n, count(distinct name) as names from b", "agg_type_split": "select is_dir, count(*) as n, cast(sum(size) as bigint) as bytes from e group by is_dir",
+    "agg_distinct_names": "select count(*) as n, count(distinct name) as names from b",
+    "agg_type_split": "select is_dir, count(*) as n, cast(sum(size) as bigint) as bytes from e group by is_dir",
     "scan_stats": "select count(*) as n, count(*) filter (is_dir) as dirs, max(depth) as max_depth, cast(sum(size) as bigint) as bytes from e",
     "win_dense_rank": "select fname, row_number() over (order by fname) - 1 as rank from (select distinct fname from e)",
     "win_rank_gap": "select v.name, (select count(distinct fname) from e where fname < v.name) as below from (values ('asia'), ('doc-5'), ('order_2'), ('zzz'), ('')) v(name)",
@@ -566,7 +582,9 @@ OTHER_SQL = {
 _SCANNED = """select '' as path, 0 as depth, true as is_dir, cast(null as bigint) as size
   union all select '/' || r_name, 1, true, null from region union all select '/' || r_name || '/in', 2, true, null from region"""
 _NATIONS = "union all select '/' || r_name || '/in/' || n_name, 3, false, {size} from nation join region on n_regionkey = r_regionkey"
-_SORT_SQL = {"name": "fname", "path": "fpath, fname", "file_list_filename": "fpath, fname", "size": "size", "inverse_size": "size", "extension": "coalesce(ext, ''), fname", "attributes": "attributes", "date_modified": "mtime", "date_created": "ctime", "date_recently_changed": "mtime"}
+_SORT_SQL = {"name": "fname", "path": "fpath, fname", "file_list_filename": "fpath, fname", "size": "size", "inverse_size": "size",
+    "extension": "coalesce(ext, ''), fname", "attributes": "attributes", "date_modified": "mtime", "date_created": "ctime",
+    "date_recently_changed": "mtime"}
 
 
 def _sort_names_sql() -> str:
@@ -595,7 +613,8 @@ def oracle_sql() -> dict[str, str]:
     found["update_tree"] = f"""{_SCANNED} {_NATIONS.format(size='case n_nationkey when 1 then 2 else n_nationkey end')} where n_nationkey % 2 <> 0
       union all select '/' || r_name || '/new', 2, true, null from region union all select '/' || r_name || '/new/below', 3, true, null from region"""
     found["ev_parent_dir"] = f"{E} {_EVENTS} select dir, count(*) as marks from touched group by dir"
-    found["ev_prefix"] = f"{E} {_EVENTS} select dir, count(*) as marks from touched where dir = '/data/ASIA' or dir like '/data/ASIA/%' or dir = '/do' or dir like '/do/%' group by dir"
+    found[
+        "ev_prefix"] = f"{E} {_EVENTS} select dir, count(*) as marks from touched where dir = '/data/ASIA' or dir like '/data/ASIA/%' or dir = '/do' or dir like '/do/%' group by dir"
     found["ev_dedup"] = f"{E} {_EVENTS} select distinct e.id as dir_id from touched t join e on e.path = t.dir and e.is_dir"
     found["ev_loss"] = f"{E} {_EVENTS} select count(*) as losses from ev where kind = 'delete'"
     found["ev_coalesce"] = f"""{E} {_EVENTS}, g as (select ts, dir, sum(fresh) over (order by ts, dir rows unbounded preceding) as burst from

@@ -53,7 +53,8 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     epoch = "unix_seconds(cast(o_orderdate as timestamp))"
     text = STAR.format(epoch=epoch, **{t: f"{{{t}}}" for t in STAR_TABLES})
     base = spark.sql(text, **frames)
-    return base.select("id", "parent", "name", "depth", "is_dir", "size", "mtime", (F.col("mtime") + 86400).alias("ctime"), (F.col("mtime") * 1_000_000_000).alias("stamp"), F.lit(False).alias("deleted"))
+    return base.select("id", "parent", "name", "depth", "is_dir", "size", "mtime", (F.col("mtime") + 86400).alias("ctime"),
+        (F.col("mtime") * 1_000_000_000).alias("stamp"), F.lit(False).alias("deleted"))
 
 
 def entries(rows: DataFrame) -> DataFrame:

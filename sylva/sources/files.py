@@ -130,7 +130,8 @@ def listing(dirs: DataFrame) -> DataFrame:
                     if (r := _row(e.path, path, e.name, 0)) is not None:
                         rows.append((dir_id, e.name, *r[4:]))
             kinds = [pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["dir_id", "name", "is_dir", "size", "mtime", "ctime", "stamp"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+                names=["dir_id", "name", "is_dir", "size", "mtime", "ctime", "stamp"])
 
     return dirs.select("dir_id", "path").mapInArrow(each, LISTED)
 

@@ -21,6 +21,7 @@ def tree(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 FLAT = [
-    ("/t/flat", None), ("/t/flat/sub1", None), ("/t/flat/sub2", None), ("/t/flat/empty", None), ("/t/flat/sub1/deep", None), ("/t/flat/a.txt", 0), ("/t/flat/b.conf", 500), ("/t/flat/c.conf", 5000),
+    ("/t/flat", None), ("/t/flat/sub1", None), ("/t/flat/sub2", None), ("/t/flat/empty", None), ("/t/flat/sub1/deep", None), ("/t/flat/a.txt", 0),
+    ("/t/flat/b.conf", 500), ("/t/flat/c.conf", 5000),
     ("/t/flat/d.log", 0), ("/t/flat/.hidden", 0), ("/t/flat/sub1/x.conf", 200), ("/t/flat/sub2/y.txt", 100), ("/t/flat/sub1/deep/leaf.txt", 1),
 ]

@@ -35,7 +35,8 @@ def test_orphans_and_tombstones_do_not_show(spark):
     assert {r.dname for r in catalog.enriched(dead).collect()} == {"flat", "sub2", "empty", "a.txt", "b.conf", "c.conf", "d.log", ".hidden", "y.txt"}
 
 
-@pytest.mark.parametrize(("name", "ext", "stem"), [("a.txt", "txt", "a"), ("a.TXT", "txt", "a"), (".hidden", None, ".hidden"), ("a.", None, "a"), ("a.b.C", "c", "a.b"), ("plain", None, "plain"), (".a.b", "b", ".a")])
+@pytest.mark.parametrize(("name", "ext", "stem"), [("a.txt", "txt", "a"), ("a.TXT", "txt", "a"), (".hidden", None, ".hidden"), ("a.", None, "a"),
+    ("a.b.C", "c", "a.b"), ("plain", None, "plain"), (".a.b", "b", ".a")])
 def test_names(spark, name, ext, stem):
     r = spark.createDataFrame([(name,)], "n string").select(catalog.extension(F.col("n")), catalog.stem(F.col("n"))).first()
     assert tuple(r) == (ext, stem)
@@ -62,7 +63,8 @@ def test_many_extensions(spark):
 
 
 def listing(spark, rows):
-    return spark.createDataFrame([(d, n, is_dir, size, m, m, m * 10**9) for d, n, is_dir, size, m in rows], "dir_id long, name string, is_dir boolean, size long, mtime long, ctime long, stamp long")
+    return spark.createDataFrame([(d, n, is_dir, size, m, m, m * 10**9) for d, n, is_dir, size, m in rows],
+        "dir_id long, name string, is_dir boolean, size long, mtime long, ctime long, stamp long")
 
 
 def test_reconcile(spark):
@@ -70,7 +72,8 @@ def test_reconcile(spark):
     ids = {r.name: r.id for r in base.collect()}
     root, sub2, deep = ids["/t/flat"], ids["sub2"], ids["deep"]
     dirty = spark.createDataFrame([(root,), (sub2,)], "dir_id long")
-    here = [(root, n, d, s, MTIME) for n, d, s in [("sub1", True, 4096), ("sub2", True, 4096), ("empty", False, 5), ("a.txt", False, 9), ("b.conf", False, 500), ("new.md", False, 3)]]
+    here = [(root, n, d, s, MTIME) for n, d, s in [("sub1", True, 4096), ("sub2", True, 4096), ("empty", False, 5), ("a.txt", False, 9), ("b.conf",
+        False, 500), ("new.md", False, 3)]]
     seen = listing(spark, here)
     names = incremental.reconcile(base, seen, dirty)
     actions = sorted((r.action, r.name) for r in names.collect())
@@ -93,7 +96,8 @@ def test_reconcile(spark):
 
 def test_delta(spark):
     main = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id long, value long")
-    delta = spark.createDataFrame([(1, 2, 21, False), (2, 2, 22, False), (3, 3, 0, True), (4, 4, 40, False), (5, 5, 50, False), (6, 5, 0, True)], "seq long, id long, value long, retract boolean")
+    delta = spark.createDataFrame([(1, 2, 21, False), (2, 2, 22, False), (3, 3, 0, True), (4, 4, 40, False), (5, 5, 50, False), (6, 5, 0, True)],
+        "seq long, id long, value long, retract boolean")
     assert sorted(map(tuple, incremental.merged(main, delta).collect())) == [(1, 10), (2, 22), (4, 40)]
 
 
@@ -123,8 +127,10 @@ def test_file_tree(spark, tmp_path):
 
 
 EVENTS = [
-    ("2024-01-01 00:00:00.000", "create", "/t/flat/new", None), ("2024-01-01 00:00:00.020", "moved", "/t/flat/sub1/x", "/t/flat/sub2/x"), ("2024-01-01 00:00:00.030", "attribute", "/t/flat/a.txt", None),
-    ("2024-01-01 00:00:01.000", "delete", "/t/flatter/q", None), ("2024-01-01 00:00:01.010", "delete", "/t/flat/sub1/z", None), ("2024-01-01 00:00:01.020", "create", "/t/flat/nowhere/z", None),
+    ("2024-01-01 00:00:00.000", "create", "/t/flat/new", None), ("2024-01-01 00:00:00.020", "moved", "/t/flat/sub1/x", "/t/flat/sub2/x"),
+    ("2024-01-01 00:00:00.030", "attribute", "/t/flat/a.txt", None),
+    ("2024-01-01 00:00:01.000", "delete", "/t/flatter/q", None), ("2024-01-01 00:00:01.010", "delete", "/t/flat/sub1/z", None),
+    ("2024-01-01 00:00:01.020", "create", "/t/flat/nowhere/z", None),
 ]
 
 

@@ -14,16 +14,26 @@ from tests.fixtures import FLAT, tree
 
 GOLDEN = {
     "": 13, "folder:": 5, "file:": 8, "!folder:": 8, "root:": 8, "parent:/t/flat": 8, 'parent:""': 8, "parent:\\t\\flat\\": 8, "parent:/T/flat": 0, "parent:/t/flat/a.txt": 0,
-    "depth:1": 8, "depth:2": 3, "depth:>1": 4, "depth:0": 1, "ext:conf": 3, "ext:CONF": 3, "ext:*.conf": 3, "ext:conf;txt": 6, "ext:": 0, "size:>1k file:": 1, "size:<1k file:": 7, "size:100..1000": 3,
-    "size:100-1000": 3, "size:empty file:": 3, "size:!=0 file:": 5, "size:<=500 file:": 7, "size:<tiny file:": 3, "dm:>2000-01-01": 13, "dm:<2000-01-01": 0, "dc:>2000-01-01": 13, "empty:": 4,
-    "attrib:h": 1, "attrib:!h": 12, "attrib:d": 5, "attrib:z": 0, "child-count:0": 9, "len:4": 3, "ext:conf | ext:log": 4, "ext:conf !file:": 0, "!folder: ext:txt": 3, "<ext:conf ext:log>": 0,
-    "ext:conf | <ext:log ext:txt>": 3, "ext:<conf log>": 0, "ext:<conf | log>": 4, "ext:<conf;log>": 4, "!!folder:": 5, "conf": 3, "CONF": 3, "name:x.conf": 1, "path:sub1": 4, "whole:b.conf": 1, "whole:CONF": 0,
-    "startwith:sub": 2, "prefix:sub": 0, "endwith:onf": 3, "suffix:onf": 0, "*.conf": 3, "?.conf": 3, "*conf*": 3, "*on*": 3, "name:*on*": 3, "on*": 0, "name:sub1": 1, "sub1": 1, "regex:sub1": 1, "*sub1*": 1,
-    "sub1/x.conf": 1, "sub1\\*.conf": 1, "sub1/*": 2, "sub1\\\\*": 2, "ub1/*": 0, "ub1/x.conf": 1, "sub1\\x.conf": 1, "sub1\\\\x.conf": 1, "sub1///x.conf": 1, "sub1\\deep/leaf.txt": 1, "path:*x.conf": 1, "path:*sub1*": 4,
-    "path:*sub1/x.conf": 1, "path:*conf": 3, "folder: sub1/*": 1, "regex:^b.*conf$": 1, "path:regex:sub1/deep$": 1, "path:regex:[a-z]\\.conf$": 3, "case:regex:^B": 0, "nocase:regex:^B": 1, "ww:conf": 3, "child:b.conf": 1,
-    "child:<ext:conf>": 2, "!child:b.conf": 12, "child:x.conf | ext:log": 2, "onf": 3, "on": 3, "case:conf": 3, "case:CONF": 0, "ignorepunc:conf": 3, "ignorews:conf": 3, "stem:conf": 0, "stem:leaf": 1, "*nf*": 3, "name:onf": 3,
-    "diacritics:conf": 3, "path:regex:sub1\\\\x": 1, "type:document": 3, "type:picture": 0, "type:nosuchtype": 0, "type:conf;log": 4, "content:xyz": 0, "si:xyz": 0, "dupe:": 0, "image:": 0, "doc:": 3, "folder:sub": 2, "folder:sub1": 1,
-    "folder:x.conf": 0, "file:.conf": 3, "startwith:folder:sub1": 1, "startwith:folder:ub1": 0, "case:folder:SUB1": 0, "nosuch:thing": 0, "&excl;x": 0, "a&vert;b": 0, "regex:(": 0, "regex:a{2}": 0, "path:**leaf.txt": 1, "[bc].conf": 2,
+    "depth:1": 8, "depth:2": 3, "depth:>1": 4, "depth:0": 1, "ext:conf": 3, "ext:CONF": 3, "ext:*.conf": 3, "ext:conf;txt": 6, "ext:": 0,
+    "size:>1k file:": 1, "size:<1k file:": 7, "size:100..1000": 3,
+    "size:100-1000": 3, "size:empty file:": 3, "size:!=0 file:": 5, "size:<=500 file:": 7, "size:<tiny file:": 3, "dm:>2000-01-01": 13,
+    "dm:<2000-01-01": 0, "dc:>2000-01-01": 13, "empty:": 4,
+    "attrib:h": 1, "attrib:!h": 12, "attrib:d": 5, "attrib:z": 0, "child-count:0": 9, "len:4": 3, "ext:conf | ext:log": 4, "ext:conf !file:": 0,
+    "!folder: ext:txt": 3, "<ext:conf ext:log>": 0,
+    "ext:conf | <ext:log ext:txt>": 3, "ext:<conf log>": 0, "ext:<conf | log>": 4, "ext:<conf;log>": 4, "!!folder:": 5, "conf": 3, "CONF": 3,
+    "name:x.conf": 1, "path:sub1": 4, "whole:b.conf": 1, "whole:CONF": 0,
+    "startwith:sub": 2, "prefix:sub": 0, "endwith:onf": 3, "suffix:onf": 0, "*.conf": 3, "?.conf": 3, "*conf*": 3, "*on*": 3, "name:*on*": 3,
+    "on*": 0, "name:sub1": 1, "sub1": 1, "regex:sub1": 1, "*sub1*": 1,
+    "sub1/x.conf": 1, "sub1\\*.conf": 1, "sub1/*": 2, "sub1\\\\*": 2, "ub1/*": 0, "ub1/x.conf": 1, "sub1\\x.conf": 1, "sub1\\\\x.conf": 1,
+    "sub1///x.conf": 1, "sub1\\deep/leaf.txt": 1, "path:*x.conf": 1, "path:*sub1*": 4,
+    "path:*sub1/x.conf": 1, "path:*conf": 3, "folder: sub1/*": 1, "regex:^b.*conf$": 1, "path:regex:sub1/deep$": 1, "path:regex:[a-z]\\.conf$": 3,
+    "case:regex:^B": 0, "nocase:regex:^B": 1, "ww:conf": 3, "child:b.conf": 1,
+    "child:<ext:conf>": 2, "!child:b.conf": 12, "child:x.conf | ext:log": 2, "onf": 3, "on": 3, "case:conf": 3, "case:CONF": 0, "ignorepunc:conf": 3,
+    "ignorews:conf": 3, "stem:conf": 0, "stem:leaf": 1, "*nf*": 3, "name:onf": 3,
+    "diacritics:conf": 3, "path:regex:sub1\\\\x": 1, "type:document": 3, "type:picture": 0, "type:nosuchtype": 0, "type:conf;log": 4,
+    "content:xyz": 0, "si:xyz": 0, "dupe:": 0, "image:": 0, "doc:": 3, "folder:sub": 2, "folder:sub1": 1,
+    "folder:x.conf": 0, "file:.conf": 3, "startwith:folder:sub1": 1, "startwith:folder:ub1": 0, "case:folder:SUB1": 0, "nosuch:thing": 0,
+    "&excl;x": 0, "a&vert;b": 0, "regex:(": 0, "regex:a{2}": 0, "path:**leaf.txt": 1, "[bc].conf": 2,
     "[!b].conf": 2, "[b": 0, "#.conf": 0, "size:<>1k | <5> file:": 5, "sub*/x.conf": 1, '"b.conf"': 1, "depth:1 size:<1k !folder:": 4, "size:2k..10k": 6,
 }
 BROKEN = ["<a", "a |", '"unterminated', "ext:conf )", "| a", "!", "()"]

@@ -87,7 +87,8 @@ def test_sequence(spark, root, tmp_path):
     assert not step().changed
     one = step(dirs=[str(root / "sub" / "deep" / "deeper")])
     assert (one.counts["added"], one.counts["removed"], one.counts["listed"]) == (1, 1, 1) and rows(base) == rows(fresh())
-    for how in ({"roots": [str(tmp_path)]}, {"roots": [str(root / "sub")]}, {"dirs": [str(root / "nowhere")]}, {"dirs": [str(root / "renamed.txt")]}, {"dirs": [str(root)], "roots": [str(root)]}):
+    for how in ({"roots": [str(tmp_path)]}, {"roots": [str(root / "sub")]}, {"dirs": [str(root / "nowhere")]}, {"dirs": [str(root / "renamed.txt")]},
+        {"dirs": [str(root)], "roots": [str(root)]}):
         before = rows(base)
         with pytest.raises(ValueError, match="not|both"):
             update.update(base, **how)
