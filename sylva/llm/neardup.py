@@ -9,7 +9,7 @@
    never all pairs. Sharing a band alone ties nothing.
 4. The ties' connected components are the blocks in which links can lie. Within a block candidates are
    confirmed on the full sets: one class is compared with all, then only those that it is not connected with are.
-5. A block of more than BLOCK_BYTES is never in one task: its classes are compared with the block's smallest class in
+5. A block of over 128 KB is not left to one task: its classes are compared with the block's smallest class in
    shares of that size; those that are not linked with it are dealt in parts against parts of the whole block.
 
 Missing a pair of similarity s takes (1 - s**ROWS)**BANDS: 2e-6 at 0.75. A sketch of such a pair estimates less than
@@ -39,10 +39,10 @@ SKETCH_BITS = 1024
 SKETCH_LEAST = 0.56
 #: Texts whose signatures are computed together, at most.
 ROWS_AT_ONCE = 2048
-#: Bytes of sets, bands and sketches that a part of a block may have; a cell holds two parts.
-BLOCK_BYTES = 48 << 20
-#: Classes that a part of a band's bucket may have; a cell holds two parts.
-BUCKET_CLASSES = 1 << 14
+#: What a part of a block may have, in bytes of sets, bands and sketches, and a part of a band's bucket, in classes: the
+#: least that is worth a part, and the most. A cell holds two parts.
+BLOCK_BYTES = (1 << 17, 16 << 20)
+BUCKET_CLASSES = (1 << 7, 1 << 14)
 #: Ids, of 8 bytes each, up to which they are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -142,7 +142,8 @@ def profiles(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n > 0)]) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
             words = np.ascontiguousarray(sketch).view(np.int64)
             kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n > 0)]) * words.shape[1], pa.int32()), pa.array(words.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, kept], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, kept],
+                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
@@ -264,10 +265,16 @@ def _groups(batches, column: int = 0):
         yield rows
 
 
-def _parts(counts: DataFrame, key: str, size, far, most: int) -> DataFrame:
-    """_key, _all, _far: in how many parts groups of over `most` are dealt, and in how many those of them that are far."""
-    parts = counts.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.sum(size) / most).cast("int").alias("_all"), F.ceil(F.sum(F.when(far, size).otherwise(0)) / most).cast("int").alias("_far"))
-    return common.written(parts.filter("_all > 1"), "parts")
+def _parts(rows: DataFrame, key: str, size, far, part: tuple[int, int]) -> DataFrame:
+    """_key, _all, _far: in how many parts large groups are dealt, and in how many those of them that are far.
+
+    A part is a quarter of the far ones together, within the bounds given: all cells together then hold about eight
+    times the group, unless a quarter is over the upper bound.
+    """
+    x = rows.groupBy(F.col(key).alias("_key")).agg(F.sum(size).alias("n"), F.sum(F.when(far, size).otherwise(0)).alias("f"))
+    own = F.greatest(F.lit(part[0]), F.least(F.lit(part[1]), F.ceil(F.col("f") / 4)))
+    x = x.select("_key", F.ceil(F.col("n") / own).cast("int").alias("_all"), F.ceil(F.col("f") / own).cast("int").alias("_far"))
+    return common.written(x.filter("_all > 1"), "parts")
 
 
 def _cells(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
@@ -285,7 +292,7 @@ def _cells(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     return x.withColumn("_place", F.explode(places)).withColumn("cell", F.xxhash64(key, "_place.f", "_place.a")).drop("_place", "_key", "_all", "_far")
 
 
-def ties(classes: DataFrame, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
+def ties(classes: DataFrame, bucket_classes: tuple[int, int] = BUCKET_CLASSES) -> DataFrame:
     """u, v: candidate pairs that connect whatever candidates share a band."""
     in_band = classes.select("class_id", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("class_id").alias("lead"), F.max("class_id").alias("last")).filter("lead < last").select("band", "lead")
@@ -335,7 +342,8 @@ def _resolved(cells: DataFrame) -> DataFrame:
         if rows:
             yield done(rows)
 
-    return cells.select("cell", "class_id", "bands", "sketch", "linked", "text").repartition("cell").sortWithinPartitions("cell", "class_id").mapInArrow(each, "class_id long, component long")
+    return cells.select("cell", "class_id", "bands", "sketch", "linked", "text").repartition("cell").sortWithinPartitions("cell",
+        "class_id").mapInArrow(each, "class_id long, component long")
 
 
 def _with_lead(member: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
@@ -343,7 +351,8 @@ def _with_lead(member: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFra
     share = lambda: F.pmod(F.xxhash64("class_id"), "_all")
     mine = member.join(parts, member["block"] == parts["_key"]).filter("class_id <> block").select("block", share().alias("share"), "class_id")
     mine = mine.join(texts, "class_id")
-    lead = parts.join(texts, parts["_key"] == texts["class_id"]).select(F.col("_key").alias("_block"), F.col("text").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1).cast("array<bigint>")).alias("_share"))
+    lead = parts.join(texts, parts["_key"] == texts["class_id"]).select(F.col("_key").alias("_block"), F.col("text").alias("lead"),
+        F.explode(F.sequence(F.lit(0), F.col("_all") - 1).cast("array<bigint>")).alias("_share"))
     x = mine.join(lead, (mine["block"] == lead["_block"]) & (mine["share"] == lead["_share"])).select("class_id", "block", "text", "lead")
 
     def each(batches):
@@ -370,7 +379,7 @@ def _ids(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, block_bytes: tuple[int, int] = BLOCK_BYTES, bucket_classes: tuple[int, int] = BUCKET_CLASSES) -> DataFrame:
     """class_id, component for the classes that are in blocks."""
     blocks = graph.components(ties(classes, bucket_classes))
     member = classes.join(blocks, classes["class_id"] == blocks["node"]).select("class_id", "n_shingles", "bands", "sketch", F.col("component").alias("block"))
@@ -379,7 +388,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, block_bytes: int = BLOCK
     texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text")
     texts = common.written(texts.join(wanted, texts["class_id"] == F.col("_wanted"), "left_semi").dropDuplicates(["class_id"]), "texts")
     weight = 8 * F.col("n_shingles") + 8 * BANDS + SKETCH_BITS // 8
-    parts = common.written(member.groupBy(F.col("block").alias("_key")).agg(F.ceil(F.sum(weight) / block_bytes).cast("int").alias("_all")).filter("_all > 1"), "parts")
+    parts = common.written(member.groupBy(F.col("block").alias("_key")).agg(F.ceil(F.sum(weight) / block_bytes[0]).cast("int").alias("_all")).filter("_all > 1"), "parts")
     divided = bool(parts.limit(1).count())
     no, key = F.lit(False), member["block"] == parts["_key"]
     small = member.join(parts, key, "left_anti").select(F.col("block").alias("cell"), "class_id", "bands", "sketch", no.alias("linked"))
@@ -398,14 +407,15 @@ def linked_classes(docs: DataFrame, classes: DataFrame, block_bytes: int = BLOCK
     return linked.groupBy("class_id").agg(F.min("component").alias("component"))
 
 
-def clusters(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
+def clusters(docs: DataFrame, block_bytes: tuple[int, int] = BLOCK_BYTES, bucket_classes: tuple[int, int] = BUCKET_CLASSES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the document names its component): one row for each row of docs.
 
     Other columns of docs are not carried along: join on doc_id.
     """
     seen = common.written(profiles(docs), "profiles")
     full = seen.filter("set_key is not null and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("n_shingles").alias("n_shingles"))
     classes = common.written(classes, "classes")
     linked = linked_classes(docs, classes, block_bytes, bucket_classes)
     named = classes.select("set_key", "class_id").join(linked, "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
