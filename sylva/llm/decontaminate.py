@@ -153,7 +153,7 @@ def _scan_block(docs: DataFrame, windows: Windows) -> DataFrame:
 
     def each(batches):
         w = shared.value
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 1 << 20):
             counts, hit, found, at = w.find(batch.column(1))
             again = "_hits" in batch.schema.names
             old_hits = batch.column(4).to_pylist() if again else [None] * len(counts)
@@ -197,7 +197,7 @@ def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataF
     scanned = _scanned(x, bench, width, TABLE_BYTES).select("text", "_row", "_hits")
 
     def each(batches):
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 1 << 20):
             texts = batch.column(0)
             data, offs = common.text_bytes(texts)
             starts, ends, of = common.words_of(common.LOWER[data], offs, WORD)

@@ -37,8 +37,8 @@ ROWS, BANDS = 5, 48
 SKETCH_BITS = 1024
 #: Estimated similarity under which a candidate is not confirmed on full sets.
 SKETCH_LEAST = 0.56
-#: Texts whose signatures are computed together, at most.
-ROWS_AT_ONCE = 2048
+#: Texts whose signatures are computed together, at most, and their bytes.
+ROWS_AT_ONCE, TEXT_AT_ONCE = 1024, 1 << 20
 #: What a part of a block may have, in bytes of sets, bands and sketches, and a part of a band's bucket, in classes: the
 #: least that is worth a part, and the most. A cell holds two parts.
 BLOCK_BYTES = (1 << 17, 16 << 20)
@@ -133,7 +133,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (null if empty), bands, sketch (both empty then)."""
 
     def each(batches):
-        for batch in common.slices(batches, "text", 2 << 20, ROWS_AT_ONCE):
+        for batch in common.slices(batches, "text", TEXT_AT_ONCE, ROWS_AT_ONCE):
             sets, offs = shingle_sets(batch.column(1))
             n = np.diff(offs)
             sig = signatures(sets, offs)
@@ -328,7 +328,7 @@ def _resolved(cells: DataFrame) -> DataFrame:
     def each(batches):
         rows, now = [], None
         for batch in batches:
-            for part in common.slices([batch], "text", 2 << 20, ROWS_AT_ONCE):
+            for part in common.slices([batch], "text", TEXT_AT_ONCE, ROWS_AT_ONCE):
                 sets, offs = shingle_sets(part.column(5))
                 cell, ids, linked = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4).to_pylist()
                 bands = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
@@ -358,7 +358,7 @@ def _with_lead(member: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFra
     def each(batches):
         sets_of: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in common.slices([batch], "text", 2 << 20, ROWS_AT_ONCE):
+            for part in common.slices([batch], "text", TEXT_AT_ONCE, ROWS_AT_ONCE):
                 sets, offs = shingle_sets(part.column(2))
                 blocks, linked = part.column(1).to_pylist(), []
                 for i, b in enumerate(blocks):
