@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -427,7 +428,7 @@ def resolve_path(spark, sf_dir):
 
 def _tree(spark, sf_dir) -> str:
     """A file tree on shared storage, as the driver sees it: a directory for each region, a file for each of its nations."""
-    at = f"{storage.shared_dir(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+    at = f"{re.sub('^file:(//)?', '', storage.shared_dir(spark))}/tree-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/region.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"),
         F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").collect()
     for r in rows:
