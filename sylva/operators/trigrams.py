@@ -9,15 +9,14 @@ from ..functions.text import fold, folded
 
 
 def runs(name: Column) -> Column:
-    """The distinct runs of three characters of a folded name; none if it is shorter."""
-    n = F.length(name)
-    three = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3)))
-    return F.when(n >= 3, F.array_distinct(three)).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of three characters of a folded name of three or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substr(name, i, F.lit(3))))
 
 
 def postings(entries: DataFrame) -> DataFrame:
     """trigram, id: a row for each entry and run of its name."""
-    return entries.select("id", F.explode(runs(fold(F.col("dname")))).alias("trigram")).select("trigram", "id")
+    held = entries.filter(F.length("dname") >= 3).select("id", F.explode(runs(fold(F.col("dname")))).alias("trigram"))
+    return held.select("trigram", "id")
 
 
 def cardinality(entries: DataFrame) -> DataFrame:
