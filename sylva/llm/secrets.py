@@ -30,7 +30,9 @@ AROUND = 48
 #: What candidates look like, and words and word pieces.
 GOOD_WORDS = "api apikey auth authorization aws bearer client_secret cred credential key passphrase passwd password private pwd secret sig signature token webhook"
 _QUOTE = "[\"'`]?"
-_NAME = f"(?i:passw(?:or)?d|{'|'.join(GOOD_WORDS.split())}){_QUOTE}"
+#: The letters that names begin with are looked at first: most places are passed over by that.
+_INITIALS = "".join(sorted({w[0] + w[0].upper() for w in GOOD_WORDS.split()}))
+_NAME = f"(?=[{_INITIALS}])(?i:passw(?:or)?d|{'|'.join(GOOD_WORDS.split())}){_QUOTE}"
 #: An assignment within a value, which is a candidate of its own.
 _INNER = rf"[\"'`]?[A-Za-z0-9_.-]{{0,32}}?{_NAME} ?[=:][^\s=]"
 ASSIGNMENT = rf"{_NAME}[ \t]{{0,4}}+(?:[=:]>|:=|={{1,3}}+|:)[ \t]{{0,4}}+[\"'`]?+(?i:(?:bearer|basic) )?+"
