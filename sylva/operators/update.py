@@ -25,7 +25,7 @@ def roots_of(spark: SparkSession, roots: list[str] | tuple[str, ...] = (), roots
         raise ValueError("no roots")
     if len(found) > files.MAX_ROOTS:
         raise ValueError(f"more than {files.MAX_ROOTS} roots")
-    over = catalog.overlapping_roots(spark.createDataFrame([(r,) for r in found], "path string")).collect()
+    over = catalog.overlapping_roots(spark.createDataFrame([(r,) for r in found], "path string")).distinct().collect()
     if over:
         raise ValueError("; ".join(f"{r.path} lies in {r.outer}" for r in over))
     return found

@@ -221,11 +221,14 @@ def roots(base: DataFrame) -> DataFrame:
 
 
 def overlapping_roots(paths: DataFrame) -> DataFrame:
-    """Pairs of a table of root paths (column path) of which one is the other or lies in it."""
-    n = paths.select(F.col("path"), F.monotonically_increasing_id().alias("k"))
-    n = n.withColumn("bare", F.regexp_replace("path", "/+$", ""))
+    """Pairs of a table of root paths (column path) of which one is the other or lies in it; of rows of one path, each
+    pairs with the others. Rows are told apart by path and number: ids made as they are read change when they are read again."""
+    n = paths.groupBy("path").agg(F.count("*").cast("int").alias("n"))
+    n = n.withColumn("bare", F.rtrim("path", F.lit("/")))
     # every prefix that ends at a component meets the roots of that name by an equality join
     parts = F.split("bare", "/")
-    above = n.select("path", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("prefix"))
-    o = n.select(F.col("path").alias("outer"), F.col("k").alias("ok"), F.col("bare").alias("prefix"))
-    return above.join(o, "prefix").filter("k <> ok").select("path", "outer").distinct()
+    above = n.select("path", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("prefix"))
+    o = n.select(F.col("path").alias("outer"), F.col("n").alias("others"), F.col("bare").alias("prefix"))
+    pairs = above.join(o, "prefix").withColumn("others", F.col("others") - F.when(F.col("path") == F.col("outer"), 1).otherwise(0))
+    pairs = pairs.select("path", "outer", "others", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    return pairs.select("path", "outer", F.explode(F.array_repeat(F.lit(0), F.col("others")))).select("path", "outer")

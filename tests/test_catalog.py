@@ -126,6 +126,20 @@ def test_file_tree(spark, tmp_path):
         files.roots_file(spark, str(tmp_path / "bad")).collect()
 
 
+def test_overlapping_roots_do_not_hang_on_row_order(spark):
+    """The table gives its rows in another order each time it is read."""
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.sample(frac=1)
+
+    rows = [f"/r{k}" for k in range(40)] + ["/", "/r1/x/y", "/r2/", "/r3/\n", "/r40", "/r40", "/r40", None]
+    paths = spark.createDataFrame([(p,) for p in rows], "path string").coalesce(1).mapInPandas(shuffled, "path string")
+    got = sorted((r.path, r.outer) for r in catalog.overlapping_roots(paths).collect())
+    want = [("/r1/x/y", "/r1"), ("/r2", "/r2/"), ("/r2/", "/r2"), ("/r3/\n", "/r3"), *[("/r40", "/r40")] * 6]
+    assert got == sorted([*want, *[(p, "/") for p in rows if p and p != "/"]])
+
+
 EVENTS = [
     ("2024-01-01 00:00:00.000", "create", "/t/flat/new", None), ("2024-01-01 00:00:00.020", "moved", "/t/flat/sub1/x", "/t/flat/sub2/x"),
     ("2024-01-01 00:00:00.030", "attribute", "/t/flat/a.txt", None),
