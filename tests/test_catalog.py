@@ -1,10 +1,12 @@
 """The catalog's derivations, sources, incremental passes and streams on small trees."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sylva import storage
 from sylva.operators import aggregates, incremental, ordering
 from sylva.operators.search import search
 from sylva.plans.compiler import matches
@@ -165,6 +167,44 @@ def test_events(spark):
     assert ev.lost(events(spark, [*EVENTS, ("2024-01-01", "overflow", None, None)])).first()[0] == 1
 
 
+def bursts(rows, gap, most):
+    """By hand, over (seconds or None, dir) in order."""
+    out, last = [], None
+    for t, d in sorted(rows, key=lambda r: (r[0] is not None, r)):
+        if last is None or t is None or t - last >= gap:
+            out.append([])
+        elif len(out[-1]) == most:
+            out.append([])
+        out[-1].append((t, d))
+        last = t
+    return sorted((str(b[0][0]), len(b), len({d for _, d in b})) for b in out)
+
+
+@pytest.mark.parametrize("gap", [3, 0])
+@pytest.mark.parametrize("most", [1, 7, 5000])
+def test_bursts_over_many_ranges(spark, monkeypatch, gap, most):
+    """Bursts that run over several ranges, times of many directories, many marks of one time and directory, no times."""
+    monkeypatch.setattr(ev, "RANGE_ROWS", 40)
+    rng = random.Random(5)
+    rows = [(t, f"/d{rng.randrange(9)}") for t in (rng.randrange(4000) for _ in range(900))] + [(t, "/d1") for t in range(5000, 5600)]
+    rows += [(5100, f"/e{k}") for k in range(50)] + [(6000, "/f")] * 1500 + [(6002, "/d2"), (None, "/n"), (None, "/n"), (None, "/m")]
+    e = spark.createDataFrame(rows, "t long, d string").select(F.timestamp_seconds("t").alias("ts"), F.lit("create").alias("kind"), F.concat("d", F.lit("/x")).alias("path"),
+        F.lit(None).cast("string").alias("old_path"))
+    got = ev.coalesced(e, f"{gap} seconds", most).select(F.unix_seconds("begin").alias("t"), "marks", "dirs").collect()
+    assert sorted((str(r.t), r.marks, r.dirs) for r in got) == bursts(rows, gap, most)
+    assert ev.coalesced(e.limit(0)).count() == 0
+
+
+def test_bursts_are_not_ordered_in_one_task(spark):
+    """Whatever the number of marks, a range holds about RANGE_ROWS: the largest one's rows are seen in what was pinned."""
+    n = 3 * ev.RANGE_ROWS
+    e = spark.range(n).select(F.timestamp_seconds("id").alias("ts"), F.lit("create").alias("kind"), F.lit("/d/x").alias("path"), F.lit(None).cast("string").alias("old_path"))
+    assert ev.coalesced(e, "2 seconds").agg(F.sum("marks")).first()[0] == n
+    dealt = storage._pinned[-1] if storage._pinned else spark.read.parquet(storage._written[-1])
+    sizes = [r.n for r in dealt.groupBy("range").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) < 0.6 * n
+
+
 def test_stream(spark, tmp_path):
     dirs = catalog.enriched(tree(spark, FLAT)).filter("is_dir").select("id", "path").cache()
     src = str(tmp_path / "in")
