@@ -296,7 +296,7 @@ def ties(classes: DataFrame, bucket_classes: tuple[int, int] = BUCKET_CLASSES) -
     """u, v: candidate pairs that connect whatever candidates share a band."""
     in_band = classes.select("class_id", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("class_id").alias("lead"), F.max("class_id").alias("last")).filter("lead < last").select("band", "lead")
-    members = common.written(in_band.join(shared, "band").filter("class_id <> lead"), "members")
+    members = in_band.join(shared, "band").filter("class_id <> lead")
     of = lambda name: classes.select(F.col("class_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     x = members.join(of("class_id"), "class_id").join(of("lead"), "lead")
     x = x.withColumn("far", ~_candidates("n_class_id", "n_lead", "s_class_id", "s_lead")).select("band", "lead", "class_id", "n_class_id", "s_class_id", "far")
@@ -373,9 +373,8 @@ def _with_lead(member: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFra
     return x.sortWithinPartitions("block").mapInArrow(each, "class_id long, linked boolean")
 
 
-def _ids(df: DataFrame, name: str) -> DataFrame:
-    """A table of ids, written; to be broadcast if there are few."""
-    ids = common.written(df, name)
+def _ids(ids: DataFrame) -> DataFrame:
+    """A written table's ids, to be broadcast if there are few."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
@@ -384,7 +383,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, block_bytes: tuple[int,
     blocks = graph.components(ties(classes, bucket_classes))
     member = classes.join(blocks, classes["class_id"] == blocks["node"]).select("class_id", "n_shingles", "bands", "sketch", F.col("component").alias("block"))
     member = common.written(member, "blocks")
-    wanted = _ids(member.select(F.col("class_id").alias("_wanted")), "wanted")
+    wanted = _ids(member.select(F.col("class_id").alias("_wanted")))
     texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text")
     texts = common.written(texts.join(wanted, texts["class_id"] == F.col("_wanted"), "left_semi").dropDuplicates(["class_id"]), "texts")
     weight = 8 * F.col("n_shingles") + 8 * BANDS + SKETCH_BITS // 8
@@ -431,7 +430,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = common.written(clusters(docs.select("doc_id", "text")).filter("doc_id is not null").select("doc_id", "kept"), "kept")
     key = docs["doc_id"].cast("long")
-    drop = _ids(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct(), "drop")
+    drop = _ids(common.written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct(), "drop"))
     left = docs.join(drop, key == F.col("_drop"), "left_anti")
     again = common.written(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
     if not again.limit(1).count():

@@ -516,6 +516,16 @@ def test_near_duplicates(spark):
     assert neardup.clusters(documents(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_write_only_what_is_read_again(spark, monkeypatch):
+    """Each file that is written starts a process: members of bands are joined as they are made, ids are read off their blocks."""
+    names, written = [], neardup.common.written
+    monkeypatch.setattr(neardup.common, "written", lambda df, name: names.append(name) or written(df, name))
+    got = {r.doc_id: r.component_id for r in neardup.clusters(documents(spark, edge_rows())).collect()}
+    assert {i: c for i, c in got.items() if i is not None} == {i: c for i, (_, c) in components(edge_rows()).items() if i is not None}
+    assert {"profiles", "classes", "estimates", "blocks"} <= set(names)
+    assert not {"members", "wanted"} & set(names)
+
+
 def test_recall_at_the_threshold(spark):
     """400 pairs of similarity 60 / 80, which are linked, and 400 of 59 / 79, which are not."""
     rows = []
